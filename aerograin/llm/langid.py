@@ -91,7 +91,7 @@ def train(docs: DataFrame, label: str = "lang", per_lang: int = SAMPLE_PER_LANG,
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & ~F.col("text").rlike(_NOT_LETTERS))
     rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("string").alias("label"), F.xxhash64(F.col("doc_id").cast("bigint")).alias("draw"))
     # The smallest draws of each label, first in groups by the draw and then over the groups: a label's rows never meet in one task.
-    near = Window.partitionBy("label", F.pmod("draw", F.lit(1024))).orderBy("draw", "doc_id")
+    near = Window.partitionBy("label", F.pmod("draw", F.lit(16))).orderBy("draw", "doc_id")
     rows = rows.withColumn("r", F.row_number().over(near)).where(F.col("r") <= per_lang)
     rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("draw", "doc_id"))).where(F.col("r") <= per_lang)
     chosen = F.broadcast(rows.select(F.col("doc_id").alias("_id"), F.col("label").alias("_label"), F.col("draw").alias("_draw")))  # at most per_lang rows a language
