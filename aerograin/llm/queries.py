@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
-from . import langid, mixing, packing
+from . import langid, mixing, packing, partenum
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shuffled(mixed, shuffle_partitions(spark))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of `documents` linked by a 5-word shingle Jaccard similarity of 0.75 or more."""
+    return partenum.near_groups(table(spark, sf_dir, "documents"))
+
+
 def vocabulary() -> dict:
     import public_tokenizers
 
@@ -45,6 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_language_id": op10_language_id,
 }
