@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
-from . import langid, mixing, packing, partenum
+from . import ctxmix, langid, mixing, packing, partenum, textdensity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shuffled(mixed, shuffle_partitions(spark))
 
 
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all `pages`."""
+    return textdensity.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of `documents` linked by a 5-word shingle Jaccard similarity of 0.75 or more."""
     return partenum.near_groups(table(spark, sf_dir, "documents"))
@@ -40,6 +45,12 @@ def crc_fold(doc_id, folds: int):
     return F.crc32(doc_id.cast("bigint").cast("string").cast("binary")) % folds
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all `documents` by a model of those whose crc32(doc_id) mod 5 is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    return ctxmix.score(docs, crc_fold(F.col("doc_id"), 5) == 1)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of all `documents`; learned from those whose crc32(doc_id) mod 4 is not 2."""
     docs = table(spark, sf_dir, "documents")
@@ -50,8 +61,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op4_html_main_text": op4_html_main_text,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_context_mixing": op9_context_mixing,
     "op10_language_id": op10_language_id,
 }
 
