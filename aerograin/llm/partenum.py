@@ -12,10 +12,10 @@ A document is the set of its 5-word shingles (64-bit hashes); equal sets are one
    element would be shared by many; it is left out where more parts must agree than the set has parts with such a
    signature, else given. Sets of up to 48 shingles (and those up to 64, their possible partners) would have too many empty
    parts: they partition the domain into single elements and sign the floor(size / 4) + 1 smallest, one of which is common.
-3. Verification. Sets of one signature, compared pair by pair where up to `SMALL` share it. Where more do, in rounds: each
-   is compared with one member drawn for the round, links are merged into components, and only signatures whose members
-   are still in several components go on; after `ROUNDS`, all remaining pairs of different components are compared. Every
-   pair that shares a signature is compared or already connected: no link between components is lost.
+3. Verification. Classes that share a signature are joined in candidate groups (stars over each signature, then connected
+   components): linked classes are always in one group. Groups are cut into packs of about `PACK` classes of like size, and
+   packs whose sizes can link are compared pack by pack, each class with each, in one vectorised count of common elements.
+   A pair of packs gives a spanning forest of its links, never its pairs; no class is left out, whatever a group's size.
 
 Signatures travel as packed blocks, one per (chunk, bucket); within a chunk a shingle known by two classes is sent twice at
 most, so a shingle in a third of the corpus is no hot key.
@@ -33,8 +33,7 @@ from .arrays import U64, Words, blocks, mix, word_grams
 
 K_WORDS = 5
 TINY = 48
-SMALL = 16
-ROUNDS = 4
+PACK = 64
 SPARE = 0.5
 CHUNK = 1 << 21
 
@@ -235,38 +234,49 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
             twin[1:] = (key[1:] == key[:-1]) & (cls[1:] == cls[:-1])
             lone &= ~twin
         who, n = np.unique(cls[lone], return_counts=True)
-        return pa.table({"class": pa.array(who.view(np.int64)), "n": pa.array(n.astype(np.int64)), "whole": pa.array(np.zeros(len(who), bool))})
+        known = [np.frombuffer(c.as_py(), _U).reshape(2, -1) for c in table.column("counts") if c.as_py()]
+        return _by_class(bits, np.concatenate([who, *(k[0] for k in known)]), np.concatenate([n.astype(_U), *(k[1] for k in known)]))
 
-    def count_all(table: pa.Table) -> pa.Table:
-        out = [count(table)]
-        for c in table.column("counts"):
-            if c.as_py():
-                both = np.frombuffer(c.as_py(), _U).reshape(2, -1)
-                out.append(pa.table({"class": pa.array(both[0].view(np.int64)), "n": pa.array(both[1].astype(np.int64)), "whole": pa.array(np.ones(both.shape[1], bool))}))
-        return pa.concat_tables(out)
+    def total(table: pa.Table) -> pa.Table:
+        both = np.concatenate([np.frombuffer(c.as_py(), _U).reshape(2, -1) for c in table.column("counts")], axis=1)
+        who, inverse = np.unique(both[0], return_inverse=True)
+        n = np.zeros(len(who), np.int64)
+        np.add.at(n, inverse, both[1].astype(np.int64))
+        return pa.table({"class": pa.array(who.view(np.int64)), "n_shared": pa.array(n)})
 
     sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, BLOCKS)
-    seen = sent.groupBy("bucket").applyInArrow(count_all, "class bigint, n bigint, whole boolean")
+    seen = sent.groupBy("bucket").applyInArrow(count, "part int, counts binary")
     # A class met in several chunks has a count from each chunk and counts from the buckets: an upper bound, as a filter needs.
-    return seen.groupBy("class").agg(F.sum("n").alias("n_shared"))
+    return seen.groupBy("part").applyInArrow(total, "class bigint, n_shared bigint")
+
+
+def _by_class(bits: int, who: np.ndarray, n: np.ndarray) -> pa.Table:
+    """Counts of classes as one packed row for each range of class hashes."""
+    order = np.argsort(who, kind="stable")
+    who, n = who[order], n[order]
+    part = (who >> _U(64 - bits)).astype(np.int64)
+    edge = np.searchsorted(part, np.arange((1 << bits) + 1))
+    has = [b for b in range(1 << bits) if edge[b] < edge[b + 1]]
+    return pa.table({"part": pa.array(has, pa.int32()), "counts": pa.array([np.stack([who[edge[b] : edge[b + 1]], n[edge[b] : edge[b + 1]]]).tobytes() for b in has], pa.binary())})
 
 
 def candidate_sets(docs: DataFrame, of: DataFrame) -> DataFrame:
     """class, n, shingles (packed) of the classes in `of` (class, doc_id): read from the text of one document each."""
 
     def run(batches):
-        for batch, gram, _, cut in shingle_sets(blocks(batches)):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(cut).astype(np.int64)), pa.array([gram[cut[i] : cut[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary())], ["class", "n", "shingles"])
+        for batch, gram, doc, cut in shingle_sets(blocks(batches)):
+            # a doc_id that repeats with other texts brings them along: only the text of the class asked for stays
+            same = pa.array(set_hash(gram, doc, cut).view(np.int64) == batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(cut).astype(np.int64)), pa.array([gram[cut[i] : cut[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary())], ["class", "n", "shingles"]).filter(same)
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = texts.join(of.withColumnRenamed("class", "_class").withColumnRenamed("n_shingles", "_n"), "doc_id").select(F.col("_class").alias("class"), "text", "_n")
-    made = joined.select("class", "text").mapInArrow(run, "class bigint, n bigint, shingles binary")
-    return made.dropDuplicates(["class"])  # a doc_id that repeats with other text is told apart by check() below
+    joined = texts.join(of.select(F.col("class").alias("_class"), "doc_id"), "doc_id").select(F.col("_class").alias("class"), "text")
+    return joined.mapInArrow(run, "class bigint, n bigint, shingles binary")
 
 
-def signature_matches(sets: DataFrame) -> DataFrame:
-    """Rows (sig, a, b): pairs of classes for signatures of up to SMALL classes (sig null), and members (b null) for others."""
-    bits = bucket_bits_for(sets)
+def candidate_links(sets: DataFrame) -> DataFrame:
+    """a, b: for each signature, its smallest class with each other one (repeats within a bucket removed)."""
+    bits = max(3, bucket_bits_for(sets) - 3)
 
     def emit(batches):
         held, classes, size, turn = [], [], 0, 0
@@ -287,52 +297,91 @@ def signature_matches(sets: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    def match(key_row: tuple, table: pa.Table) -> pa.Table:
+    def match(table: pa.Table) -> pa.Table:
         key, cls, _ = unpacked(table)
-        if len(key):
-            keep = np.ones(len(key), bool)
-            keep[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-            key, cls = key[keep], cls[keep]
         first, size = groups(key)
-        a, b = [np.zeros(0, _U)], [np.zeros(0, _U)]
-        for n in range(2, SMALL + 1):
-            start = first[size == n]
-            if len(start):
-                block = cls[start[:, None] + np.arange(n)]
-                i, j = np.triu_indices(n, 1)
-                a.append(block[:, i].ravel())
-                b.append(block[:, j].ravel())
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-        large = np.repeat(size > SMALL, size)
-        sig = (np.int64(int(key_row[0].as_py())) << np.int64(32)) | key[large].astype(np.int64)
-        return pa.table(
-            {
-                "sig": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(sig)]),
-                "a": pa.concat_arrays([pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(cls[large].view(np.int64))]),
-                "b": pa.concat_arrays([pa.array(pairs[:, 1].copy().view(np.int64)), pa.nulls(int(large.sum()), pa.int64())]),
-            }
-        )
-
-    return sets.select("class", "shingles").mapInArrow(emit, BLOCKS).groupBy("bucket").applyInArrow(match, "sig bigint, a bigint, b bigint")
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose sets link, by exact count of the intersection."""
+        star = np.unique(np.stack([np.repeat(cls[first], size), cls], axis=1), axis=0) if len(key) else np.zeros((0, 2), _U)
+        star = star[star[:, 0] != star[:, 1]]
+        return pa.table({"a": pa.array(star[:, 0].copy().view(np.int64)), "b": pa.array(star[:, 1].copy().view(np.int64))})
+
+    return sets.select("class", "shingles").mapInArrow(emit, BLOCKS).groupBy("bucket").applyInArrow(match, "a bigint, b bigint")
+
+
+PACKS = "grp bigint, band int, sub int, classes binary, sizes binary, shingles binary"
+
+
+def packs(sets: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Rows of PACKS: the sets of each candidate group (node, root), cut by size band (ratio 1.15) and hash into packs."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        cls = np.array(table.column("class").to_pylist(), np.int64)
+        n = np.array(table.column("n").to_pylist(), np.int64)
+        row = [pa.array([k.as_py()], t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+        blob = b"".join(x.as_py() for x in table.column("shingles"))
+        return pa.table([*row, pa.array([cls.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([blob], pa.binary())], names=["grp", "band", "sub", "classes", "sizes", "shingles"])
+
+    of = grouped.select(F.col("node").alias("class"), F.col("root").alias("grp"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.15))).cast("int")
+    inside = sets.join(of, "class").withColumn("band", band)
+    sizes = inside.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("_size"))
+    cut = inside.join(sizes, ["grp", "band"]).withColumn("sub", F.pmod(F.xxhash64("class"), F.ceil(F.col("_size") / PACK)).cast("int"))
+    return cut.select("class", "n", "shingles", "grp", "band", "sub").groupBy("grp", "band", "sub").applyInArrow(run, PACKS)
+
+
+def forest(a: tuple, b: tuple) -> list[tuple[int, int]]:
+    """Links between the sets of two packs (classes, sizes, elements), as a spanning forest."""
+    (ca, na, ea), (cb, nb, eb) = a, b
+    wa, wb = np.repeat(np.arange(len(ca)), na), np.repeat(np.arange(len(cb)), nb)
+    shared = np.intersect1d(ea, eb)
+    if len(shared) == 0:
+        return []
+    ia, ib = np.searchsorted(shared, ea), np.searchsorted(shared, eb)
+    oka = shared[np.minimum(ia, len(shared) - 1)] == ea
+    okb = shared[np.minimum(ib, len(shared) - 1)] == eb
+    both = np.zeros((len(ca), len(cb)), np.int64)
+    for at in range(0, len(shared), 1 << 13):  # incidence matrices, a slice of the elements at a time
+        to = min(at + (1 << 13), len(shared))
+        ma, mb = oka & (ia >= at) & (ia < to), okb & (ib >= at) & (ib < to)
+        x = np.zeros((len(ca), to - at), np.float32)
+        y = np.zeros((len(cb), to - at), np.float32)
+        x[wa[ma], ia[ma] - at] = 1
+        y[wb[mb], ib[mb] - at] = 1
+        both += np.rint(x @ y.T).astype(np.int64)
+    link = 100 * both >= 75 * (na[:, None] + nb[None, :] - both)
+    i, j = np.nonzero(link)
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    out = []
+    for u, v in zip(ca[i].tolist(), cb[j].tolist(), strict=True):
+        p, q = find(u), find(v)
+        if p != q:
+            root[p] = q
+            out.append((min(u, v), max(u, v)))
+    return out
+
+
+def links_within(made: DataFrame) -> DataFrame:
+    """a, b: a spanning forest of the links within and between the packs of each group."""
 
     def run(batches):
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            ok = []
-            for x, y in zip(left, right, strict=True):
-                p, q = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= 75 * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            rows = []
+            for r in batch.to_pylist():
+                a, b = ((np.frombuffer(r[f"classes{k}"], np.int64), np.frombuffer(r[f"sizes{k}"], np.int64), np.frombuffer(r[f"shingles{k}"], _U)) for k in "12")
+                rows += forest(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64())], ["a", "b"])
 
-    size = sets.select(F.col("class").alias("a"), F.col("n").alias("_na"), F.col("shingles").alias("_sa"))
-    other = sets.select(F.col("class").alias("b"), F.col("n").alias("_nb"), F.col("shingles").alias("_sb"))
-    near = pairs.join(size, "a").join(other, "b").where((4 * F.col("_na") >= 3 * F.col("_nb")) & (4 * F.col("_nb") >= 3 * F.col("_na")))
-    return near.select("a", "b", "_sa", "_sb").mapInArrow(run, "a bigint, b bigint")
+    one = made.select("grp", *[F.col(c).alias(f"{c}1") for c in ("band", "sub", "classes", "sizes", "shingles")])
+    two = made.select("grp", *[F.col(c).alias(f"{c}2") for c in ("band", "sub", "classes", "sizes", "shingles")])
+    near = (F.col("band2") <= F.col("band1") + 3) & ((F.col("band1") < F.col("band2")) | ((F.col("band1") == F.col("band2")) & (F.col("sub1") <= F.col("sub2"))))
+    pairs = one.join(two, "grp").where(near)
+    return pairs.select("classes1", "sizes1", "shingles1", "classes2", "sizes2", "shingles2").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -369,38 +418,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = scratch.keep(rows.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n_copies")), "classes")
     likely = classes.join(shared_shingles(docs), "class").where(4 * F.col("n_shared") >= 3 * F.col("n_shingles")).select("class", "doc_id", "n_shingles")
     sets = scratch.keep(candidate_sets(docs, likely), "sets")
-    found = scratch.keep(signature_matches(sets), "matches")
-    pairs = found.where(F.col("sig").isNull()).select("a", "b").distinct()
-    links = scratch.keep(verified(pairs, sets), "links")
-    large = found.where(F.col("sig").isNotNull()).select("sig", F.col("a").alias("class"))
-    roots = components(links, scratch, "cc")
-    if large.limit(1).count():
-        tested = None
-        for r in range(ROUNDS + 1):
-            at = large.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-            drawn = F.struct(F.xxhash64("class", F.lit(r)).alias("h"), F.col("class").alias("c"), F.col("root").alias("r"))
-            per = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(drawn).alias("lead")).where(F.col("lo") != F.col("hi"))
-            mixed = at.join(per.select("sig", "lead"), "sig")
-            if r < ROUNDS:
-                ask = mixed.where(F.col("lead.r") != F.col("root")).select(F.least("class", "lead.c").alias("a"), F.greatest("class", "lead.c").alias("b"))
-            else:
-                other = mixed.select("sig", F.col("class").alias("c2"), F.col("root").alias("r2"))
-                ask = mixed.join(other, "sig").where((F.col("class") < F.col("c2")) & (F.col("root") != F.col("r2"))).select(F.col("class").alias("a"), F.col("c2").alias("b"))
-            ask = ask.distinct()
-            if tested is not None:
-                ask = ask.join(tested, ["a", "b"], "left_anti")
-            ask = scratch.keep(ask, f"ask-{r}")
-            if not ask.limit(1).count():
-                if r < ROUNDS:
-                    if not mixed.limit(1).count():
-                        break
-                    continue
-                break
-            more = scratch.keep(verified(ask, sets), f"more-{r}")
-            tested = ask if tested is None else tested.union(ask)
-            if more.limit(1).count():
-                links = links.union(more)
-                roots = components(links, scratch, f"cc{r}")
+    stars = scratch.keep(candidate_links(sets).distinct(), "stars")
+    grouped = components(stars, scratch, "candidates")
+    made = scratch.keep(packs(sets, grouped), "packs")
+    links = scratch.keep(links_within(made).distinct(), "links")
+    scratch.drop("packs")
+    roots = components(links, scratch, "groups")
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(first, "root").select("class", "component_id", "n_copies")
