@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
-from . import ctxmix, langid, mixing, packing, partenum, textdensity
+from . import ctxmix, langid, mixing, packing, partenum, textdensity, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shuffled(mixed, shuffle_partitions(spark))
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all `documents`, and their likeness to an edited text and to the next document."""
+    return winnowing.compare(table(spark, sf_dir, "documents"), 4 * shuffle_partitions(spark))
+
+
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all `pages`."""
     return textdensity.extract(table(spark, sf_dir, "pages"))
@@ -61,6 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_winnowing": op3_winnowing,
     "op4_html_main_text": op4_html_main_text,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
