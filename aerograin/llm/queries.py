@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
-from . import ctxmix, langid, mixing, packing, partenum, textdensity, winnowing
+from . import ctxmix, langid, mixing, packing, partenum, pii, secrets, textdensity, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,22 @@ def crc_fold(doc_id, folds: int):
     return F.crc32(doc_id.cast("bigint").cast("string").cast("binary")) % folds
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all `documents`."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs.select("doc_id", "text"), secrets.train(docs))
+    counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex", "markov")]
+    return found.select("doc_id", *counts, F.sha2(secrets.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all `documents`."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    digest = F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", digest, pii.written(F.concat("base", "added")).alias("spans"), F.size("added").cast("bigint").alias("n_added"))
+
+
 def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all `documents` by a model of those whose crc32(doc_id) mod 5 is not 1."""
     docs = table(spark, sf_dir, "documents")
@@ -70,6 +86,8 @@ QUERIES = {
     "op4_html_main_text": op4_html_main_text,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_personal_data": op8_personal_data,
     "op9_context_mixing": op9_context_mixing,
     "op10_language_id": op10_language_id,
 }
