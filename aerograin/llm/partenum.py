@@ -35,7 +35,7 @@ K_WORDS = 5
 TINY = 48
 PACK = 64
 SPARE = 0.5
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _U = np.uint64
 BLOCKS = "bucket int, keys binary, owner binary, classes binary, flags binary, counts binary"
@@ -168,7 +168,7 @@ def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket_bits_for(docs: DataFrame) -> int:
-    return max(4, (max(1, shuffle_partitions(docs.sparkSession)) - 1).bit_length())
+    return max(4, (max(1, shuffle_partitions(docs.sparkSession)) - 1).bit_length() + 1)
 
 
 def members(docs: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def candidate_sets(docs: DataFrame, of: DataFrame) -> DataFrame:
 
 def candidate_links(sets: DataFrame) -> DataFrame:
     """a, b: for each signature, its smallest class with each other one (repeats within a bucket removed)."""
-    bits = max(3, bucket_bits_for(sets) - 3)
+    bits = max(3, bucket_bits_for(sets) - 4)
 
     def emit(batches):
         held, classes, size, turn = [], [], 0, 0
@@ -291,7 +291,7 @@ def candidate_links(sets: DataFrame) -> DataFrame:
                 classes.append(c & (2**64 - 1))
                 held.append(np.frombuffer(s.as_py(), _U))
                 size += len(held[-1])
-                if size >= CHUNK // 8:
+                if size >= CHUNK // 4:
                     yield flush()
                     held, classes, size, turn = [], [], 0, turn + 1
         if held:
