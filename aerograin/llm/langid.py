@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 from .arrays import LOWER, U64, blocks, mix
@@ -25,7 +26,6 @@ RIDGE = 1e-2
 UNKNOWN = "und"
 SHARPNESS = 6.0
 
-SCORED = "doc_id bigint, lang_pred string, score double"
 _NOT_LETTERS = r"^\P{L}*$"
 
 
@@ -112,27 +112,29 @@ def train(docs: DataFrame, label: str = "lang", per_lang: int = SAMPLE_PER_LANG,
     return fit(flags, [r["label"] for r in got], landmarks)
 
 
-def identify(docs: DataFrame, model: KernelModel | None) -> DataFrame:
-    """doc_id, lang_pred and score of every document, from its whole text alone.
+def tagged(docs: DataFrame, model: KernelModel | None) -> DataFrame:
+    """All columns of `docs` with lang_pred and score (columns of these names are replaced), from the whole text alone.
 
     A null text, or one without a letter, is `und` with score 0; so is every document where there is no model. The score is
-    the softmax of the decision values, 0 to 1. Rows that repeat are scored alike; only doc_id and text are read.
+    the softmax of the decision values, 0 to 1. Rows that repeat are scored alike; an empty table stays empty.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
+    names = docs.columns
 
     def score(batches):
         from aerograin.llm import langid as own
 
         m = shared.value
-        for batch, data, offsets in blocks(batches, size=1 << 18):
-            ids, letters = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
-            names, scores = [], np.zeros(batch.num_rows)
+        for batch, data, offsets in blocks(batches, text="_text", size=1 << 18):
+            letters = batch.column(len(names) + 1).to_numpy(zero_copy_only=False)
+            found, scores = [], np.zeros(batch.num_rows)
             for at in range(0, batch.num_rows, 64):
                 to = min(at + 64, batch.num_rows)
                 if m is None:
-                    names += [own.UNKNOWN] * (to - at)
+                    found += [own.UNKNOWN] * (to - at)
                     continue
                 part = offsets[at : to + 1]
                 f = m.decisions(own.presence(data[part[0] : part[-1]], part - part[0]))
@@ -140,9 +142,16 @@ def identify(docs: DataFrame, model: KernelModel | None) -> DataFrame:
                 best = f.argmax(axis=1)
                 p = e[np.arange(to - at), best] / e.sum(axis=1)
                 ok = letters[at:to].astype(bool)
-                names += [m.languages[b] if k else own.UNKNOWN for b, k in zip(best, ok, strict=True)]
+                found += [m.languages[b] if k else own.UNKNOWN for b, k in zip(best, ok, strict=True)]
                 scores[at:to] = np.where(ok, p, 0.0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(found, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), (~text.rlike(_NOT_LETTERS)).alias("letters")).mapInArrow(score, SCORED)
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select("*", text.alias("_text"), (~text.rlike(_NOT_LETTERS)).alias("_letters")).mapInArrow(score, schema)
+
+
+def identify(docs: DataFrame, model: KernelModel | None) -> DataFrame:
+    """doc_id, lang_pred, score of every row: tagged() without the other columns."""
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return tagged(slim, model).select("doc_id", "lang_pred", "score")

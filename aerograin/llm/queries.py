@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
-from . import ctxmix, langid, mixing, packing, partenum, pii, secrets, textdensity, winnowing
+from . import chroma, ctxmix, langid, mixing, packing, partenum, pii, secrets, textdensity, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shuffled(mixed, shuffle_partitions(spark))
 
 
+def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings rendered from all `embeddings`, fingerprinted; those with vec_id divisible by 20 searched against all."""
+    media = chroma.rendered(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return chroma.search(chroma.fingerprints(media, "id", "audio"), lambda i: i % 20 == 0)
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all `documents`, and their likeness to an edited text and to the next document."""
     return winnowing.compare(table(spark, sf_dir, "documents"), 4 * shuffle_partitions(spark))
@@ -82,6 +88,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_chroma_fingerprints": op2_chroma_fingerprints,
     "op3_winnowing": op3_winnowing,
     "op4_html_main_text": op4_html_main_text,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
