@@ -26,7 +26,7 @@ WIDTH = 16
 CLASSES = 12
 LOWEST, HIGHEST = 65.0, 900.0
 STEPS = (-0.25, 0.0, 0.25)
-LEAST_OVERLAP = 12
+LEAST_OVERLAP = 24
 MOST_ERROR = 0.2
 
 FINGERPRINTS = "id bigint, frames array<int>"
