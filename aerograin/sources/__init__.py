@@ -1 +1 @@
-"""See the package README."""
+"""Readers, sensor-shaped views over the event table, generators, and sinks."""
