@@ -47,11 +47,16 @@ def class_of_value(x: Column, limits: Breakpoints) -> Column:
     return high if limits.low is None else F.greatest(high, side(-x, tuple(-b for b in limits.low)))
 
 
+def complete(cols: tuple[str, ...] = INDICATORS) -> Column:
+    """All five indicators are there, so the index is: filter by this, not by the index, and the filter stays small."""
+    return reduce(lambda a, b: a & b, [F.col(i).isNotNull() for i in cols])
+
+
 def with_index(df: DataFrame, cfg: IndexConfig | None = None) -> DataFrame:
     """Adds d_<indicator>, Q_<component>, Q_mean, Q_max, delta, I and classes; null unless all five indicators are there."""
     cfg = cfg or IndexConfig()
     out = df.withColumns({f"d_{i}": deviation_score(F.col(i), cfg.limits[i]) for i in INDICATORS})
-    whole = reduce(lambda a, b: a & b, [F.col(i).isNotNull() for i in INDICATORS])
+    whole = complete()
     parts = cfg.components
     q = {f"Q_{c}": F.when(whole, F.greatest(*[F.col(f"d_{i}") for i in m]) if len(m) > 1 else F.col(f"d_{m[0]}")) for c, m in parts.items()}
     out = out.withColumns(q)

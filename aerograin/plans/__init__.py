@@ -1 +1 @@
-"""See the package README."""
+"""Registered queries of the analytics operators, with equivalent SQL."""
