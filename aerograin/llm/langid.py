@@ -60,8 +60,11 @@ class KernelModel:
         return kernel @ self.weights
 
 
-def fit(flags: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
-    """Landmarks: round robin over the languages in the order given. Ties between languages go to the first by name."""
+def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
+    """`bits`: packed flags, a row a document; they are unpacked some hundred rows at a time.
+
+    Landmarks: round robin over the languages in the order given. Ties between languages go to the first by name.
+    """
     languages = sorted(set(labels))
     where = {g: [i for i, x in enumerate(labels) if x == g] for g in languages}
     chosen: list[int] = []
@@ -69,12 +72,15 @@ def fit(flags: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
         for g in languages:
             if where[g] and len(chosen) < landmarks:
                 chosen.append(where[g].pop(0))
-    norm = np.sqrt(np.maximum(flags.sum(axis=1, dtype=np.float64), 1.0))
-    unit = (flags / norm[:, None]).astype(np.float32)
-    z = unit[chosen]
-    kzz = (z @ z.T).astype(np.float64)
-    low = np.linalg.cholesky(kzz + 1e-4 * np.eye(len(z)))
-    phi = np.linalg.solve(low, (z @ unit.T).astype(np.float64)).T
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        flags = np.unpackbits(rows, axis=1).astype(np.float32)
+        return flags / np.sqrt(np.maximum(flags.sum(axis=1, keepdims=True), 1.0))
+
+    z = unit(bits[chosen])
+    kernel = np.concatenate([(unit(bits[i : i + 256]) @ z.T).astype(np.float64) for i in range(0, len(bits), 256)])
+    low = np.linalg.cholesky(kernel[chosen] + 1e-4 * np.eye(len(z)))
+    phi = np.linalg.solve(low, kernel.T).T
     y = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     share = np.array([labels.count(g) for g in labels], dtype=np.float64)
     w = len(labels) / (len(languages) * share)  # each language weighs the same
@@ -108,8 +114,7 @@ def train(docs: DataFrame, label: str = "lang", per_lang: int = SAMPLE_PER_LANG,
     if not got:
         return None
     got.sort(key=lambda r: (r["draw"], r["label"], bytes(r["bits"])))
-    flags = np.unpackbits(np.array([np.frombuffer(r["bits"], np.uint8) for r in got]), axis=1).astype(np.float32)
-    return fit(flags, [r["label"] for r in got], landmarks)
+    return fit(np.array([np.frombuffer(r["bits"], np.uint8) for r in got]), [r["label"] for r in got], landmarks)
 
 
 def tagged(docs: DataFrame, model: KernelModel | None) -> DataFrame:
