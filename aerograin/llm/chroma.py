@@ -3,6 +3,8 @@
 A recording (mono 16-bit WAV) becomes frames of 12 pitch classes: energy of a short-time spectrum folded onto the octave.
 Over every WIDTH frames 16 filters compare sums of two regions of the (time, pitch class) image, read from its integral
 image; each log ratio is quantised to 2 bits (Gray code), 32 bits in all: one packed integer a frame.
+Candidates share a code: the integers of two windows side by side, of which the smallest hash in every WIDTH neighbouring
+ones is listed, so that recordings with WIDTH codes in a row in common share a listed one.
 Two recordings are aligned by a histogram of the offsets at which equal integers stand; at the best offset the share of
 differing bits over the overlap decides.
 """
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, ship
+from .arrays import mix
 
 RATE = 2000
 FRAME = 512
@@ -29,7 +32,7 @@ STEPS = (-0.25, 0.0, 0.25)
 LEAST_OVERLAP = 24
 MOST_ERROR = 0.2
 
-FINGERPRINTS = "id bigint, frames array<int>"
+FINGERPRINTS = "id bigint, frames array<int>, codes array<bigint>"
 
 
 def filters() -> list[tuple[tuple[int, int, int, int], tuple[int, int, int, int]]]:
@@ -111,18 +114,36 @@ def packed(image: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(media: DataFrame, id_column: str, audio_column: str) -> DataFrame:
-    """id, frames (packed integers, as signed ints) of every row; audio that is null, damaged or too short gives none."""
+def listed(frames: np.ndarray) -> np.ndarray:
+    """Distinct codes of a recording that stand for it in the candidate search."""
+    if len(frames) == 0:
+        return np.zeros(0, np.int64)
+    wide = frames.astype(np.uint64)
+    code = mix(wide[:-WIDTH] << np.uint64(32) | wide[WIDTH:]) if len(frames) > WIDTH else mix(wide)
+    if len(code) <= WIDTH:
+        return code.min(keepdims=True).view(np.int64)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(code, WIDTH).min(axis=1)).view(np.int64)
+
+
+def fingerprints(media: DataFrame, id_column: str, audio_column: str, decode=samples) -> DataFrame:
+    """id, frames (packed integers, as signed ints) and codes of every row; audio that is null, damaged or too short gives none.
+
+    `decode` turns a value of the column into samples at RATE; the default reads WAV bytes.
+    """
     ship(media.sparkSession)
 
     def run(batches):
         from aerograin.llm import chroma as own
 
+        def column(parts: list, kind: pa.DataType) -> pa.Array:
+            ends = np.cumsum([0] + [len(p) for p in parts])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), kind))
+
         for batch in batches:
-            made = [own.packed(own.chroma(own.samples(x.as_py()))).view(np.int32) for x in batch.column(1)]
-            lengths = np.cumsum([0] + [len(m) for m in made])
-            flat = pa.array(np.concatenate(made) if made else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)], ["id", "frames"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                made = [own.packed(own.chroma(decode(x.as_py()))) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), column([m.view(np.int32) for m in made], pa.int32()), column([own.listed(m) for m in made], pa.int64())], ["id", "frames", "codes"])
 
     return media.select(F.col(id_column).cast("bigint").alias("id"), F.col(audio_column).alias("audio")).mapInArrow(run, FINGERPRINTS)
 
@@ -151,14 +172,14 @@ def search(prints: DataFrame, is_query) -> DataFrame:
     """id, class_id, match_class_id, offset_frames, bit_error: a row for every recording with its class (the smallest id with the
     same fingerprint; match null), and a row for every pair (class of a query, other class) that aligns.
 
-    Candidates share an integer, found by an equi-join over distinct (class, integer) rows; copies are one class, so a
+    Candidates share a listed code, found by an equi-join over distinct (class, code) rows; copies are one class, so a
     recording in a third of the rows is one row there. Recordings without frames are classes of their own and match nothing.
     """
     scratch = Scratch(prints.sparkSession, "chroma")
     rows = scratch.keep(prints.withColumn("key", F.when(F.size("frames") > 0, F.sha2(F.to_json("frames").cast("binary"), 256))), "prints")
-    classes = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("class_id"), F.max(is_query(F.col("id"))).alias("asked"), F.first("frames").alias("frames"))
+    classes = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("class_id"), F.max(is_query(F.col("id"))).alias("asked"), F.first("frames").alias("frames"), F.first("codes").alias("codes"))
     classes = scratch.keep(classes, "classes")
-    posting = classes.select("class_id", "asked", F.explode(F.array_distinct("frames")).alias("code"))
+    posting = classes.select("class_id", "asked", F.explode("codes").alias("code"))
     left = posting.where("asked").select(F.col("class_id").alias("a"), "code")
     pairs = left.join(posting.select(F.col("class_id").alias("b"), "code"), "code").where("a <> b").select("a", "b").distinct()
 
@@ -178,25 +199,11 @@ def search(prints: DataFrame, is_query) -> DataFrame:
     return member.union(found.select("a", F.col("a").alias("c"), "b", "offset", "error"))
 
 
-def rendered(vectors: DataFrame, id_column: str, vector_column: str, notes: int = 24) -> DataFrame:
-    """A recording for every vector, since the tables hold none: (id, audio).
+def render(vector: list | None, notes: int = 24) -> bytes | None:
+    """A recording for a vector, since the tables hold none: a WAV file of `notes` notes of an eighth of a second.
 
-    Note i (an eighth of a second) sounds the pitch class that vector entry 2i picks and, softer, the one entry 2i+1 picks.
-    A null or short vector gives null.
+    Note i sounds the pitch that vector entry 2i picks and, softer, the one entry 2i+1 picks. A null or short vector gives null.
     """
-
-    def run(batches):
-        from aerograin.llm import chroma as own
-
-        for batch in batches:
-            made = [own.render(x.as_py(), notes) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "audio"])
-
-    ship(vectors.sparkSession)
-    return vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).alias("v")).mapInArrow(run, "id bigint, audio binary")
-
-
-def render(vector: list | None, notes: int) -> bytes | None:
     if vector is None or len(vector) < 2 * notes or any(x is None for x in vector):
         return None
     v = np.array(vector[: 2 * notes], np.float64)
@@ -213,3 +220,8 @@ def render(vector: list | None, notes: int) -> bytes | None:
         f.setframerate(RATE)
         f.writeframes((tone * 30000).astype("<i2").tobytes())
     return out.getvalue()
+
+
+def rendered(vector: list | None) -> np.ndarray:
+    """Samples of the recording of a vector: written as WAV and read back."""
+    return samples(render(vector))

@@ -21,8 +21,8 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings rendered from all `embeddings`, fingerprinted; those with vec_id divisible by 20 searched against all."""
-    media = chroma.rendered(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return chroma.search(chroma.fingerprints(media, "id", "audio"), lambda i: i % 20 == 0)
+    prints = chroma.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", chroma.rendered)
+    return chroma.search(prints, lambda i: i % 20 == 0)
 
 
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
