@@ -7,6 +7,8 @@ out. The centroid is taken over an even universe of 0 to 100.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,9 +100,6 @@ def centroid(act: Degrees, cfg: FuzzyConfig | None = None) -> Column:
 
 def with_centroid(df: DataFrame, degrees: list[str], name: str, cfg: FuzzyConfig | None = None) -> DataFrame:
     """Adds `name`: the centroid of the four degree columns, vectorised (Arrow, a chunk of rows against the universe)."""
-    import numpy as np
-    import pandas as pd
-
     cfg = cfg or FuzzyConfig()
     curves, u = np.array(output_curves(cfg)), np.linspace(0.0, 100.0, cfg.points)
 
