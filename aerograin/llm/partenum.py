@@ -325,7 +325,8 @@ def packs(sets: DataFrame, grouped: DataFrame) -> DataFrame:
     inside = sets.join(of, "class").withColumn("band", band)
     sizes = inside.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("_size"))
     cut = inside.join(sizes, ["grp", "band"]).withColumn("sub", F.pmod(F.xxhash64("class"), F.ceil(F.col("_size") / PACK)).cast("int"))
-    return cut.select("class", "n", "shingles", "grp", "band", "sub").groupBy("grp", "band", "sub").applyInArrow(run, PACKS)
+    # dealt anew by pack: the counts left the rows dealt by group and band, where one group may be most of the table
+    return cut.select("class", "n", "shingles", "grp", "band", "sub").repartition("grp", "band", "sub").groupBy("grp", "band", "sub").applyInArrow(run, PACKS)
 
 
 def forest(a: tuple, b: tuple) -> list[tuple[int, int]]:
