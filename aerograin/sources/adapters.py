@@ -11,13 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def readings_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """home, time, pm25, pm10, co2, t, rh: four homes, one reading an hour, some hours absent, some readings null."""
-    e = table(spark, sf_dir, "events").where("event_id % 11 <> 0")
+    """home, time, pm25, pm10, co2, t, rh: four homes, one reading an hour, an hour left out after every ten, some readings null."""
+    e = table(spark, sf_dir, "events")
     ok = ~((F.col("event_type") == "error") & (F.col("event_id") % 5 == 0))
     when = lambda x: F.when(ok, x)
     return e.select(
         (F.col("event_id") % 4).alias("home"),
-        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(event_id div 4 as int))").alias("time"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(event_id div 4 + event_id div 40 as int))").alias("time"),
         when(F.col("value") * 0.5).alias("pm25"),
         when(F.col("value") * 0.6).alias("pm10"),
         when(380 + F.col("value") * 8).alias("co2"),
@@ -27,19 +27,19 @@ def readings_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HOURLY = """readings AS (
-  SELECT event_id % 4 AS home, TIMESTAMP '2024-01-01' + to_hours(CAST(event_id // 4 AS BIGINT)) AS time,
+  SELECT event_id % 4 AS home, TIMESTAMP '2024-01-01' + to_hours(CAST(event_id // 4 + event_id // 40 AS BIGINT)) AS time,
     CASE WHEN ok THEN value * 0.5 END AS pm25, CASE WHEN ok THEN value * 0.6 END AS pm10,
     CASE WHEN ok THEN 380 + value * 8 END AS co2,
     CASE WHEN ok THEN 14 + (event_id * 7 % 160) / 10.0::DOUBLE END AS t,
     CASE WHEN ok THEN 12 + (event_id * 13 % 800) / 10.0::DOUBLE END AS rh
-  FROM (SELECT *, NOT (event_type = 'error' AND event_id % 5 = 0) AS ok FROM events WHERE event_id % 11 <> 0))"""
+  FROM (SELECT *, NOT (event_type = 'error' AND event_id % 5 = 0) AS ok FROM events))"""
 
 
 def readings_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
     """device, ts, pm1, pm2_5, pm4, pm10, co2, temperature, temperature2, humidity, humidity2, status: about 30 s apart, with
     jitter, gaps, stuck stretches, broken PM order and failing devices."""
-    e = table(spark, sf_dir, "events").where("event_id % 13 <> 0")
-    slot = F.expr("event_id div 4")
+    e = table(spark, sf_dir, "events")
+    slot = F.expr("event_id div 4 + event_id div 48")
     pm = F.when(slot % 50 < 6, F.lit(12.0)).otherwise(F.col("value") * 0.4)
     return (
         e.select("event_id", "event_type", "value", slot.alias("slot"), pm.alias("pm2_5"))
@@ -66,4 +66,4 @@ S30 = """readings30 AS (
     350 + value * 6 AS co2, 18 + (slot * 7 % 80) / 10.0::DOUBLE AS temperature, 18 + (slot * 7 % 80) / 10.0::DOUBLE + event_id % 3 AS temperature2,
     20 + (slot * 13 % 500) / 10.0::DOUBLE AS humidity, 20 + (slot * 13 % 500) / 10.0::DOUBLE + event_id % 9 AS humidity2,
     CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'Failed' WHEN event_type = 'signup' AND event_id % 5 = 0 THEN 'partial' ELSE 'ok' END AS status
-  FROM (SELECT *, event_id // 4 AS slot, CASE WHEN event_id // 4 % 50 < 6 THEN 12.0 ELSE value * 0.4 END AS pm2_5 FROM events WHERE event_id % 13 <> 0))"""
+  FROM (SELECT *, CASE WHEN slot % 50 < 6 THEN 12.0 ELSE value * 0.4 END AS pm2_5 FROM (SELECT *, event_id // 4 + event_id // 48 AS slot FROM events)))"""
