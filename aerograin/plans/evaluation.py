@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import FuzzyConfig
 from ..functions import fuzzy, scores, stats
 from ..operators import evaluate
+from ..session import Scratch
 from ..sources.adapters import table
 from . import hourly, sensor
 
@@ -104,7 +105,7 @@ def boundary_nearest(spark, sf_dir):
 
 def stability(spark, sf_dir):
     """Thirty perturbed trials of those windows: how often the class changes, with Wilson bounds, and how far the index moves."""
-    base = evaluate.nearest_boundary(sensor.windows(spark, sf_dir)).drop("distance")
+    base = Scratch(spark, "stability").keep(evaluate.nearest_boundary(sensor.windows(spark, sf_dir)).drop("distance"), "base")
     before = fuzzy.infer(base).select("device", "tick", F.col("index_value").alias("index0"), F.col("index_class").alias("class0"))
     after = fuzzy.infer(evaluate.perturbed(base)).join(before, ["device", "tick"]).where("index_value is not null and index0 is not null")
     d = F.abs(F.col("index_value") - F.col("index0"))
@@ -116,7 +117,7 @@ def stability(spark, sf_dir):
 
 def trial_flapping(spark, sf_dir):
     """Class changes along each window's sequence of trials."""
-    base = evaluate.nearest_boundary(sensor.windows(spark, sf_dir)).drop("distance")
+    base = Scratch(spark, "flapping").keep(evaluate.nearest_boundary(sensor.windows(spark, sf_dir)).drop("distance"), "base")
     x = fuzzy.infer(evaluate.perturbed(base)).where("index_class is not null")
     w = Window.partitionBy("device", "tick").orderBy("trial")
     return x.withColumn("turn", F.col("index_class") != F.lag("index_class").over(w)).groupBy("device", "tick").agg(F.count(F.lit(1)).alias("n"), F.count_if("turn").alias("n_turns"))
