@@ -6,12 +6,26 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
 
+@contextmanager
+def settings(spark: SparkSession, pairs: dict[str, str]):
+    """Session settings for the jobs run inside, put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in pairs}
+    try:
+        for k, v in pairs.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
