@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch, ship, shuffle_partitions
+from ..session import Scratch, settings, ship, shuffle_partitions
 from .arrays import U64, Words, blocks, mix, word_grams
 
 K_WORDS = 5
@@ -373,9 +373,9 @@ def links_within(made: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                a, b = ((np.frombuffer(r[f"classes{k}"], np.int64), np.frombuffer(r[f"sizes{k}"], np.int64), np.frombuffer(r[f"shingles{k}"], _U)) for k in "12")
-                rows += forest(a, b)
+            for r in range(batch.num_rows):
+                cell = [np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in enumerate((np.int64, np.int64, _U) * 2)]
+                rows += forest(tuple(cell[:3]), tuple(cell[3:]))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64())], ["a", "b"])
 
     one = made.select("grp", *[F.col(c).alias(f"{c}1") for c in ("band", "sub", "classes", "sizes", "shingles")])
@@ -422,7 +422,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     stars = scratch.keep(candidate_links(sets).distinct(), "stars")
     grouped = components(stars, scratch, "candidates")
     made = scratch.keep(packs(sets, grouped), "packs")
-    links = scratch.keep(links_within(made).distinct(), "links")
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "16"}):  # a row holds two packs
+        links = scratch.keep(links_within(made).distinct(), "links")
     scratch.drop("packs")
     roots = components(links, scratch, "groups")
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
