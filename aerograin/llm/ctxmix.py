@@ -99,9 +99,10 @@ class _Tables:
     def __init__(self):
         self.counts = {k: np.zeros(a * b, np.int32) for k, (a, b) in TABLES.items()}
 
-    def add(self, name: str, context: np.ndarray, symbol: np.ndarray) -> None:
-        size = TABLES[name][1]
-        leaf, n = np.unique(context * size + symbol, return_counts=True)
+    def add(self, name: str, context: np.ndarray, symbol: np.ndarray, times: np.ndarray | None = None) -> None:
+        leaf, inverse, n = np.unique(context * TABLES[name][1] + symbol, return_inverse=True, return_counts=True)
+        if times is not None:
+            n = np.bincount(inverse, times, minlength=len(leaf))
         self.counts[name][leaf] += n.astype(np.int32)
 
     def rows(self):
@@ -191,13 +192,15 @@ def coded(docs: DataFrame, bits: int) -> DataFrame:
             held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             if (~held[w.doc]).any():
                 mine = np.flatnonzero(~held[w.doc])
-                one = mine[np.unique(w.hash[mine], return_index=True)[1]]
+                _, first, times = np.unique(w.hash[mine], return_index=True, return_counts=True)
+                by_place = np.argsort(first)
+                one, times = mine[first[by_place]], times[by_place]
                 length = w.end[one] - w.start[one]
                 stops = np.cumsum(length)
                 where = np.arange(int(stops[-1])) - np.repeat(stops - length, length) + np.repeat(w.start[one], length)
-                symbol, ctx, _ = spelled(w.bytes[where], stops)
+                symbol, ctx, word = spelled(w.bytes[where], stops)
                 for name, c in zip(BYTE_TABLES, ctx, strict=True):
-                    tables.add(name, c, symbol)
+                    tables.add(name, c, symbol, times[word])
             if held[w.doc].any():
                 mine = np.flatnonzero(held[w.doc])
                 known = set(w.hash[np.flatnonzero(~held[w.doc])].tolist())

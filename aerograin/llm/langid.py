@@ -94,6 +94,7 @@ def train(docs: DataFrame, label: str = "lang", per_lang: int = SAMPLE_PER_LANG,
     Null labels and texts without letters are not used. The sample travels as bits (2 KB a document). No label: None.
     """
     ship(docs.sparkSession)
+    docs = docs.select("doc_id", label, "text")
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & ~F.col("text").rlike(_NOT_LETTERS))
     rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("string").alias("label"), F.xxhash64(F.col("doc_id").cast("bigint")).alias("draw"))
     # The smallest draws of each label, first in groups by the draw and then over the groups: a label's rows never meet in one task.
@@ -133,7 +134,7 @@ def tagged(docs: DataFrame, model: KernelModel | None) -> DataFrame:
         from aerograin.llm import langid as own
 
         m = shared.value
-        for batch, data, offsets in blocks(batches, text="_text", size=1 << 18):
+        for batch, data, offsets in blocks(batches, text="__tag_text", size=1 << 18):
             letters = batch.column(len(names) + 1).to_numpy(zero_copy_only=False)
             found, scores = [], np.zeros(batch.num_rows)
             for at in range(0, batch.num_rows, 64):
@@ -153,7 +154,7 @@ def tagged(docs: DataFrame, model: KernelModel | None) -> DataFrame:
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select("*", text.alias("_text"), (~text.rlike(_NOT_LETTERS)).alias("_letters")).mapInArrow(score, schema)
+    return docs.select("*", text.alias("__tag_text"), (~text.rlike(_NOT_LETTERS)).alias("__tag_letters")).mapInArrow(score, schema)
 
 
 def identify(docs: DataFrame, model: KernelModel | None) -> DataFrame:

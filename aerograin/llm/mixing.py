@@ -10,9 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 SEED = 17
 TEMPERATURE = 0.5
 EPOCHS = 1.0
+#: Values of cumulative distributions that are broadcast at most (8 bytes each).
+MOST_BROADCAST = 1 << 20
 
 
 def uniform(*parts: Column) -> Column:
@@ -60,11 +64,15 @@ def mix(docs: DataFrame, temperature: float = TEMPERATURE, epochs: float = EPOCH
     mixture. Null texts count no characters; rows that repeat are drawn alike (same doc_id); an empty table stays empty.
     Columns of `docs` named copy, n_copies or position are replaced.
     """
-    rates = source_rates(docs, temperature, epochs, targets).select(F.col("source").alias("_source"), poisson_cdf(F.col("rate")).alias("_cdf"))
+    scratch = Scratch(docs.sparkSession, "mix")
+    rates = scratch.keep(source_rates(docs, temperature, epochs, targets).select(F.col("source").alias("__mix_source"), poisson_cdf(F.col("rate")).alias("__mix_cdf")), "rates")
+    # One row a source: sent to every task while that is small, else joined as any table, where Spark splits a hot source.
+    if (rates.agg(F.sum(F.size("__mix_cdf"))).first()[0] or 0) <= MOST_BROADCAST:
+        rates = F.broadcast(rates)
     keep = [c for c in docs.columns if c not in ("copy", "n_copies", "position")]
-    drawn = docs.select(*keep).join(rates, F.col("source").cast("string").eqNullSafe(F.col("_source")))
+    drawn = docs.select(*keep).join(rates, F.col("source").cast("string").eqNullSafe(F.col("__mix_source")))
     u = uniform(F.lit(str(seed)), F.col("doc_id"))
-    drawn = drawn.withColumn("_u", u).withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
+    drawn = drawn.withColumn("__mix_u", u).withColumn("n_copies", F.size(F.filter("__mix_cdf", lambda c: c <= F.col("__mix_u"))))
     drawn = drawn.where(F.col("n_copies") > 0).select(*keep, "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
     drawn = drawn.withColumn("position", uniform(F.lit(f"{seed}/place"), F.col("doc_id"), F.col("copy")))
     return drawn

@@ -236,6 +236,7 @@ def fit(samples: list[tuple[Zone, list[tuple[int, int, int]]]], epochs: int = EP
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_zones: int = SAMPLE_ZONES) -> np.ndarray:
     """Weights from at most `sample_zones` zones of at most `sample_docs` documents (smallest hashes of doc_id)."""
     ship(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
     ids = F.broadcast(docs.select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample_docs).distinct())
     texts = docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 

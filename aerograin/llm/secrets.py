@@ -80,6 +80,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> list[float]:
     document the ordinary model is flat.
     """
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
     ids = docs.select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample).distinct()
     words = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").select(F.explode(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("s"))
     words = words.where(~(F.col("s").rlike(HEX) | F.col("s").rlike("^AKIA") | F.col("s").rlike(TOKEN))).select(F.lit("ordinary").alias("label"), "s")

@@ -6,7 +6,7 @@ composite density is
     C/T * log(C/LC * T/LT) / log(ln(C * LC / (C - LC) + C * LC_b / C_b + e))          (denominators of 0 count as 1)
 
 and its density sum is the sum over its children. The node with the largest sum is the core; the least density on the path
-from the body to it is the threshold, and every other node at or over it adds the largest-sum subtree below it. Where the
+from the body to it is the threshold, and every other node at or over it adds the largest-sum subtree below it. A level-one heading beside all of these is added. Where the
 core lies in an article or main element, that element is the page's text and nothing beside it counts.
 Before that, elements that are no article text by their kind (scripts, menus, forms, ...), by what they say of themselves
 (class, id, role, hidden) are cut off. Then blocks are read in page order.
@@ -246,9 +246,20 @@ def main_text(page: str | None) -> str:
                 b = best[id(n)]
                 chosen.add(id(b if b.sum > 0 else n))
                 stack.extend(c for c in n.children if isinstance(c, Node) and not c.cut)
+        heads = [n for n in order if n.name == "h1" and n.chars]
+        if not any(_within(h, chosen) for h in heads):  # the title often stands beside its text, in a box of its own
+            chosen.update(id(h) for h in heads)
     return "\n".join(_read(body, chosen))
 
 
+def _within(n: Node | None, chosen: set[int]) -> bool:
+    while n is not None:
+        if id(n) in chosen:
+            return True
+        n = n.parent
+    return False
+
+
 def _density(n: Node, share: float) -> float:
     if not n.chars:
         return 0.0
