@@ -34,7 +34,7 @@ from .arrays import Words, blocks, mix
 CODE_BITS = 12
 CONTEXT_BITS = 10
 SHORT = 4
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 STEP = 32
 RATE = 0.01
 PRIOR = 64.0
@@ -100,10 +100,8 @@ class _Tables:
         self.counts = {k: np.zeros(a * b, np.int32) for k, (a, b) in TABLES.items()}
 
     def add(self, name: str, context: np.ndarray, symbol: np.ndarray, times: np.ndarray | None = None) -> None:
-        leaf, inverse, n = np.unique(context * TABLES[name][1] + symbol, return_inverse=True, return_counts=True)
-        if times is not None:
-            n = np.bincount(inverse, times, minlength=len(leaf))
-        self.counts[name][leaf] += n.astype(np.int32)
+        leaf = context * TABLES[name][1] + symbol
+        np.add.at(self.counts[name], leaf, np.int32(1) if times is None else times.astype(np.int32))
 
     def rows(self):
         for name, counts in self.counts.items():
@@ -405,19 +403,16 @@ def code_cost(m: MixModel, codes: np.ndarray, ctx: list[np.ndarray], lengths: np
 
 def score_chunk(m: MixModel, table: pa.Table) -> pa.Table:
     """Scores of the documents of one chunk: its row of coded texts and its words' rows."""
-    docs, words = None, []
-    for row in table.to_pylist():
-        if row["codes"] is not None:
-            docs = row
-        else:
-            words.append(row)
-    read = lambda k, t: np.frombuffer(docs[k], t)
+    whole = next(i for i, c in enumerate(table.column("codes")) if c.is_valid)
+    read = lambda k, t: np.frombuffer(table.column(k)[whole].as_buffer(), t)
+    words = [i for i, c in enumerate(table.column("hashes")) if c.is_valid]
+    gather = lambda k, t: np.concatenate([np.frombuffer(table.column(k)[i].as_buffer(), t) for i in words])
     ids, lengths, held, sizes, codes = read("docs", np.int64), read("lengths", np.int64), read("held", np.uint8).astype(bool), read("sizes", np.int64), read("codes", np.uint32).astype(np.int64)
-    local = np.concatenate([np.frombuffer(r["local"], np.uint32) for r in words]).astype(np.int64)
+    local = gather("local", np.uint32).astype(np.int64)
     h, count, short = np.empty(len(local), _U), np.empty(len(local), np.int64), np.empty(len(local), bool)
-    h[local] = np.concatenate([np.frombuffer(r["hashes"], _U) for r in words])
-    count[local] = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in words])
-    short[local] = np.concatenate([np.frombuffer(r["short"], bool) for r in words])
+    h[local] = gather("hashes", _U)
+    count[local] = gather("counts", np.int64)
+    short[local] = gather("short", bool)
     first = np.cumsum(lengths) - lengths
     base = np.log10((count + 0.5) / (m.train_tokens + 0.5 * (m.vocabulary + 1)))
     known = count > 0
