@@ -245,4 +245,16 @@ SQL = {
 p AS (SELECT *, CASE WHEN k <= round(0.7 * n) THEN 'train' ELSE 'test' END AS part FROM k) SELECT home, month, part, count(*) AS n_days, min(day) AS first FROM p GROUP BY home, month, part""",
     "holm_adjusted": """WITH p AS (SELECT event_type, user_id % 5 AS g, count(*) / 100000.0::DOUBLE AS p FROM events GROUP BY ALL), r AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY g) - row_number() OVER (PARTITION BY g ORDER BY p) + 1) * p) AS r FROM p)
 SELECT g, event_type, round(p, 6) AS p, round(max(r) OVER (PARTITION BY g ORDER BY p ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM r""",
+    "hampel_calibration": f"""WITH {_scenario_sql()}, x AS (SELECT *, device AS sid FROM checked WHERE channel = 'co2' AND (device LIKE 'co2_single_spike%' OR device LIKE 'co2_genuine%' OR device LIKE 'co2_persistent%')),
+l AS ({' UNION ALL '.join(f"SELECT *, {n} AS win, list(value) OVER (PARTITION BY sid ORDER BY slot ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS l FROM x" for n in (7, 11, 15))}),
+a AS (SELECT *, CASE WHEN len(l) = win THEN list_aggregate(l, 'median') END AS med FROM l), b AS (SELECT *, list_aggregate(list_transform(l, lambda y: abs(y - med)), 'median') * 1.4826 AS mad FROM a),
+c AS (SELECT split, win, k, coalesce(truth = 'single_spike', false) AS s, coalesce(truth = 'genuine_event', false) AS g, coalesce(CASE WHEN mad > 0 THEN abs(value - med) > k * mad ELSE value <> med END, false) AS f FROM b CROSS JOIN (SELECT unnest([2.5::DOUBLE, 3.0, 3.5]) AS k)),
+r AS (SELECT split, win, k, count_if(s AND f) / nullif(count_if(s), 0) AS recall, count_if(NOT s AND f) / nullif(count_if(NOT s), 0) AS fpr, count_if(g AND NOT f) / nullif(count_if(g), 0) AS kept FROM c GROUP BY ALL)
+SELECT split, win AS "window", k, round(recall, 6) AS recall, round(fpr, 6) AS fpr, round(kept, 6) AS kept, round((recall + kept + 1 - fpr) / 3, 6) AS objective FROM r""",
+    "window_sensitivity": " UNION ALL ".join(
+        f"""SELECT {m} AS minutes, count(*) AS n_windows, count_if(k / n >= 0.8)::BIGINT AS n_ok FROM (
+WITH {sensor._MATCH}, {sensor._TICKS}, sl AS (SELECT device, tick, tick - to_seconds(unnest(range(0, {m * 2})) * 30) AS slot FROM ticks)
+SELECT sl.device, sl.tick, count(*) AS n, count(m.slot) AS k FROM sl LEFT JOIN matched m ON m.device = sl.device AND m.slot = sl.slot GROUP BY ALL)"""
+        for m in (5, 15, 30, 60)
+    ),
 }

@@ -357,4 +357,10 @@ SELECT home, count(*) AS n, round(avg(CASE WHEN flat THEN 0.0 ELSE r END), 5) AS
 b AS (SELECT *, abs(co2 - m) AS d FROM a), c AS (SELECT *, quantile_cont(d, 0.5) OVER (PARTITION BY home, month ORDER BY time ROWS BETWEEN 24 PRECEDING AND 24 FOLLOWING) * 1.4826 AS mad FROM b),
 s AS (SELECT *, CASE WHEN n >= 25 AND mad > 0 THEN d / mad END AS score FROM c)
 SELECT home, month, count(score) AS n, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score, count_if(score > 1.5)::BIGINT AS n_high FROM s GROUP BY home, month""",
+    "forecast_metrics": f"""{_I}, f AS (SELECT *, lead("I", 3) OVER (PARTITION BY home ORDER BY time) AS y, lead("class_I", 3) OVER (PARTITION BY home ORDER BY time) AS c, epoch(time)::BIGINT AS e,
+ epoch(min(time) OVER (PARTITION BY home))::BIGINT AS a, epoch(max(time) OVER (PARTITION BY home))::BIGINT AS b FROM idx),
+t AS (SELECT * FROM f WHERE e > a + floor((b - a) * 0.75) + 108000 AND "I" IS NOT NULL AND y IS NOT NULL), p AS (SELECT home, avg(abs(y - "I")) AS mae FROM t GROUP BY home),
+k AS (SELECT count(*) AS n, count_if("class_I" = c)::DOUBLE AS hit, {', '.join(f'count_if("class_I" = {k})::DOUBLE AS a{k}, count_if(c = {k})::DOUBLE AS b{k}, count_if("class_I" = {k} AND c = {k})::DOUBLE AS t{k}' for k in range(5))} FROM t),
+g AS (SELECT *, hit / n AS po, ({' + '.join(f'a{k} * b{k}' for k in range(5))}) / (n::DOUBLE * n) AS pe, ({' + '.join(f'CASE WHEN a{k} + b{k} = 0 THEN 0.0 ELSE 2 * t{k} / (a{k} + b{k}) END' for k in range(5))}) / 5 AS f1 FROM k)
+SELECT n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa, round(f1, 6) AS macro_f1, (SELECT round(quantile_cont(mae, 0.5), 6) FROM p) AS mae_median, (SELECT round(quantile_cont(mae, 0.25), 6) FROM p) AS mae_q1, (SELECT round(quantile_cont(mae, 0.75), 6) FROM p) AS mae_q3 FROM g""",
 }

@@ -41,4 +41,8 @@ SELECT device, make_timestamp(e) AS window_end, count(value) AS n, round(avg(val
     "stream_sessions": """WITH a AS (SELECT user_id, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= 21600000000, false)::INT AS new FROM events),
 b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)
 SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM b GROUP BY user_id, s""",
+    "stream_hampel": """WITH e AS (SELECT user_id % 4 AS key, ts, value FROM events),
+l AS (SELECT *, list(value) OVER w AS l FROM e WINDOW w AS (PARTITION BY key ORDER BY ts, value ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)),
+a AS (SELECT *, CASE WHEN len(l) = 11 THEN list_aggregate(l, 'median') END AS med FROM l), b AS (SELECT *, list_aggregate(list_transform(l, lambda y: abs(y - med)), 'median') * 1.4826 AS mad FROM a)
+SELECT key, count(*) AS n, count_if(med IS NOT NULL AND CASE WHEN mad > 0 THEN abs(value - med) > 3.0 * mad ELSE value <> med END)::BIGINT AS n_outliers FROM b GROUP BY key""",
 }

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,24 +40,21 @@ HAMPEL = "key bigint, ts timestamp, value double, is_outlier boolean"
 
 
 def hampel_stream(df: DataFrame, window: int = 11, k: float = 3.0) -> DataFrame:
-    """key, ts, value, is_outlier for a stream (key bigint, ts, value): the last `window` values of each key are the state."""
+    """key, ts, value, is_outlier for a stream (key bigint, ts, value): the last window - 1 values of each key are the state."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = list(state.get[0]) if state.exists else []
-        for f in frames:
-            f = f.sort_values("ts", kind="stable")
-            flags = []
-            for v in f["value"]:
-                last = [*last, float("nan") if pd.isna(v) else float(v)][-window:]
-                w = pd.Series(last)
-                if len(last) < window or w.isna().any():
-                    flags.append(False)
-                    continue
-                m = w.median()
-                mad = (w - m).abs().median() * 1.4826
-                flags.append(bool(abs(last[-1] - m) > k * mad if mad > 0 else last[-1] != m))
-            yield f.assign(is_outlier=flags)[["key", "ts", "value", "is_outlier"]]
-        state.update((last,))
+        f = pd.concat(list(frames)).sort_values(["ts", "value"], kind="stable")  # one key's rows of one trigger
+        x = np.concatenate([np.array(last, float), f["value"].to_numpy(float)])
+        flags = np.zeros(len(x), bool)
+        if len(x) >= window:
+            w = np.lib.stride_tricks.sliding_window_view(x, window)
+            m = np.median(w, axis=1)
+            mad = np.median(np.abs(w - m[:, None]), axis=1) * 1.4826
+            far = np.abs(x[window - 1 :] - m)
+            flags[window - 1 :] = ~np.isnan(m) & np.where(mad > 0, far > k * mad, far != 0)
+        state.update((x[-(window - 1) :].tolist(),))
+        yield f.assign(is_outlier=flags[len(last) :])[["key", "ts", "value", "is_outlier"]]
 
     return df.groupBy("key").applyInPandasWithState(step, HAMPEL, "last array<double>", "append", GroupStateTimeout.NoTimeout)
 
