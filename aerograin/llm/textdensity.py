@@ -50,6 +50,8 @@ NOT_TEXT = frozenset("script style noscript template iframe object embed applet
 HINTS = frozenset(
     "ad ads adbox adslot adsense adsbygoogle advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion promoted commercial comment comments commentlist commenting disqus discussion respond reply replies feedback reviews nav navbar navigation navi menu menus submenu topnav breadcrumb breadcrumbs sidebar sidebars aside rail footer foot colophon header masthead topbar banner cookie cookies consent gdpr ccpa privacy notice notices notification notifications alert alerts popup modal overlay lightbox interstitial newsletter subscribe subscription signup login signin register paywall share sharing sharebar social socials related recommended recommendations readmore trending popular widget widgets toolbar pagination pager tagcloud search searchbox searchform copyright disclaimer legal complementary contentinfo skip hidden visuallyhidden toc outbrain taboola".split()
 )
+#: Of these, the ones that say so even of a box that holds article elements (a comment is often one).
+REMARKS = frozenset("comment comments commentlist commenting disqus discussion respond replies reviews related recommended recommendations".split())
 KEEP_WHOLE = frozenset(("html", "body"))
 CORE_KINDS = frozenset(("article", "main"))
 
@@ -70,14 +72,14 @@ class Node:
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent = name, parent
         self.children: list = []  # nodes and strings, in page order
-        self.cut = self.hint = False
+        self.cut, self.hint = False, 0
         self.chars = self.tags = self.lchars = self.ltags = 0
         self.density = self.sum = 0.0
 
 
-def _own_words(rest: str) -> tuple[bool, bool]:
-    """(hidden, hinted) of a start tag's attributes."""
-    hidden = hinted = False
+def _own_words(rest: str) -> tuple[bool, int]:
+    """(hidden, hinted: 0 no, 1 yes, 2 as a remark) of a start tag's attributes."""
+    hidden, hinted = False, 0
     for m in _ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden":
@@ -87,7 +89,8 @@ def _own_words(rest: str) -> tuple[bool, bool]:
         elif key == "style":
             hidden |= bool(_UNSEEN.search(value))
         else:
-            hinted |= not HINTS.isdisjoint(_TOKENS.findall(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", value).lower()))
+            tokens = _TOKENS.findall(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", value).lower())
+            hinted = max(hinted, 0 if HINTS.isdisjoint(tokens) else 1 if REMARKS.isdisjoint(tokens) else 2)
     return hidden, hinted
 
 
@@ -154,7 +157,7 @@ def parse(page: str) -> Node:
             close_to(len(stack) - 1)
         node = Node(name, stack[-1])
         stack[-1].children.append(node)
-        hidden, hinted = _own_words(rest) if rest and not rest.isspace() else (False, False)
+        hidden, hinted = _own_words(rest) if rest and not rest.isspace() else (False, 0)
         node.cut = hidden or name in NOT_TEXT
         node.hint = hinted
         if name in RAW:
@@ -184,15 +187,17 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     order = _postorder(root)
-    wide: set[int] = set()  # hold the title or the article, so a hint on them is about the whole page
+    wide: dict[int, set[int]] = {1: set(), 2: set()}  # boxes of the title or the article: a hint on them is about the page
     for n in order:
-        if (n.name in ("h1", "main") or (n.name == "article" and not n.hint)) and not n.cut:
+        if n.cut or (n.name not in ("h1", "main") and (n.name != "article" or n.hint)):
+            continue
+        for kind in (1,) if n.name == "article" else (1, 2):
             up = n.parent
-            while up is not None and id(up) not in wide:
-                wide.add(id(up))
+            while up is not None and id(up) not in wide[kind]:
+                wide[kind].add(id(up))
                 up = up.parent
     for n in order:
-        if n.hint and n.name not in KEEP_WHOLE and id(n) not in wide and n.name not in ("main", "h1"):
+        if n.hint and n.name not in KEEP_WHOLE and n.name not in ("main", "h1") and id(n) not in wide[n.hint]:
             n.cut = True
     body = next((n for n in root.children if isinstance(n, Node) and n.name == "body"), root)
     order = []

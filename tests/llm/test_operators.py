@@ -127,6 +127,8 @@ def test_op3_minima_are_rightmost_and_cover_windows(spark):
 PAGES = [
     ("<html><body><nav><a href=/>Home</a></nav><article><h1>T &amp; U</h1><p>One  two\nthree <b>four</b>.<p>Five<br>six</article><footer>f</footer></body></html>", "T & U\nOne two three four.\nFive six"),
     ("<body class='has-sidebar'><div id=main><h1>Title</h1><div class=post><p>First long paragraph, with words enough to count.</p><p>Second long paragraph, with words enough to count.</p></div></div><div class=sidebar><p>Side words that are not the article at all, never.</p></div><section id='comments'><p>I liked it very much indeed, thanks for all this text.</p></section><form>x<input></form><script>var a='<p>no</p>';</script></body>", None),
+    ("<body><main><h1>T</h1><p>Body text of some length, with a comma.</p></main><section id=comments><article><p>A remark of some length, really.</p></article></section>", "T\nBody text of some length, with a comma."),
+    ("<article><h1>T</h1><p>Body text of some length.</p><div class='comment-list'><article class=c><p>A remark.</p></article></div></article>", "T\nBody text of some length."),
     ("<p>plain", "plain"),
     ("", ""),
 ]
