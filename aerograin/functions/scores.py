@@ -106,3 +106,24 @@ def estimation_direction(estimate: Column, truth: Column) -> Column:
 
 def season(time: Column, heating: tuple[int, ...] = (10, 11, 12, 1, 2, 3, 4)) -> Column:
     return F.when(F.month(time).isin(*heating), "heating").otherwise("warm")
+
+
+def most_adverse(inputs: dict[str, tuple[Column, Column]], tolerance: float = 1e-9) -> Column:
+    """Names of the inputs with the worst (severity, degree): the highest severity, then the largest degree, ties kept by name."""
+    rows = [F.struct(s.cast("int").alias("s"), d.alias("d"), F.lit(n).alias("n")) for n, (s, d) in sorted(inputs.items())]
+    there = F.filter(F.array(*rows), lambda r: r["s"].isNotNull())
+    worst = F.array_max(F.transform(there, lambda r: r["s"]))
+    top = F.filter(there, lambda r: r["s"] == worst)
+    most = F.array_max(F.transform(top, lambda r: r["d"]))
+    return F.transform(F.filter(top, lambda r: most - r["d"] <= tolerance), lambda r: r["n"])
+
+
+def has_tie(values: Column) -> Column:
+    """More than one distinct entry."""
+    return F.size(F.array_distinct(values)) > 1
+
+
+def transition(before: Column, after: Column) -> Column:
+    """none, adjacent or nonadjacent step between two ranks."""
+    step = F.abs(after - before)
+    return F.when(step == 0, "none").when(step == 1, "adjacent").when(step > 1, "nonadjacent")

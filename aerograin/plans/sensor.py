@@ -263,7 +263,24 @@ def masking(spark, sf_dir):
     return long.groupBy("method").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.coalesce("sev", F.lit(-1)) < 3).alias("n_masked")).withColumn("rate", F.round(F.col("n_masked") / F.col("n_events"), 6))
 
 
-QUERIES = {f.__name__: f for f in (slot_match, expected_slots, outdoor_asof, hard_checks, hampel_flags, stuck_values, gradual_drift, soft_checks, window_means, window_completeness, status_counts, partial_intervals, coverage_sweep, reason_frequency, latest_quality, locf_values, points_in_intervals, interval_instances, overlapping_intervals, asof_events, user_sessions, fuzzy_index, dominant_component, baselines, method_agreement, masking)}
+LOOKBACKS = (5, 10, 15, 30)
+
+
+def missing_data_strategies(spark, sf_dir):
+    """Every good CO2 reading taken as missing in turn and estimated from what came before: last value within 5 to 30 minutes,
+    and the mean of the last 15. Share that has an estimate, errors, under- and overestimates. All frames share one sort."""
+    x = readings_30s(spark, sf_dir).where(F.lower("status") == "ok")
+    us = sequence.micros(F.col("ts"))
+    frame = lambda m: Window.partitionBy("device").orderBy(us).rangeBetween(-m * 60_000_000, -1)
+    x = x.withColumns({**{f"locf_{m}": F.last("co2").over(frame(m)) for m in LOOKBACKS}, "mean_15": F.avg("co2").over(frame(15))})
+    names = [f"locf_{m}" for m in LOOKBACKS] + ["mean_15"]
+    long = x.select("co2", F.expr(f"stack({len(names)}, {', '.join(f"'{n}', {n}" for n in names)}) as (strategy, estimate)"))
+    e = F.col("estimate") - F.col("co2")
+    way = scores.estimation_direction(F.round("estimate", 6), F.round("co2", 6))
+    return long.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.round(F.count("estimate") / F.count(F.lit(1)), 6).alias("coverage"), F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.count_if(way == "under").alias("n_under"), F.count_if(way == "over").alias("n_over"))
+
+
+QUERIES = {f.__name__: f for f in (missing_data_strategies, slot_match, expected_slots, outdoor_asof, hard_checks, hampel_flags, stuck_values, gradual_drift, soft_checks, window_means, window_completeness, status_counts, partial_intervals, coverage_sweep, reason_frequency, latest_quality, locf_values, points_in_intervals, interval_instances, overlapping_intervals, asof_events, user_sessions, fuzzy_index, dominant_component, baselines, method_agreement, masking)}
 
 # --- SQL -------------------------------------------------------------------------------------------------------------
 
@@ -459,3 +476,8 @@ SQL |= {
     + agreement_sql(" UNION ALL ".join(f"SELECT '{a}' AS method_a, '{b}' AS method_b, {METHODS[a]} AS a, {METHODS[b]} AS b FROM bl" for i, a in enumerate(_NAMES) for b in _NAMES[i + 1 :]), "method_a, method_b"),
     "masking": f"WITH {_WIDE_SQL}, {baseline_cte()}, l AS ({' UNION ALL '.join(f"SELECT '{m}' AS method, {c} AS s FROM bl WHERE fuzzy_max >= 75" for m, c in METHODS.items())}) SELECT method, count(*) AS n_events, count_if(coalesce(s, -1) < 3)::BIGINT AS n_masked, round(count_if(coalesce(s, -1) < 3) / count(*), 6) AS rate FROM l GROUP BY method",
 }
+_BEFORE = lambda f, m: f"{f} OVER (PARTITION BY device ORDER BY epoch_us(ts) RANGE BETWEEN {m * 60_000_000} PRECEDING AND 1 PRECEDING)"
+_GUESS = [(f"locf_{m}", _BEFORE("last_value(co2)", m)) for m in LOOKBACKS] + [("mean_15", _BEFORE("avg(co2)", 15))]
+SQL["missing_data_strategies"] = f"""WITH {S30}, x AS (SELECT co2, {', '.join(f'{w} AS {n}' for n, w in _GUESS)} FROM readings30 WHERE lower(status) = 'ok'),
+l AS ({' UNION ALL '.join(f"SELECT '{n}' AS strategy, co2, {n} AS g FROM x" for n, _ in _GUESS)})
+SELECT strategy, count(*) AS n, round(count(g) / count(*), 6) AS coverage, round(avg(abs(g - co2)), 6) AS mae, round(sqrt(avg((g - co2) * (g - co2))), 6) AS rmse, count_if(round(g, 6) < round(co2, 6))::BIGINT AS n_under, count_if(round(g, 6) > round(co2, 6))::BIGINT AS n_over FROM l GROUP BY strategy"""

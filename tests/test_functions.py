@@ -291,3 +291,9 @@ def test_stream_hampel_equals_batch(spark, tmp_path):
     batch = quality.with_hampel(df, ["key"], "ts", "value")
     key = lambda d: {(r["key"], r["ts"]): r["is_outlier"] for r in d.collect()}
     assert key(live) == key(batch)
+
+
+def test_most_adverse_inputs(spark):
+    pick = lambda **v: scores.most_adverse({k: (F.lit(s), F.lit(d).cast("double")) for k, (s, d) in v.items()})
+    r = spark.range(1).select(pick(a=(1, 0.9), b=(2, 0.3), c=(2, 0.3)).alias("x"), pick(a=(1, 0.9), b=(None, None)).alias("y"), scores.transition(F.lit(1), F.lit(3)).alias("t")).first()
+    assert r["x"] == ["b", "c"] and r["y"] == ["a"] and r["t"] == "nonadjacent"
