@@ -120,6 +120,16 @@ def read_block(low: bytes, high: bytes) -> np.ndarray:
     return part
 
 
+def planes(x: np.ndarray) -> bytes:
+    """An integer array byte plane by byte plane: the high planes are nearly all zero and vanish when compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def unplaned(data, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 def _record(**values) -> pa.RecordBatch:
     names = [x.strip().split(" ") for x in CODED.split(",")]
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
@@ -170,13 +180,14 @@ def coded(docs: DataFrame, bits: int) -> DataFrame:
             texts = [spell.get(int(x), b"") for x in words[lone]]
             yield _record(
                 chunk=[chunk], docs=[np.concatenate(held_back["docs"]).tobytes()], lengths=[lengths.astype(np.int64).tobytes()], held=[held.astype(np.uint8).tobytes()], sizes=[np.concatenate(held_back["sizes"]).astype(np.int64).tobytes()],
-                codes=[rank[inverse].astype(np.uint32).tobytes()], new_ids=[rank[lone].astype(np.uint32).tobytes()], new_ends=[np.cumsum([len(t) for t in texts], dtype=np.int64).tobytes()], new_bytes=[b"".join(texts)], n_train=[int(train.sum())],
+                codes=[planes(rank[inverse].astype(np.uint32))], new_ids=[rank[lone].astype(np.uint32).tobytes()], new_ends=[np.cumsum([len(t) for t in texts], dtype=np.int64).tobytes()], new_bytes=[b"".join(texts)], n_train=[int(train.sum())],
             )
             bucket = (words >> _U(64 - bits)).astype(np.int64)
             edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
             has = [b for b in range(1 << bits) if edge[b] < edge[b + 1]]
             cut = lambda x: [x[edge[b] : edge[b + 1]].tobytes() for b in has]
-            yield _record(chunk=[chunk] * len(has), bucket=has, hashes=cut(words), local=cut(rank.astype(np.uint32)), short=cut(short[where]), counts=cut(counts.astype(np.uint32)))
+            split = lambda x: [planes(x[edge[b] : edge[b + 1]]) for b in has]
+            yield _record(chunk=[chunk] * len(has), bucket=has, hashes=cut(words), local=split(rank.astype(np.uint32)), short=cut(short[where]), counts=split(counts.astype(np.uint32)))
             clear()
 
         clear()
@@ -230,12 +241,12 @@ def coded(docs: DataFrame, bits: int) -> DataFrame:
 
 def word_counts(table: pa.Table) -> pa.Table:
     """Of one hash bucket: every chunk's words with their count in all training texts, and a row of totals (chunk null)."""
-    parts = [(c.as_py(), np.frombuffer(h.as_py(), _U), l.as_py(), s.as_py(), np.frombuffer(n.as_py(), np.uint32)) for c, h, l, s, n in zip(*(table.column(k) for k in ("chunk", "hashes", "local", "short", "counts")), strict=True)]
+    parts = [(c.as_py(), np.frombuffer(h.as_py(), _U), l.as_py(), s.as_py(), unplaned(n.as_py(), np.uint32)) for c, h, l, s, n in zip(*(table.column(k) for k in ("chunk", "hashes", "local", "short", "counts")), strict=True)]
     words, inverse = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
     total = np.zeros(len(words), np.int64)
     np.add.at(total, inverse, np.concatenate([p[4] for p in parts]))
     edge = np.cumsum([0] + [len(p[1]) for p in parts])
-    rows = [(p[0], p[1].tobytes(), p[2], p[3], total[inverse[a:b]].tobytes(), 0, 0) for p, a, b in zip(parts, edge[:-1], edge[1:], strict=True)]
+    rows = [(p[0], p[1].tobytes(), p[2], p[3], planes(total[inverse[a:b]]), 0, 0) for p, a, b in zip(parts, edge[:-1], edge[1:], strict=True)]
     rows.append((None, b"", b"", b"", b"", int((total > 0).sum()), int((total == 1).sum())))
     names = ["chunk", "hashes", "local", "short", "counts", "v", "v1"]
     kinds = [pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64()]
@@ -407,11 +418,12 @@ def score_chunk(m: MixModel, table: pa.Table) -> pa.Table:
     read = lambda k, t: np.frombuffer(table.column(k)[whole].as_buffer(), t)
     words = [i for i, c in enumerate(table.column("hashes")) if c.is_valid]
     gather = lambda k, t: np.concatenate([np.frombuffer(table.column(k)[i].as_buffer(), t) for i in words])
-    ids, lengths, held, sizes, codes = read("docs", np.int64), read("lengths", np.int64), read("held", np.uint8).astype(bool), read("sizes", np.int64), read("codes", np.uint32).astype(np.int64)
-    local = gather("local", np.uint32).astype(np.int64)
+    ids, lengths, held, sizes, codes = read("docs", np.int64), read("lengths", np.int64), read("held", np.uint8).astype(bool), read("sizes", np.int64), unplaned(table.column("codes")[whole].as_buffer(), np.uint32).astype(np.int64)
+    unfold = lambda k, t: np.concatenate([unplaned(table.column(k)[i].as_buffer(), t) for i in words])
+    local = unfold("local", np.uint32).astype(np.int64)
     h, count, short = np.empty(len(local), _U), np.empty(len(local), np.int64), np.empty(len(local), bool)
     h[local] = gather("hashes", _U)
-    count[local] = gather("counts", np.int64)
+    count[local] = unfold("counts", np.int64)
     short[local] = gather("short", bool)
     first = np.cumsum(lengths) - lengths
     base = np.log10((count + 0.5) / (m.train_tokens + 0.5 * (m.vocabulary + 1)))
