@@ -43,9 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets replaced by a mark and n_chars counted anew where the text changed."""
     found = secrets.scan(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text"), secrets.train(docs))
-    clean = secrets.redacted(F.col("text"), F.col("spans"))
-    changed = F.size("spans") > 0
-    made = {"text": F.when(changed, clean).otherwise(F.col("text")), "n_chars": F.when(changed, F.length(clean).cast("bigint")).otherwise(F.col("_row.n_chars"))}
+    found = found.select("_row", (F.size("spans") > 0).alias("_changed"), secrets.redacted(F.col("text"), F.col("spans")).alias("_clean"))
+    made = {"text": F.col("_clean"), "n_chars": F.when(F.col("_changed"), F.length("_clean").cast("bigint")).otherwise(F.col("_row.n_chars"))}
     return found.select(*[made[c].alias(c) if c in made else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
