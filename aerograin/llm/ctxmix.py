@@ -266,11 +266,11 @@ def block_sums(key: tuple, table: pa.Table) -> pa.Table:
 def nodes(leaves: np.ndarray, contexts_: int, symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """(ones, all) of every inner node of the code tree, heap order from 1, context after context."""
     depth = symbols.bit_length() - 1
-    ones, every = np.zeros((contexts_, symbols), np.int32), np.zeros((contexts_, symbols), np.int32)
-    level = np.minimum(leaves.reshape(contexts_, symbols), 2**31 // symbols if symbols > 1 else 1).astype(np.int32)
+    ones, every = np.zeros((contexts_, symbols), np.int64), np.zeros((contexts_, symbols), np.int64)
+    level = leaves.reshape(contexts_, symbols).astype(np.int64)
     for d in range(depth - 1, -1, -1):
         pair = level.reshape(contexts_, 1 << d, 2)
-        level = pair.sum(axis=2, dtype=np.int64).clip(max=2**31 - 1).astype(np.int32)
+        level = pair.sum(axis=2)
         ones[:, 1 << d : 2 << d] = pair[:, :, 1]
         every[:, 1 << d : 2 << d] = level
     return ones.ravel(), every.ravel()
@@ -325,8 +325,19 @@ def _fit(depth: int, symbol: np.ndarray, ctx: list[np.ndarray], raw: list[tuple[
 
 
 def build(leaves: dict[str, np.ndarray], sample: list[str], n: int, v: int, v1: int) -> MixModel:
-    raw = {k: nodes(leaves[k], *TABLES[k]) for k in TABLES}
-    weights = {}
+    """The model of counts and a sample of training texts; `leaves` is emptied table by table."""
+    small, totals, weights = {}, leaves["none"].copy(), {}
+
+    def summed(names: tuple) -> dict:
+        """Node sums of some tables at a time; their leaves are let go."""
+        return {k: nodes(leaves.pop(k), *TABLES[k]) for k in names}
+
+    def shrink(raw: dict, prior: np.ndarray | None = None) -> None:
+        for k in list(raw):
+            backed = (np.tile(prior, TABLES[k][0]), BACKING) if k in WORD_TABLES[1:] else (0.5, 0.8)
+            small[k] = np.clip(np.rint(stretch(*raw.pop(k), *backed) * SCALE), -32767, 32767).astype(np.int16)
+
+    raw = summed(WORD_TABLES)
     data = np.frombuffer("".join(sample).encode(), np.uint8)
     w = Words(data, np.cumsum([0] + [len(t.encode()) for t in sample]))
     ends = np.cumsum(w.counts())
@@ -335,6 +346,8 @@ def build(leaves: dict[str, np.ndarray], sample: list[str], n: int, v: int, v1:
     ctx = contexts(h, short, np.repeat(np.cumsum(lengths) - lengths, lengths))
     prior = priors(raw)
     weights["word"] = _fit(CODE_BITS, code_of(h), ctx, [raw[k] for k in WORD_TABLES], _CODES, prior)
+    shrink(raw, prior)
+    raw = summed(BYTE_TABLES)
     one = np.unique(w.hash, return_index=True)[1] if len(w.hash) else np.zeros(0, np.int64)
     one.sort()
     length = w.end[one] - w.start[one]
@@ -345,11 +358,8 @@ def build(leaves: dict[str, np.ndarray], sample: list[str], n: int, v: int, v1:
     else:
         symbol, bctx = np.zeros(0, np.int64), [np.zeros(0, np.int64)] * len(BYTE_TABLES)
     weights["byte"] = _fit(8, symbol, bctx, [raw[k] for k in BYTE_TABLES], 256)
-    small = {}
-    for k, (rows, _) in TABLES.items():
-        backed = (np.tile(prior, rows), BACKING) if k in WORD_TABLES[1:] else (0.5, 0.8)
-        small[k] = np.clip(np.rint(stretch(*raw.pop(k), *backed) * SCALE), -32767, 32767).astype(np.int16)
-    return MixModel(small, leaves["none"].copy(), weights["word"].astype(np.float32), weights["byte"].astype(np.float32), n, v, v1)
+    shrink(raw)
+    return MixModel(small, totals, weights["word"].astype(np.float32), weights["byte"].astype(np.float32), n, v, v1)
 
 
 def spell_cost(m: MixModel, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -473,7 +483,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     sizes = counts.agg(F.sum("v").alias("v"), F.sum("v1").alias("v1")).first()
     n = made.agg(F.sum("n_train").alias("n")).first()["n"] or 0
     summed = made.where(F.col("name").isNotNull()).select("name", "block", "low", "high").groupBy("name", "block").applyInArrow(block_sums, "name string, block int, low binary, high binary")
-    leaves = {k: np.zeros(a * b, np.int32) for k, (a, b) in TABLES.items()}
+    leaves = {k: np.zeros(a * b, np.int64) for k, (a, b) in TABLES.items()}
     for row in summed.toLocalIterator():  # a fixed number of blocks
         part = read_block(row["low"], row["high"])
         leaves[row["name"]][row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
