@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Poisson replication, with DataFrame functions only.
 
 Every document is repeated N times, N ~ Poisson(rate of its source), by inverting the distribution at a number in [0, 1)
-that is hashed from the seed and the document: N = how many values of the cumulative distribution are at most that number.
+that is hashed from the seed and the document: N = how many values of the cumulative distribution are at most that number. A rate over
+MOST_RATE is split evenly into several draws, each from a hash of its own: their sum has the same distribution.
 A run is repeatable and no state is shared. The repetitions then go to positions drawn by hash: a global shuffle.
 """
 
@@ -17,6 +18,8 @@ TEMPERATURE = 0.5
 EPOCHS = 1.0
 #: Values of cumulative distributions that are broadcast at most (8 bytes each).
 MOST_BROADCAST = 1 << 20
+#: exp(-rate) and the terms after it are far from underflow up to this rate.
+MOST_RATE = 500.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -65,14 +68,20 @@ def mix(docs: DataFrame, temperature: float = TEMPERATURE, epochs: float = EPOCH
     Columns of `docs` named copy, n_copies or position are replaced.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    rates = scratch.keep(source_rates(docs, temperature, epochs, targets).select(F.col("source").alias("__mix_source"), poisson_cdf(F.col("rate")).alias("__mix_cdf")), "rates")
+    rates = scratch.keep(source_rates(docs, temperature, epochs, targets).select("source", "rate").withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_RATE))), "source_rates")
+    rates = scratch.keep(rates.select(F.col("source").alias("__mix_source"), F.col("draws").alias("__mix_draws"), poisson_cdf(F.col("rate") / F.col("draws")).alias("__mix_cdf")), "rates")
     # One row a source: sent to every task while that is small, else joined as any table, where Spark splits a hot source.
     if (rates.agg(F.sum(F.size("__mix_cdf"))).first()[0] or 0) <= MOST_BROADCAST:
         rates = F.broadcast(rates)
     keep = [c for c in docs.columns if c not in ("copy", "n_copies", "position")]
     drawn = docs.select(*keep).join(rates, F.col("source").cast("string").eqNullSafe(F.col("__mix_source")))
     u = uniform(F.lit(str(seed)), F.col("doc_id"))
-    drawn = drawn.withColumn("__mix_u", u).withColumn("n_copies", F.size(F.filter("__mix_cdf", lambda c: c <= F.col("__mix_u"))))
+    drawn = drawn.withColumn("__mix_u", u)
+    count = lambda v: F.size(F.filter("__mix_cdf", lambda c: c <= v))
+    # transform keeps each further draw's number at one hash.
+    further = F.transform(F.sequence(F.lit(2).cast("bigint"), F.col("__mix_draws")), lambda j: uniform(F.lit(f"{seed}/draw"), F.col("doc_id"), j))
+    more = F.aggregate(further, F.lit(0), lambda total, v: total + count(v))
+    drawn = drawn.withColumn("n_copies", count(F.col("__mix_u")) + F.when(F.col("__mix_draws") > 1, more).otherwise(F.lit(0)))
     drawn = drawn.where(F.col("n_copies") > 0).select(*keep, "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
     drawn = drawn.withColumn("position", uniform(F.lit(f"{seed}/place"), F.col("doc_id"), F.col("copy")))
     return drawn

@@ -1,6 +1,10 @@
 """Operators on inputs where a shortened job would show: large counts, noise, other offsets."""
 
+import math
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 
 def test_op9_large_counts_are_kept():
@@ -14,3 +18,18 @@ def test_op9_large_counts_are_kept():
     for code, count in ((0, 6_000_000_000), (5, 2_000_000), (4095, 600_000)):
         node = (1 << (ctxmix.CODE_BITS - 1)) + (code >> 1)
         assert (ones[node] if code & 1 else every[node] - ones[node]) == count
+
+
+def test_op1_large_rates_are_poisson(spark):
+    from aerograin.llm import mixing
+
+    # One source of 400 texts of 1 character beside one text of 2.4 million: at these targets each short one has a rate of 1800.
+    docs = spark.range(401).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, F.expr("repeat('x', 2400000)")).otherwise("x").alias("text"), F.when(F.col("id") == 0, "big").otherwise("small").alias("source"))
+    targets = {"small": 3.0, "big": 7.0}
+    rate = next(r["rate"] for r in mixing.source_rates(docs, targets=targets).collect() if r["source"] == "small")
+    assert rate == pytest.approx(1800.3)
+    rows = mixing.mix(docs, targets=targets).where("source = 'small'").groupBy("doc_id", "n_copies").count().collect()
+    n = np.array([r["n_copies"] for r in rows], float)
+    assert len(n) == 400 and all(r["count"] == r["n_copies"] for r in rows)
+    assert abs(n.mean() - rate) < 5 * math.sqrt(rate / 400)
+    assert 0.75 < n.var() / rate < 1.3
