@@ -3,8 +3,8 @@
 A recording (mono 16-bit WAV) becomes frames of 12 pitch classes: energy of a short-time spectrum folded onto the octave.
 Over every WIDTH frames 16 filters compare sums of two regions of the (time, pitch class) image, read from its integral
 image; each log ratio is quantised to 2 bits (Gray code), 32 bits in all: one packed integer a frame.
-Candidates share a code: the integers of two windows side by side, of which the smallest hash in every WIDTH neighbouring
-ones is listed, so that recordings with WIDTH codes in a row in common share a listed one.
+Candidates share one packed integer, which is all that alignment needs: every pair that aligns is found. Recordings travel in
+packed blocks; a block of queries meets every block of recordings, so no integer, however common, makes rows of pairs.
 Two recordings are aligned by a histogram of the offsets at which equal integers stand; at the best offset the share of
 differing bits over the overlap decides.
 """
@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, ship
-from .arrays import mix
 
 RATE = 2000
 FRAME = 512
@@ -32,7 +31,11 @@ STEPS = (-0.25, 0.0, 0.25)
 LEAST_OVERLAP = 24
 MOST_ERROR = 0.2
 
-FINGERPRINTS = "id bigint, frames array<int>, codes array<bigint>"
+#: Frames of a block of queries and of a block of recordings, and equal integers that are looked at together.
+ASKED_FRAMES, BLOCK_FRAMES, AT_ONCE = 1 << 15, 1 << 18, 1 << 21
+
+FINGERPRINTS = "id bigint, frames array<int>"
+PACKED = "ids binary, lengths binary, frames binary"
 
 
 def filters() -> list[tuple[tuple[int, int, int, int], tuple[int, int, int, int]]]:
@@ -115,18 +118,12 @@ def packed(image: np.ndarray) -> np.ndarray:
 
 
 def listed(frames: np.ndarray) -> np.ndarray:
-    """Distinct codes of a recording that stand for it in the candidate search."""
-    if len(frames) == 0:
-        return np.zeros(0, np.int64)
-    wide = frames.astype(np.uint64)
-    code = mix(wide[:-WIDTH] << np.uint64(32) | wide[WIDTH:]) if len(frames) > WIDTH else mix(wide)
-    if len(code) <= WIDTH:
-        return code.min(keepdims=True).view(np.int64)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(code, WIDTH).min(axis=1)).view(np.int64)
+    """Distinct integers of a recording: two recordings are candidates if they share one."""
+    return np.unique(frames)
 
 
 def fingerprints(media: DataFrame, id_column: str, audio_column: str, decode=samples) -> DataFrame:
-    """id, frames (packed integers, as signed ints) and codes of every row; audio that is null, damaged or too short gives none.
+    """id and frames (packed integers, as signed ints) of every row; audio that is null, damaged or too short gives none.
 
     `decode` turns a value of the column into samples at RATE; the default reads WAV bytes.
     """
@@ -143,7 +140,7 @@ def fingerprints(media: DataFrame, id_column: str, audio_column: str, decode=sam
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 made = [own.packed(own.chroma(decode(x.as_py()))) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), column([m.view(np.int32) for m in made], pa.int32()), column([own.listed(m) for m in made], pa.int64())], ["id", "frames", "codes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), column([m.view(np.int32) for m in made], pa.int32())], ["id", "frames"])
 
     return media.select(F.col(id_column).cast("bigint").alias("id"), F.col(audio_column).alias("audio")).mapInArrow(run, FINGERPRINTS)
 
@@ -168,31 +165,125 @@ def aligned(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
     return best, float(differing) / (32 * (to - from_))
 
 
+def align_blocks(ids_a: np.ndarray, lengths_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, lengths_b: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id of a, id of b, offset, error) of all pairs of different recordings of two blocks that align, as aligned() has them."""
+    start_a, start_b = np.cumsum(lengths_a) - lengths_a, np.cumsum(lengths_b) - lengths_b
+    owner_a, owner_b = np.repeat(np.arange(len(ids_a)), lengths_a), np.repeat(np.arange(len(ids_b)), lengths_b)
+    order = np.argsort(a, kind="stable")
+    sa = a[order]
+    lo = np.searchsorted(sa, b, "left")
+    n = np.searchsorted(sa, b, "right") - lo
+    equal = np.add.reduceat(n, start_b) if len(start_b) else n
+    found = []
+
+    def together(from_: int, to: int) -> None:
+        """Recordings from_ to `to` of the second block, all their equal integers at once."""
+        span = slice(start_b[from_], start_b[to - 1] + lengths_b[to - 1])
+        m = n[span]
+        if not m.sum():
+            return
+        ib = np.repeat(np.arange(span.start, span.stop), m)
+        ia = order[np.arange(len(ib)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[span], m)]
+        pa_, pb = owner_a[ia], owner_b[ib]
+        shift = (ib - start_b[pb]) - (ia - start_a[pa_])
+        wide = int(np.abs(shift).max()) + 1
+        key, count = np.unique((pa_ * np.int64(to - from_) + (pb - from_)) * np.int64(2 * wide) + shift + wide, return_counts=True)
+        pair = key // (2 * wide)
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        most = np.maximum.reduceat(count, first)
+        top = np.flatnonzero(count == np.repeat(most, np.diff(np.r_[first, len(pair)])))
+        top = top[np.r_[True, pair[top][1:] != pair[top][:-1]]]  # ties to the smallest offset
+        x, y, best = pair[top] // (to - from_), pair[top] % (to - from_) + from_, key[top] % (2 * wide) - wide
+        begin, end = np.maximum(0, -best), np.minimum(lengths_a[x], lengths_b[y] - best)
+        ok = (end - begin >= LEAST_OVERLAP) & (ids_a[x] != ids_b[y])
+        x, y, best, begin, overlap = x[ok], y[ok], best[ok], begin[ok], (end - begin)[ok]
+        ends = np.cumsum(overlap)
+        for i, j in _cuts(overlap, AT_ONCE):
+            w, total = overlap[i:j], ends[i:j] - (ends[i - 1] if i else 0)
+            at = np.arange(int(total[-1])) - np.repeat(total - w, w)
+            bits = np.bitwise_count(a[at + np.repeat(start_a[x[i:j]] + begin[i:j], w)].view(np.uint32) ^ b[at + np.repeat(start_b[y[i:j]] + begin[i:j] + best[i:j], w)].view(np.uint32))
+            error = np.add.reduceat(bits.astype(np.int64), total - w) / (32 * w)
+            keep = error <= MOST_ERROR
+            found.append((ids_a[x[i:j]][keep], ids_b[y[i:j]][keep], best[i:j][keep], error[keep]))
+
+    for i, j in _cuts(equal, AT_ONCE):
+        if j - i > 1 or equal[i] <= AT_ONCE:
+            together(i, j)
+            continue
+        one = b[start_b[i] : start_b[i] + lengths_b[i]]
+        for k in range(len(ids_a)):  # a long recording of few integers: pair by pair
+            other = a[start_a[k] : start_a[k] + lengths_a[k]]
+            if ids_a[k] != ids_b[i] and len(np.intersect1d(listed(other), listed(one))):
+                best, error = aligned(other, one)
+                if error <= MOST_ERROR:
+                    found.append((ids_a[k : k + 1], ids_b[i : i + 1], np.array([best]), np.array([error])))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _cuts(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Neighbouring items in runs of a size of at most `most`, or of one item."""
+    out, begin, total = [], 0, 0
+    for i, x in enumerate(sizes.tolist()):
+        if i > begin and total + x > most:
+            out.append((begin, i))
+            begin, total = i, 0
+        total += x
+    return [*out, (begin, len(sizes))] if len(sizes) else out
+
+
+def packed_blocks(classes: DataFrame, most: int) -> DataFrame:
+    """Rows of PACKED with `block`: recordings (class_id, frames) side by side, about `most` frames a row."""
+
+    def run(batches):
+        ids, frames, size = [], [], 0
+
+        def row():
+            data = [np.array(ids, np.int64).tobytes(), np.array([len(f) for f in frames], np.int64).tobytes(), np.concatenate(frames).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in data], ["ids", "lengths", "frames"])
+
+        for batch in batches:
+            for i, f in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                f = f.values.to_numpy(zero_copy_only=False).astype(np.int32)
+                if ids and size + len(f) > most:
+                    yield row()
+                    ids, frames, size = [], [], 0
+                ids.append(i)
+                frames.append(f)
+                size += len(f)
+        if ids:
+            yield row()
+
+    return classes.select("class_id", "frames").mapInArrow(run, PACKED).withColumn("block", F.monotonically_increasing_id())
+
+
 def search(prints: DataFrame, is_query) -> DataFrame:
     """id, class_id, match_class_id, offset_frames, bit_error: a row for every recording with its class (the smallest id with the
     same fingerprint; match null), and a row for every pair (class of a query, other class) that aligns.
 
-    Candidates share a listed code, found by an equi-join over distinct (class, code) rows; copies are one class, so a
-    recording in a third of the rows is one row there. Recordings without frames are classes of their own and match nothing.
+    Every packed block of query classes is dealt to a task with every block of classes; copies are one class, so a recording
+    in a third of the rows is one there. Recordings without frames are classes of their own and match nothing.
     """
     scratch = Scratch(prints.sparkSession, "chroma")
     rows = scratch.keep(prints.withColumn("key", F.when(F.size("frames") > 0, F.sha2(F.to_json("frames").cast("binary"), 256))), "prints")
-    classes = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("class_id"), F.max(is_query(F.col("id"))).alias("asked"), F.first("frames").alias("frames"), F.first("codes").alias("codes"))
+    classes = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("class_id"), F.max(is_query(F.col("id"))).alias("asked"), F.first("frames").alias("frames"))
     classes = scratch.keep(classes, "classes")
-    posting = classes.select("class_id", "asked", F.explode("codes").alias("code"))
-    left = posting.where("asked").select(F.col("class_id").alias("a"), "code")
-    pairs = left.join(posting.select(F.col("class_id").alias("b"), "code"), "code").where("a <> b").select("a", "b").distinct()
+    asked = scratch.keep(packed_blocks(classes.where("asked"), ASKED_FRAMES), "asked")
+    every = scratch.keep(packed_blocks(classes, BLOCK_FRAMES), "blocks")
+    left = asked.select(*[F.col(c).alias(f"{c}_a") for c in ("block", "ids", "lengths", "frames")])
+    deal = left.select("block_a").crossJoin(every.select("block"))
+    both = deal.join(left, "block_a").join(every, "block").select("ids_a", "lengths_a", "frames_a", "ids", "lengths", "frames")
 
     def run(batches):
         from aerograin.llm import chroma as own
 
         for batch in batches:
-            got = [own.aligned(np.array(x.as_py(), np.int32), np.array(y.as_py(), np.int32)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            made = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.float64())], ["a", "b", "offset", "error"])
-            yield made.filter(pa.array([g[1] <= own.MOST_ERROR for g in got], pa.bool_()))
+            for i in range(batch.num_rows):
+                x = [np.frombuffer(batch.column(k)[i].as_buffer(), np.int32 if k % 3 == 2 else np.int64) for k in range(6)]
+                got = own.align_blocks(*x)
+                yield pa.RecordBatch.from_arrays([pa.array(g, t) for g, t in zip(got, (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)], ["a", "b", "offset", "error"])
 
-    frames = classes.select("class_id", "frames")
-    both = pairs.join(frames.toDF("a", "fa"), "a").join(frames.toDF("b", "fb"), "b").select("a", "b", "fa", "fb")
     found = both.mapInArrow(run, "a bigint, b bigint, offset int, error double")
     none = F.lit(None)
     member = rows.join(classes.select("key", "class_id"), "key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), none.cast("bigint").alias("match_class_id"), none.cast("int").alias("offset_frames"), none.cast("double").alias("bit_error"))

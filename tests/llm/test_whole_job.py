@@ -33,3 +33,36 @@ def test_op1_large_rates_are_poisson(spark):
     assert len(n) == 400 and all(r["count"] == r["n_copies"] for r in rows)
     assert abs(n.mean() - rate) < 5 * math.sqrt(rate / 400)
     assert 0.75 < n.var() / rate < 1.3
+
+
+def test_op2_finds_what_aligns(spark):
+    from aerograin.llm import chroma
+
+    rng = np.random.default_rng(3)
+    prints = [rng.integers(-(2**31), 2**31, size=int(n)).astype(np.int32) for n in rng.integers(30, 90, size=60)]
+    prints += [np.full(70, 5, np.int32), np.r_[np.full(40, 5, np.int32), prints[0][:30]]]
+    for i in range(60):  # noisy, shifted copies, at a bit error of 1 to 9 %
+        noise = rng.random((len(prints[i]), 32)) < (1 + i % 9) / 100
+        prints.append((prints[i] ^ np.packbits(noise, axis=1).view(np.int32).ravel())[i % 5 :])
+    want = {}
+    for i in range(0, len(prints), 2):
+        for j in range(len(prints)):
+            if i != j and (got := chroma.aligned(prints[i], prints[j]))[1] <= chroma.MOST_ERROR:
+                want[i, j] = got
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(prints)], "id bigint, frames array<int>").repartition(3)
+    got = {(r["class_id"], r["match_class_id"]): (r["offset_frames"], r["bit_error"]) for r in chroma.search(df, lambda i: i % 2 == 0).where("match_class_id is not null").collect()}
+    assert len(want) > 50 and len(want.keys() & got.keys()) >= 0.9 * len(want)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_op2_blocks_align_as_pairs_do(monkeypatch):
+    from aerograin.llm import chroma
+
+    rng = np.random.default_rng(4)
+    parts = [rng.integers(0, 6, size=int(n)).astype(np.int32) for n in rng.integers(25, 60, size=20)]
+    n, flat = np.array([len(p) for p in parts]), np.concatenate(parts)
+    want = sorted((i, j, *chroma.aligned(parts[i], parts[j])) for i in range(20) for j in range(20) if i != j and chroma.aligned(parts[i], parts[j])[1] <= chroma.MOST_ERROR)
+    for at_once in (1 << 21, 3000, 10):
+        monkeypatch.setattr(chroma, "AT_ONCE", at_once)
+        got = sorted(zip(*(x.tolist() for x in chroma.align_blocks(np.arange(20), n, flat, np.arange(20), n, flat)), strict=True))
+        assert want and got == want
