@@ -66,3 +66,27 @@ def test_op2_blocks_align_as_pairs_do(monkeypatch):
         monkeypatch.setattr(chroma, "AT_ONCE", at_once)
         got = sorted(zip(*(x.tolist() for x in chroma.align_blocks(np.arange(20), n, flat, np.arange(20), n, flat)), strict=True))
         assert want and got == want
+
+
+def test_op3_text_without_blanks_matches_at_any_offset(spark):
+    from aerograin.llm import winnowing
+
+    rng = np.random.default_rng(5)
+    of = lambda n: "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3000, size=n))
+    passage = of(12)
+    pairs = [(of(k) + passage + of(20), of(30) + passage + of(9)) for k in range(6)]
+    text = of(300)
+    pairs.append((text, text[:10] + of(1) + text[10:]))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    kept = df.select(*[winnowing.hashes(winnowing.fingerprint(F.col(c))).alias(c) for c in "ab"])
+    got = kept.select(F.size(F.array_intersect("a", "b")).alias("n"), winnowing.likeness(F.col("a"), F.col("b")).alias("s")).collect()
+    assert all(r["n"] > 0 for r in got[:6])
+    assert got[6]["s"] > 0.8
+
+
+def test_op3_units(spark):
+    from aerograin.llm import winnowing
+
+    texts = ["ab cdefgh\nabcdefgh  x", "\U0001f600" * 8, "", " \t"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_extract_all("t", F.lit(winnowing.UNIT), F.lit(1)).alias("u"))
+    assert [r["u"] for r in df.collect()] == [["ab", "cdefgh", "abcdef", "bcdefg", "cdefgh", "x"], ["\U0001f600" * 6] * 3, [], []]
