@@ -3,9 +3,10 @@
 Bin packing needs only how many pieces have each length, and lengths run from 1 to the capacity: the corpus is reduced to
 one histogram of at most `capacity` counts, whatever its size. On it
 
-* dominance (Martello and Toth): for the longest open length w, fix {w} where nothing fits beside it, {w, r} where r fills
-  the bin exactly, and {w, r} where at most one more piece fits (r the longest that fits) or where no two pieces that fit
-  together beat r. A fixed set dominates every other filling of that bin, so an optimal packing contains it;
+* dominance (Martello and Toth): for every length w, fix {w} where nothing fits beside it, {w, r} where r fills the bin
+  exactly, and {w, r} where at most one more piece fits (r the longest that fits) or where at most two fit and no two that
+  fit together are longer than r. A fixed set dominates every other filling of that bin, so an optimal packing contains it.
+  A proof looks at every piece not fixed yet, and all lengths are tried again until nothing more is fixed;
 * the rest goes best-fit decreasing, length by length and with multiplicities, into the fullest open bin that has room.
 
 The plan is a list of runs (length, first rank, how many, first sequence, offset); pieces find their place by their rank
@@ -72,81 +73,109 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, how many, first sequence, offset) that place every piece of the histogram."""
-    left = {w: n for w, n in histogram.items() if n > 0}
-    open_lengths = sorted(left)
-    used: Counter = Counter()
-    runs: list[tuple[int, int, int, int, int]] = []
-    sequence = 0
+Run = tuple[int, int, int, int, int]
 
-    def fix(items: list[int], times: int) -> None:
-        nonlocal sequence
+
+class _Fixer:
+    """Martello-Toth dominance on the pieces that are not placed yet, all of them in sight of every proof."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.capacity = capacity
+        self.left = {w: n for w, n in histogram.items() if n > 0}
+        self.open = sorted(self.left)
+        self.used: Counter = Counter()
+        self.runs: list[Run] = []
+        self.sequence = 0
+        self.better: dict[int, tuple[int, int]] = {}  # a length -> two others that together beat its longest partner
+
+    def fix(self, items: list[int]) -> None:
+        """Place `items` together, as often as there are enough of them."""
+        times = min(self.left[w] // k for w, k in Counter(items).items())
         offset = 0
         for w in items:
-            runs.append((w, used[w], times, sequence, offset))
-            used[w] += times
-            left[w] -= times
+            self.runs.append((w, self.used[w], times, self.sequence, offset))
+            self.used[w] += times
+            self.left[w] -= times
             offset += w
         for w in set(items):
-            if left[w] == 0:
-                open_lengths.pop(bisect_left(open_lengths, w))
-        sequence += times
+            if self.left[w] == 0:
+                self.open.pop(bisect_left(self.open, w))
+        self.sequence += times
 
-    def times_of(items: list[int]) -> int:
-        return min(left[w] // k for w, k in Counter(items).items())
+    def there(self, w: int, beside: int) -> int:
+        """How many pieces of length w are left beside one of length `beside`."""
+        return self.left.get(w, 0) - (w == beside)
 
-    def longest(room: int, taken: Counter) -> int | None:
-        i = bisect_left(open_lengths, room + 1) - 1
-        while i >= 0 and left[open_lengths[i]] - taken[open_lengths[i]] <= 0:
+    def longest(self, room: int, beside: int) -> int | None:
+        i = bisect_left(self.open, room + 1) - 1
+        while i >= 0 and self.there(self.open[i], beside) <= 0:
             i -= 1
-        return open_lengths[i] if i >= 0 else None
+        return self.open[i] if i >= 0 else None
 
-    def smallest_sum(k: int, taken: Counter) -> int | None:
+    def smallest(self, k: int, beside: int) -> int | None:
+        """Sum of the k shortest pieces; None where there are fewer."""
         total = 0
-        for w in open_lengths:
-            n = min(k, left[w] - taken[w])
+        for w in self.open:
+            n = min(k, self.there(w, beside))
             total += n * w
             k -= n
             if not k:
                 return total
         return None
 
-    def best_pair(room: int, taken: Counter) -> int:
-        best, hi = 0, bisect_left(open_lengths, room + 1) - 1
-        lo = 0
-        while lo <= hi:
-            a, b = open_lengths[lo], open_lengths[hi]
-            if a + b > room:
+    def beaten(self, w: int, r: int, room: int) -> bool:
+        """Whether two pieces that fit together into `room` are longer than r."""
+        a, b = self.better.get(w, (0, 0))
+        if a and a + b > r and self.there(a, w) > (a == b) and self.there(b, w) > 0:
+            return True
+        i = bisect_left(self.open, room // 2 + 1) - 1
+        while i >= 0 and 2 * self.open[i] > r:  # two of one length
+            if self.there(self.open[i], w) > 1:
+                self.better[w] = (self.open[i], self.open[i])
+                return True
+            i -= 1
+        others = [x for x in self.open[: bisect_left(self.open, room + 1)] if self.there(x, w) > 0]
+        lo, hi = 0, len(others) - 1
+        while lo < hi:
+            both = others[lo] + others[hi]
+            if both > room:
                 hi -= 1
-                continue
-            if (lo < hi and left[a] - taken[a] > 0 and left[b] - taken[b] > 0) or (lo == hi and left[a] - taken[a] > 1):
-                best = max(best, a + b)
-            lo += 1
-        return best
-
-    rest: list[int] = []
-    while open_lengths:  # dominance, from the longest length down
-        w = open_lengths[-1]
-        taken = Counter([w])
-        room = capacity - w
-        r = longest(room, taken)
-        if r is None:
-            fix([w], times_of([w]) if w > room else 1)
-            continue
-        two = smallest_sum(2, taken)
-        if r == room or two is None or two > room:
-            fix([w, r], times_of([w, r]))
-            continue
-        three = smallest_sum(3, taken)
-        if (three is None or three > room) and best_pair(room, taken) <= r:
-            fix([w, r], 1 if w == r else times_of([w, r]))
-            continue
-        rest.append(w)  # not provable: its pieces wait for best fit
-        open_lengths.pop()
-        if len(open_lengths) == 0:
-            break
-    # Best fit decreasing on what is left: bins are kept by room with multiplicity (room -> list of [first sequence, how many, filled]).
+            elif both > r:
+                self.better[w] = (others[lo], others[hi])
+                return True
+            else:
+                lo += 1
+        return False
+
+    def settle(self, w: int) -> bool:
+        """Fix a set that holds w and dominates every other one that does; False where none is proved."""
+        room = self.capacity - w
+        r = self.longest(room, w)
+        if r is None:  # nothing fits beside it
+            self.fix([w])
+            return True
+        two = self.smallest(2, w)
+        if r < room and two is not None and two <= room:  # two may stand beside it
+            three = self.smallest(3, w)
+            if (three is not None and three <= room) or self.beaten(w, r, room):
+                return False
+        self.fix([w, r])
+        return True
+
+    def run(self) -> None:
+        """From the longest length down, again and again until nothing more is proved."""
+        moved = True
+        while moved:
+            moved = False
+            for w in reversed(self.open.copy()):
+                while self.left[w] and self.settle(w):
+                    moved = True
+
+
+def best_fit(left: dict[int, int], used: Counter, sequence: int, capacity: int) -> tuple[list[Run], int]:
+    """Best fit decreasing: (runs, number of the next sequence). Bins are kept by room, as stretches of neighbouring ones."""
+    used = Counter(used)
+    runs: list[Run] = []
     rooms: list[int] = []
     bins: dict[int, list[list[int]]] = {}
 
@@ -168,7 +197,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
             bins[room][-1] = [first + k, have - k]
         return first, k
 
-    for w in sorted(rest, reverse=True):
+    for w in sorted(left, reverse=True):
         n = left[w]
         while n:
             i = bisect_left(rooms, w)
@@ -188,7 +217,20 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
                 put(capacity - each * w, sequence, k)
                 sequence += k
                 n -= k * each
-    return runs
+    return runs, sequence
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[Run]:
+    """Runs (length, first rank, how many, first sequence, offset) that place every piece of the histogram.
+
+    Dominance to a fixed point, then best fit decreasing for the rest; where best fit alone needs fewer sequences (taking
+    pieces away can make it worse), its plan is the one returned.
+    """
+    fixer = _Fixer(histogram, capacity)
+    fixer.run()
+    rest, reduced = best_fit({w: n for w, n in fixer.left.items() if n}, fixer.used, fixer.sequence, capacity)
+    plain, alone = best_fit({w: n for w, n in histogram.items() if n > 0}, Counter(), 0, capacity)
+    return fixer.runs + rest if reduced <= alone else plain
 
 
 def pieces(docs: DataFrame, json_path: str, rank_path: str | None = None, pattern: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -250,5 +292,6 @@ def pack(docs: DataFrame, json_path: str, rank_path: str | None = None, pattern:
                 offset[mine] = run[:, 4]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = made.join(base, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("base")).alias("rank"))
+    # By merge: `base` grows with the number of writer tasks, so it is never sent to all.
+    ranked = made.join(base.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("base")).alias("rank"))
     return ranked.mapInArrow(place, PACKED)

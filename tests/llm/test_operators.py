@@ -265,8 +265,53 @@ def test_op6_plan_is_a_packing_and_near_the_bound():
                 assert offset == at
                 at += w
             assert at <= cap
-        bound = max(math.ceil(sum(w * n for w, n in hist.items()) / cap), sum(n for w, n in hist.items() if 2 * w > cap))
-        assert len(bins) <= 1.25 * bound + 1
+        assert len(bins) <= packing.best_fit(hist, collections.Counter(), 0, cap)[1]
+
+
+def fewest(items, cap):
+    """The smallest number of bins, by branch and bound."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for k in {room: k for k, room in enumerate(bins)}.values():
+            if bins[k] >= items[i]:
+                bins[k] -= items[i]
+                go(i + 1, bins)
+                bins[k] += items[i]
+        bins.append(cap - items[i])
+        go(i + 1, bins)
+        bins.pop()
+
+    go(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("hist,cap", [({1: 1, 8: 2}, 30), ({300: 1, 700: 2}, 2048), ({3: 1, 21: 1, 26: 1, 42: 1}, 100)])
+def test_op6_pieces_that_fit_together_stay_together(hist, cap):
+    assert {first + k for _, _, n, first, _ in packing.plan(hist, cap) for k in range(n)} == {0}
+
+
+def test_op6_dominance_keeps_an_optimum():
+    rng = random.Random(2)
+    for _ in range(1500):
+        cap = rng.choice([10, 30, 37, 100])
+        items = [rng.randrange(1, cap + 1) for _ in range(rng.randrange(1, 10))]
+        fixer = packing._Fixer(dict(collections.Counter(items)), cap)
+        fixer.run()
+        assert fixer.sequence + fewest([w for w, n in fixer.left.items() for _ in range(n)], cap) == fewest(items, cap)
+
+
+def test_op6_never_more_than_best_fit():
+    rng = random.Random(4)
+    for _ in range(100_000):
+        cap = rng.choice([9, 20, 50])
+        hist = dict(collections.Counter(rng.randrange(1, cap + 1) for _ in range(rng.randrange(1, 12))))
+        assert max(first + n for _, _, n, first, _ in packing.plan(hist, cap)) <= packing.best_fit(hist, collections.Counter(), 0, cap)[1]
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
