@@ -108,20 +108,21 @@ rates AS (
   SELECT source, CASE WHEN chars > 0 AND (SELECT sum(weight) FROM w) > 0
     THEN (SELECT sum(chars) FROM w)::DOUBLE * (weight / (SELECT sum(weight) FROM w)) / chars::DOUBLE ELSE 1.0 END AS rate
   FROM w),
+split AS (SELECT source, greatest(1, ceil(rate / 500))::BIGINT AS draws, rate / greatest(1, ceil(rate / 500)) AS r FROM rates),
 terms AS (
-  SELECT source, k, exp(-rate) * pow(rate, k) / gamma(k + 1) AS term
-  FROM rates, (SELECT unnest(range(0, 120)) AS k) ks
-  WHERE k <= ceil(rate + 12 * sqrt(rate) + 20)),
+  SELECT source, k, CASE WHEN k = 0 THEN exp(-r) ELSE exp(-r + k * ln(r) - lgamma(k + 1)) END AS term
+  FROM split, (SELECT unnest(range(0, 800)) AS k) ks
+  WHERE k <= ceil(r + 12 * sqrt(r) + 20)),
 cdf AS (SELECT source, sum(term) OVER (PARTITION BY source ORDER BY k) AS below FROM terms),
+keyed AS (SELECT *, row_number() OVER () AS row_id, coalesce(doc_id::VARCHAR, '\\N') || ':' || md5(coalesce(text, '\\N')) AS key FROM documents),
 drawn AS (
-  SELECT d.*, ('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, '\\N')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
-  FROM documents d),
+  SELECT k.row_id, k.source, ('0x' || substr(md5(CASE WHEN j = 1 THEN '17:' || key ELSE '17/draw:' || key || ':' || j END), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+  FROM (SELECT k.row_id, k.source, k.key, unnest(range(1, s.draws + 1)) AS j FROM keyed k JOIN split s ON k.source IS NOT DISTINCT FROM s.source) k),
 counted AS (
-  SELECT doc_id, text, lang, source, n_chars,
-    (SELECT count(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM drawn.source AND c.below <= drawn.u)::INTEGER AS n_copies
-  FROM drawn)
+  SELECT k.*, n.n_copies::INTEGER AS n_copies
+  FROM keyed k JOIN (SELECT row_id, sum((SELECT count(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM drawn.source AND c.below <= drawn.u)) AS n_copies FROM drawn GROUP BY row_id) n USING (row_id))
 SELECT doc_id, text, lang, source, n_chars, n_copies, copy::INTEGER AS copy,
-  ('0x' || substr(md5('17/place:' || coalesce(doc_id::VARCHAR, '\\N') || ':' || copy), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS position
+  ('0x' || substr(md5('17/place:' || key || ':' || copy), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS position
 FROM (SELECT *, unnest(range(0, n_copies)) AS copy FROM counted WHERE n_copies > 0)
 """,
 }

@@ -90,3 +90,34 @@ def test_op3_units(spark):
     texts = ["ab cdefgh\nabcdefgh  x", "\U0001f600" * 8, "", " \t"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_extract_all("t", F.lit(winnowing.UNIT), F.lit(1)).alias("u"))
     assert [r["u"] for r in df.collect()] == [["ab", "cdefgh", "abcdef", "bcdefg", "cdefgh", "x"], ["\U0001f600" * 6] * 3, [], []]
+
+
+def test_op1_equal_rows_are_drawn_each_for_itself(spark):
+    from aerograin.llm import mixing
+
+    schema = "doc_id bigint, text string, source string, extra map<string,int>"
+    rows = [(None, "same", "a", {"x": 1})] * 6000 + [(None, None, "a", None)] * 3000 + [(7, "one", "b", None)] * 500 + [(7, f"two {i}", "b", None) for i in range(500)]
+    docs = spark.createDataFrame(rows, schema).repartition(6)
+    got = mixing.mix(docs, targets={"a": 1.0, "b": 1.0})
+    rate = {r["source"]: r["rate"] for r in mixing.source_rates(docs, targets={"a": 1.0, "b": 1.0}).collect()}
+    n = {(r["doc_id"], r["text"]): r["n"] for r in got.groupBy("doc_id", F.substring("text", 1, 3).alias("text")).agg(F.count("*").alias("n")).collect()}
+    for key, times, source in (((None, "sam"), 6000, "a"), ((None, None), 3000, "a"), ((7, "one"), 500, "b"), ((7, "two"), 500, "b")):
+        mean = times * rate[source]
+        assert abs(n.get(key, 0) - mean) < 6 * math.sqrt(mean)
+    assert got.select("position").distinct().count() == got.count()
+
+
+@pytest.mark.parametrize("rate", [0.0, 50.0, 900.0, 100_000.0])
+def test_op1_rates(spark, rate):
+    from aerograin.llm import mixing
+
+    # "s" has 100 texts of 1 character; its share of the characters is set by the target weight.
+    epochs = 1.0
+    docs = spark.range(101).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, F.expr("repeat('x', 20000000)")).otherwise("x").alias("text"), F.when(F.col("id") == 0, "big").otherwise("s").alias("source"))
+    share = rate * 100 / 20_000_100
+    drawn = mixing.mix(docs, targets={"s": share, "big": 1 - share}, epochs=epochs).where("source = 's'").groupBy("doc_id").agg(F.count("*").alias("n")).collect()
+    n = np.zeros(100)
+    n[: len(drawn)] = [r["n"] for r in drawn]
+    assert abs(n.mean() - rate) <= 5 * math.sqrt(rate / 100)
+    if rate:
+        assert 0.6 < n.var() / rate < 1.6
