@@ -102,7 +102,7 @@ CHANNELS = {
     "humidity": (0.0, 100.0, 3.0),
 }
 #: Device status -> state it forces. Fixed values.
-STATUS = {"failed": "MISSING", "disabled": "MISSING", "data_not_ready": "MISSING", "partial": "INVALID", "ok": "VALID"}
+STATUS = {"ok": "VALID", "partial": "VALID", "failed": "INVALID", "disabled": "MISSING", "data_not_ready": "MISSING"}
 
 
 def identity(*configs) -> str:

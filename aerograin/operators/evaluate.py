@@ -33,14 +33,14 @@ def line(spark: SparkSession, n: int, lo: float, hi: float, name: str) -> DataFr
 
 
 def score_methods(df: DataFrame) -> DataFrame:
-    """From component scores a, v, m (0 to 100): hfis, fuzzy_max, crisp_max, mean and their severities."""
+    """From component scores a, v, m (0 to 100): two_level, fuzzy_max, crisp_max, mean and their severities."""
     shapes = fuzzy.monotonic_shapes(*FuzzyConfig().output)
     act = fuzzy.activation([fuzzy.memberships(F.col(c), shapes) for c in ("a", "v", "m")])
-    out = fuzzy.with_centroid(df.withColumns({f"o{s}": act[s] for s in range(4)}), [f"o{s}" for s in range(4)], "hfis").drop("o0", "o1", "o2", "o3")
+    out = fuzzy.with_centroid(df.withColumns({f"o{s}": act[s] for s in range(4)}), [f"o{s}" for s in range(4)], "two_level").drop("o0", "o1", "o2", "o3")
     sev = lambda c: scores.severity(scores.output_class(c))
     top = F.greatest("a", "v", "m")
     out = out.withColumns({"fuzzy_max": top, "crisp_max": sev(top) * 25.0 + 12.5, "mean": (F.col("a") + F.col("v") + F.col("m")) / 3})
-    return out.withColumns({f"sev_{c}": sev(F.col(c)) for c in ("hfis", "fuzzy_max", "crisp_max", "mean")})
+    return out.withColumns({f"sev_{c}": sev(F.col(c)) for c in ("two_level", "fuzzy_max", "crisp_max", "mean")})
 
 
 def cube(spark: SparkSession, n: int) -> DataFrame:
@@ -48,7 +48,7 @@ def cube(spark: SparkSession, n: int) -> DataFrame:
     return line(spark, n, 0.0, 100.0, "a").crossJoin(line(spark, n, 0.0, 100.0, "v")).crossJoin(line(spark, n, 0.0, 100.0, "m"))
 
 
-def pair_differences(df: DataFrame, methods: tuple[str, ...] = ("hfis", "fuzzy_max", "crisp_max", "mean")) -> DataFrame:
+def pair_differences(df: DataFrame, methods: tuple[str, ...] = ("two_level", "fuzzy_max", "crisp_max", "mean")) -> DataFrame:
     """method_a, method_b: n, mean, median, p95, max absolute difference, signed mean, class agreement. One pass, pairs stacked."""
     pairs = [(a, b) for i, a in enumerate(methods) for b in methods[i + 1 :]]
     rows = ", ".join(f"'{a}', '{b}', {a}, {b}, sev_{a}, sev_{b}" for a, b in pairs)
@@ -106,20 +106,20 @@ def swept(spark: SparkSession, points: int = 21) -> DataFrame:
 def continuity(df: DataFrame) -> DataFrame:
     """boundary, context, method: jumps between neighbours (max, mean, median, p95, sum), steepest ratio, class changes, range,
     drops where more should never be better, and the area between the index and the fuzzy maximum."""
-    rows = "stack(4, 'HFIS', index_value, sev_hfis, 'FUZZY_MAX', fuzzy_max, sev_fmax, 'CRISP_MAX', crisp_value, crisp, 'MEAN', weighted_mean, sev_mean) as (method, y, sev)"
+    rows = "stack(4, 'TWO_LEVEL', index_value, sev_two_level, 'FUZZY_MAX', fuzzy_max, sev_fmax, 'CRISP_MAX', crisp_value, crisp, 'MEAN', weighted_mean, sev_mean) as (method, y, sev)"
     keys = ["boundary", "channel", "context", "method"]
     long = df.select("boundary", "channel", "context", "i", "input", F.abs(F.col("index_value") - F.col("fuzzy_max")).alias("apart"), F.expr(rows))
     w = Window.partitionBy(*keys).orderBy("i")
     s = long.withColumns({"dy": F.col("y") - F.lag("y").over(w), "dx": F.col("input") - F.lag("input").over(w), "turn": F.col("sev") != F.lag("sev").over(w), "trap": (F.col("apart") + F.lag("apart").over(w)) / 2 * (F.col("input") - F.lag("input").over(w))})
     j = F.abs("dy")
     one_sided = F.col("channel").isin("pm2_5", "pm10", "co2")
-    return s.groupBy(*keys).agg(F.max(j).alias("max_jump"), F.avg(j).alias("mean_jump"), F.percentile(j, 0.5).alias("median_jump"), F.percentile(j, 0.95).alias("p95_jump"), F.sum(j).alias("variation"), F.max(F.try_divide(j, F.col("dx"))).alias("steepest"), F.count_if("turn").alias("n_changes"), (F.max("y") - F.min("y")).alias("spread"), F.count_if(one_sided & (F.col("dy") < -1e-9)).alias("n_drops"), F.sum("trap").alias("_area")).withColumn("area", F.when(F.col("method") == "HFIS", F.col("_area"))).drop("_area")
+    return s.groupBy(*keys).agg(F.max(j).alias("max_jump"), F.avg(j).alias("mean_jump"), F.percentile(j, 0.5).alias("median_jump"), F.percentile(j, 0.95).alias("p95_jump"), F.sum(j).alias("variation"), F.max(F.try_divide(j, F.col("dx"))).alias("steepest"), F.count_if("turn").alias("n_changes"), (F.max("y") - F.min("y")).alias("spread"), F.count_if(one_sided & (F.col("dy") < -1e-9)).alias("n_drops"), F.sum("trap").alias("_area")).withColumn("area", F.when(F.col("method") == "TWO_LEVEL", F.col("_area"))).drop("_area")
 
 
 def smoother(summary: DataFrame, base: str) -> DataFrame:
     """Whether the index jumps less than a baseline, boundary by boundary: counts of smoother, rougher, tied (1e-9)."""
-    wide = summary.where(F.col("method").isin("HFIS", base)).groupBy("boundary", "context").pivot("method", ["HFIS", base]).agg(F.first("max_jump"))
-    d = F.col("HFIS") - F.col(base)
+    wide = summary.where(F.col("method").isin("TWO_LEVEL", base)).groupBy("boundary", "context").pivot("method", ["TWO_LEVEL", base]).agg(F.first("max_jump"))
+    d = F.col("TWO_LEVEL") - F.col(base)
     return wide.agg(F.lit(base).alias("baseline"), F.count_if(d < -1e-9).alias("n_smoother"), F.count_if(d > 1e-9).alias("n_rougher"), F.count_if(F.abs(d) <= 1e-9).alias("n_tied"))
 
 

@@ -15,11 +15,13 @@ def numeric(v: Column) -> Column:
 
 
 def pm_ordered(cols: list[Column], tolerance: float) -> Column:
-    """Each size fraction at most the next, with slack; passes where any is missing."""
-    ok = F.lit(True)
+    """Each size fraction at most the next, with slack; passes where any of them is missing or no number."""
+    there, ok = F.lit(True), F.lit(True)
+    for c in cols:
+        there = there & numeric(c)
     for a, b in zip(cols, cols[1:], strict=False):
         ok = ok & (a <= b + F.abs(b) * tolerance)
-    return F.coalesce(ok, F.lit(True))
+    return F.when(there, ok).otherwise(F.lit(True))
 
 
 def hard(channel: Column, value: Column, matched: Column, status: Column, pm_ok: Column) -> Column:

@@ -25,7 +25,7 @@ def cube_masking(spark, sf_dir):
     """Triples with a critical component and how often the mean hides it; boundary buckets of the largest score, one scan."""
     x = evaluate.score_methods(evaluate.cube(spark, 11)).withColumn("top", F.greatest("a", "v", "m"))
     near = lambda b: F.count_if(F.abs(F.col("top") - b) <= 5).alias(f"n_near_{b}")
-    return x.agg(F.count_if(F.expr("top >= 75")).alias("n_critical"), F.count_if(F.expr("top >= 75 and sev_mean < 3")).alias("n_masked_mean"), F.count_if(F.expr("top >= 75 and sev_hfis < 3")).alias("n_masked_hfis"), near(25), near(50), near(75))
+    return x.agg(F.count_if(F.expr("top >= 75")).alias("n_critical"), F.count_if(F.expr("top >= 75 and sev_mean < 3")).alias("n_masked_mean"), F.count_if(F.expr("top >= 75 and sev_two_level < 3")).alias("n_masked_two_level"), near(25), near(50), near(75))
 
 
 def random_triples(spark, sf_dir):
@@ -186,12 +186,12 @@ def _methods(source: str) -> str:
     mem = ", ".join(f"{sensor._trap(c, shapes[s][0])} AS {c}{s}" for c in "avm" for s in range(4))
     act = ", ".join(f"greatest({', '.join(f'least(a{i}, v{j}, m{k})' for i in range(4) for j in range(4) for k in range(4) if max(i, j, k) == s)}) AS o{s}" for s in range(4))
     return f"""uni AS (SELECT i * 0.25::DOUBLE AS u FROM (SELECT unnest(range(0, 401)) AS i)), s0 AS (SELECT row_number() OVER () AS k, a, v, m FROM {source}), s1 AS (SELECT *, {mem} FROM s0), s2 AS (SELECT *, {act} FROM s1),
-{sensor._centre('s2', ['o0', 'o1', 'o2', 'o3'], 's3', 'k')}, s4 AS (SELECT k, a, v, m, c AS hfis, greatest(a, v, m) AS fuzzy_max, (a + v + m) / 3 AS mean FROM s2 JOIN s3 USING (k)),
-s5 AS (SELECT *, {sensor.sev_sql('fuzzy_max')} * 25.0::DOUBLE + 12.5 AS crisp_max FROM s4), sm AS (SELECT *, {', '.join(f'{sensor.sev_sql(c)} AS sev_{c}' for c in ('hfis', 'fuzzy_max', 'crisp_max', 'mean'))} FROM s5)"""
+{sensor._centre('s2', ['o0', 'o1', 'o2', 'o3'], 's3', 'k')}, s4 AS (SELECT k, a, v, m, c AS two_level, greatest(a, v, m) AS fuzzy_max, (a + v + m) / 3 AS mean FROM s2 JOIN s3 USING (k)),
+s5 AS (SELECT *, {sensor.sev_sql('fuzzy_max')} * 25.0::DOUBLE + 12.5 AS crisp_max FROM s4), sm AS (SELECT *, {', '.join(f'{sensor.sev_sql(c)} AS sev_{c}' for c in ('two_level', 'fuzzy_max', 'crisp_max', 'mean'))} FROM s5)"""
 
 
 def _differences() -> str:
-    m = ("hfis", "fuzzy_max", "crisp_max", "mean")
+    m = ("two_level", "fuzzy_max", "crisp_max", "mean")
     rows = " UNION ALL ".join(f"SELECT '{a}' AS method_a, '{b}' AS method_b, {a} AS x, {b} AS y, sev_{a} AS sx, sev_{b} AS sy FROM sm" for i, a in enumerate(m) for b in m[i + 1 :])
     return f"""SELECT method_a, method_b, count(*) AS n, round(avg(abs(x - y)), 5) AS mean_abs, round(quantile_cont(abs(x - y), 0.5), 5) AS median_abs, round(quantile_cont(abs(x - y), 0.95), 5) AS p95_abs, round(max(abs(x - y)), 5) AS max_abs, round(avg(x - y), 5) AS signed, round(avg((sx = sy)::INT), 5) AS agreement FROM ({rows}) GROUP BY method_a, method_b"""
 
@@ -234,7 +234,7 @@ _NEAR = f"least({', '.join(f'abs({c} - {b})' for c, bs in _LIMITS for b in bs)})
 
 SQL = {
     "score_cube": f"WITH {_CUBE}, {_methods('cube')} {_differences()}",
-    "cube_masking": f"WITH {_CUBE}, {_methods('cube')} SELECT count_if(fuzzy_max >= 75)::BIGINT AS n_critical, count_if(fuzzy_max >= 75 AND sev_mean < 3)::BIGINT AS n_masked_mean, count_if(fuzzy_max >= 75 AND sev_hfis < 3)::BIGINT AS n_masked_hfis, {', '.join(f'count_if(abs(fuzzy_max - {b}) <= 5)::BIGINT AS n_near_{b}' for b in (25, 50, 75))} FROM sm",
+    "cube_masking": f"WITH {_CUBE}, {_methods('cube')} SELECT count_if(fuzzy_max >= 75)::BIGINT AS n_critical, count_if(fuzzy_max >= 75 AND sev_mean < 3)::BIGINT AS n_masked_mean, count_if(fuzzy_max >= 75 AND sev_two_level < 3)::BIGINT AS n_masked_two_level, {', '.join(f'count_if(abs(fuzzy_max - {b}) <= 5)::BIGINT AS n_near_{b}' for b in (25, 50, 75))} FROM sm",
     "random_triples": f"WITH tr AS (SELECT {_U('a')} AS a, {_U('v')} AS v, {_U('m')} AS m FROM events), ok AS (SELECT * FROM tr WHERE {_OFF}), {_methods('ok')} {_differences()}",
     "fault_detection": _detect("list_contains(reasons, code)"),
     "fault_exclusion": _detect("NOT usable"),

@@ -232,8 +232,8 @@ def with_baselines(x: DataFrame, cfg: FuzzyConfig | None = None) -> DataFrame:
     m = F.when(F.col("temperature").isNotNull() & F.col("humidity").isNotNull(), F.greatest(scores.hard_class_two_sided(F.col("temperature"), cfg.temperature[0]), scores.hard_class_two_sided(F.col("humidity"), cfg.humidity[0])))
     out = x.withColumns({"fuzzy_max": F.greatest(*there), "weighted_mean": F.when(n > 0, total / n), "crisp": F.greatest(a, v, m)})
     out = out.withColumn("crisp_value", F.col("crisp") * 25.0 + 12.5)
-    sev = lambda c: scores.severity(scores.output_class(F.col(c)))
-    return out.withColumns({"sev_hfis": sev("index_value"), "sev_fmax": sev("fuzzy_max"), "sev_mean": sev("weighted_mean")})
+    sev = lambda c: scores.severity(scores.output_class(F.round(c, 9)))  # noqa: E731 (a mean of 50 is 50 in any order of its terms)
+    return out.withColumns({"sev_two_level": sev("index_value"), "sev_fmax": sev("fuzzy_max"), "sev_mean": sev("weighted_mean")})
 
 
 def baselines(spark, sf_dir):
@@ -241,7 +241,7 @@ def baselines(spark, sf_dir):
     return x.select("device", "tick", *[F.round(c, 5).alias(c) for c in ("fuzzy_max", "weighted_mean", "crisp_value")], "crisp")
 
 
-METHODS = {"HFIS": "sev_hfis", "FUZZY_MAX": "sev_fmax", "CRISP_MAX": "crisp", "MEAN": "sev_mean"}
+METHODS = {"TWO_LEVEL": "sev_two_level", "FUZZY_MAX": "sev_fmax", "CRISP_MAX": "crisp", "MEAN": "sev_mean"}
 
 
 def method_agreement(spark, sf_dir):
@@ -257,7 +257,7 @@ def method_agreement(spark, sf_dir):
 
 def masking(spark, sf_dir):
     """Windows where a component is critical, and how many of them each method shows as less."""
-    x = with_baselines(inferred(spark, sf_dir)).where(F.greatest("score_A", "score_V", "score_M") >= 75)
+    x = with_baselines(inferred(spark, sf_dir)).where(F.round(F.greatest("score_A", "score_V", "score_M"), 9) >= 75)
     rows = ", ".join(f"'{m}', {c}" for m, c in METHODS.items())
     long = x.select(F.expr(f"stack({len(METHODS)}, {rows}) as (method, sev)"))
     return long.groupBy("method").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.coalesce("sev", F.lit(-1)) < 3).alias("n_masked")).withColumn("rate", F.round(F.col("n_masked") / F.col("n_events"), 6))
@@ -309,13 +309,13 @@ def _channel(c: str) -> str:
     aux, second, trend = _AUX[c]
     order = "WHEN NOT pm_ok THEN 'INVALID' " if c.startswith("pm") else ""
     return f"""SELECT device, tick, slot, '{c}' AS channel, {c} AS value, is_window,
- CASE WHEN NOT is_matched THEN 'MISSING' WHEN lower(status) IN ('failed', 'disabled', 'data_not_ready') THEN 'MISSING' WHEN lower(status) = 'partial' THEN 'INVALID'
+ CASE WHEN NOT is_matched THEN 'MISSING' WHEN lower(status) IN ('disabled', 'data_not_ready') THEN 'MISSING' WHEN lower(status) = 'failed' THEN 'INVALID'
   WHEN {c} IS NULL OR isnan({c}) OR isinf({c}) THEN 'INVALID' WHEN NOT ({_RANGE(c)}) THEN 'INVALID' {order}ELSE 'VALID' END AS state,
  {'pm1' if aux else 'NULL::DOUBLE'} AS aux1, {'pm4' if aux else 'NULL::DOUBLE'} AS aux2, {second}::DOUBLE AS secondary, {trend}::DOUBLE AS trend FROM ordered"""
 
 
 _CHECKED = f"""{_EXPECT}, {_TREND},
-ordered AS (SELECT e.*, coalesce(pm1 <= pm2_5 + abs(pm2_5) * 0.2 AND pm2_5 <= pm4 + abs(pm4) * 0.2 AND pm4 <= pm10 + abs(pm10) * 0.2, true) AS pm_ok, trend_pm25, trend_t, trend_rh FROM expected e LEFT JOIN trend USING (device, tick)),
+ordered AS (SELECT e.*, CASE WHEN pm1 IS NULL OR pm2_5 IS NULL OR pm4 IS NULL OR pm10 IS NULL THEN true ELSE pm1 <= pm2_5 + abs(pm2_5) * 0.2 AND pm2_5 <= pm4 + abs(pm4) * 0.2 AND pm4 <= pm10 + abs(pm10) * 0.2 END AS pm_ok, trend_pm25, trend_t, trend_rh FROM expected e LEFT JOIN trend USING (device, tick)),
 checked0 AS ({' UNION ALL '.join(_channel(c) for c in WIDE)}),
 checked AS (SELECT *, CASE state WHEN 'MISSING' THEN 'data_loss' WHEN 'INVALID' THEN 'out_of_range' END AS reason FROM checked0)"""
 _P = "PARTITION BY device, tick, channel"
@@ -447,6 +447,7 @@ def _hard2(x: str, e: tuple) -> str:
 
 
 def sev_sql(x: str) -> str:
+    x = f"round({x}, 9)"
     return f"CASE WHEN {x} < 25 THEN 0 WHEN {x} < 50 THEN 1 WHEN {x} < 75 THEN 2 WHEN {x} >= 75 THEN 3 END"
 
 
@@ -455,7 +456,7 @@ def baseline_cte() -> str:
     a = f"CASE WHEN pm2_5 IS NOT NULL AND pm10 IS NOT NULL THEN greatest({_hard('pm2_5', f.pm2_5[0])}, {_hard('pm10', f.pm10[0])}) END"
     m = f"CASE WHEN temperature IS NOT NULL AND humidity IS NOT NULL THEN greatest({_hard2('temperature', f.temperature[0])}, {_hard2('humidity', f.humidity[0])}) END"
     return f"""b0 AS (SELECT *, greatest("score_A", "score_V", "score_M") AS fuzzy_max, (coalesce("score_A", 0) + coalesce("score_V", 0) + coalesce("score_M", 0)) / nullif(3 - n_gone, 0) AS weighted_mean, greatest({a}, {_hard('co2', f.co2[0])}, {m}) AS crisp FROM hf),
-bl AS (SELECT *, crisp * 25.0 + 12.5 AS crisp_value, {sev_sql('index_value')} AS sev_hfis, {sev_sql('fuzzy_max')} AS sev_fmax, {sev_sql('weighted_mean')} AS sev_mean FROM b0)"""
+bl AS (SELECT *, crisp * 25.0 + 12.5 AS crisp_value, {sev_sql('index_value')} AS sev_two_level, {sev_sql('fuzzy_max')} AS sev_fmax, {sev_sql('weighted_mean')} AS sev_mean FROM b0)"""
 
 
 def agreement_sql(rows: str, keys: str) -> str:
@@ -474,7 +475,7 @@ SQL |= {
     "baselines": f"WITH {_WIDE_SQL}, {baseline_cte()} SELECT device, tick, round(fuzzy_max, 5) AS fuzzy_max, round(weighted_mean, 5) AS weighted_mean, round(crisp_value, 5)::DOUBLE AS crisp_value, crisp FROM bl",
     "method_agreement": f"WITH {_WIDE_SQL}, {baseline_cte()}, "
     + agreement_sql(" UNION ALL ".join(f"SELECT '{a}' AS method_a, '{b}' AS method_b, {METHODS[a]} AS a, {METHODS[b]} AS b FROM bl" for i, a in enumerate(_NAMES) for b in _NAMES[i + 1 :]), "method_a, method_b"),
-    "masking": f"WITH {_WIDE_SQL}, {baseline_cte()}, l AS ({' UNION ALL '.join(f"SELECT '{m}' AS method, {c} AS s FROM bl WHERE fuzzy_max >= 75" for m, c in METHODS.items())}) SELECT method, count(*) AS n_events, count_if(coalesce(s, -1) < 3)::BIGINT AS n_masked, round(count_if(coalesce(s, -1) < 3) / count(*), 6) AS rate FROM l GROUP BY method",
+    "masking": f"WITH {_WIDE_SQL}, {baseline_cte()}, l AS ({' UNION ALL '.join(f"SELECT '{m}' AS method, {c} AS s FROM bl WHERE round(fuzzy_max, 9) >= 75" for m, c in METHODS.items())}) SELECT method, count(*) AS n_events, count_if(coalesce(s, -1) < 3)::BIGINT AS n_masked, round(count_if(coalesce(s, -1) < 3) / count(*), 6) AS rate FROM l GROUP BY method",
 }
 _BEFORE = lambda f, m: f"{f} OVER (PARTITION BY device ORDER BY epoch_us(ts) RANGE BETWEEN {m * 60_000_000} PRECEDING AND 1 PRECEDING)"
 _GUESS = [(f"locf_{m}", _BEFORE("last_value(co2)", m)) for m in LOOKBACKS] + [("mean_15", _BEFORE("avg(co2)", 15))]

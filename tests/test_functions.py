@@ -235,7 +235,7 @@ def test_boundaries_and_scenarios(spark):
 
 def test_index_never_exceeds_the_maximum(spark):
     x = evaluate.score_methods(evaluate.cube(spark, 6))
-    assert x.where("abs(hfis - 50) > 51").count() == 0
+    assert x.where("abs(two_level - 50) > 51").count() == 0
 
 
 def test_inject_and_row_windows(spark):
@@ -297,3 +297,19 @@ def test_most_adverse_inputs(spark):
     pick = lambda **v: scores.most_adverse({k: (F.lit(s), F.lit(d).cast("double")) for k, (s, d) in v.items()})
     r = spark.range(1).select(pick(a=(1, 0.9), b=(2, 0.3), c=(2, 0.3)).alias("x"), pick(a=(1, 0.9), b=(None, None)).alias("y"), scores.transition(F.lit(1), F.lit(3)).alias("t")).first()
     assert r["x"] == ["b", "c"] and r["y"] == ["a"] and r["t"] == "nonadjacent"
+
+
+def test_status_and_size_order(spark):
+    """Hand-computed: partial reports are judged by value, failed ones are invalid, a missing fraction proves nothing."""
+    from aerograin.operators import quality
+
+    nan = float("nan")
+    rows = [
+        ("ok", 1.0, 2.0, 3.0, 4.0, "VALID"), ("Partial", 1.0, 2.0, 3.0, 4.0, "VALID"), ("failed", 1.0, 2.0, 3.0, 4.0, "INVALID"), ("disabled", 1.0, 2.0, 3.0, 4.0, "MISSING"),
+        ("data_not_ready", 1.0, 2.0, 3.0, 4.0, "MISSING"), ("unheard_of", 1.0, 2.0, 3.0, 4.0, "VALID"), (None, 1.0, 2.0, 3.0, 4.0, "VALID"),
+        ("ok", 1.0, 20.0, 3.0, 4.0, "INVALID"), ("ok", None, 20.0, 3.0, 4.0, "VALID"), ("ok", 1.0, 20.0, 3.0, nan, "VALID"), ("ok", 1.0, 3.6, 3.0, 4.0, "VALID"), ("ok", 1.0, 3.7, 3.0, 4.0, "INVALID"),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, status string, pm1 double, pm2_5 double, pm4 double, pm10 double, want string")
+    ok = quality.pm_ordered([F.col(c) for c in ("pm1", "pm2_5", "pm4", "pm10")], 0.2)
+    got = df.select("i", "want", quality.hard(F.lit("pm2_5"), F.col("pm2_5"), F.lit(True), F.col("status"), ok).alias("h")).collect()
+    assert [(r["i"], r["h"]["state"]) for r in got] == [(r["i"], r["want"]) for r in got]
