@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, settings, ship, shuffle_partitions
@@ -171,15 +171,24 @@ def bucket_bits_for(docs: DataFrame) -> int:
     return max(4, (max(1, shuffle_partitions(docs.sparkSession)) - 1).bit_length() + 1)
 
 
+MEMBERS = "doc_id bigint, digest binary, n_shingles bigint, class bigint"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (MD5 of the text, null of a null text) and text: what tells rows apart that share or lack a doc_id."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
+
+
 def members(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class of every row (class 0: no shingle). A null text reads as empty."""
+    """Rows of MEMBERS, one of every row (class 0: no shingle). A null text reads as empty."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch, gram, doc, cut in shingle_sets(blocks(batches)):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(cut).astype(np.int64)), pa.array(set_hash(gram, doc, cut).view(np.int64))], ["doc_id", "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(cut).astype(np.int64)), pa.array(set_hash(gram, doc, cut).view(np.int64))], ["doc_id", "digest", "n_shingles", "class"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, class bigint")
+    return keyed(docs).mapInArrow(run, MEMBERS)
 
 
 def shared_shingles(docs: DataFrame) -> DataFrame:
@@ -260,18 +269,23 @@ def _by_class(bits: int, who: np.ndarray, n: np.ndarray) -> pa.Table:
     return pa.table({"part": pa.array(has, pa.int32()), "counts": pa.array([np.stack([who[edge[b] : edge[b + 1]], n[edge[b] : edge[b + 1]]]).tobytes() for b in has], pa.binary())})
 
 
-def candidate_sets(docs: DataFrame, of: DataFrame) -> DataFrame:
-    """class, n, shingles (packed) of the classes in `of` (class, doc_id): read from the text of one document each."""
+def candidate_sets(docs: DataFrame, of: DataFrame, repeats: bool) -> DataFrame:
+    """class, n, shingles (packed) of the classes in `of` (class, first: doc_id and digest): read from the text of one row each.
+
+    `repeats`: some rows have doc_id and text in common; a class is then taken once from each task and once of all tasks.
+    """
 
     def run(batches):
+        seen = set()
         for batch, gram, doc, cut in shingle_sets(blocks(batches)):
-            # a doc_id that repeats with other texts brings them along: only the text of the class asked for stays
-            same = pa.array(set_hash(gram, doc, cut).view(np.int64) == batch.column(0).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(cut).astype(np.int64)), pa.array([gram[cut[i] : cut[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary())], ["class", "n", "shingles"]).filter(same)
+            fresh = [c not in seen and not seen.add(c) for c in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(cut).astype(np.int64)), pa.array([gram[cut[i] : cut[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary())], ["class", "n", "shingles"]).filter(pa.array(fresh, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = texts.join(of.select(F.col("class").alias("_class"), "doc_id"), "doc_id").select(F.col("_class").alias("class"), "text")
-    return joined.mapInArrow(run, "class bigint, n bigint, shingles binary")
+    wanted = of.select(F.col("class").alias("_class"), F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest"))
+    texts = keyed(docs).where(F.col("digest").isNotNull())
+    joined = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select(F.col("_class").alias("class"), "text")
+    sets = joined.mapInArrow(run, "class bigint, n bigint, shingles binary")
+    return sets.dropDuplicates(["class"]) if repeats else sets
 
 
 def candidate_links(sets: DataFrame) -> DataFrame:
@@ -406,28 +420,65 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
+def standing() -> Column:
+    """Of two rows of a group the one with the smaller doc_id stands first (none: last), then the one with the smaller digest."""
+    return F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("digest"))
+
+
+class Groups:
+    """What the join finds: `rows` (MEMBERS) of every document, `classes` with their first row, and each class's group `root`."""
+
+    def __init__(self, docs: DataFrame):
+        spark = docs.sparkSession
+        scratch = self.scratch = Scratch(spark, "partenum")
+        self.rows = rows = scratch.keep(members(docs), "members")
+        self.repeats = not rows.groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
+        classes = scratch.keep(rows.where("class <> 0").groupBy("class").agg(F.min(standing()).alias("first"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n_copies")), "classes")
+        likely = classes.join(shared_shingles(docs), "class").where(4 * F.col("n_shared") >= 3 * F.col("n_shingles")).select("class", "first", "n_shingles")
+        sets = scratch.keep(candidate_sets(docs, likely, self.repeats), "sets")
+        stars = scratch.keep(candidate_links(sets).distinct(), "stars")
+        grouped = components(stars, scratch, "candidates")
+        made = scratch.keep(packs(sets, grouped), "packs")
+        with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "16"}):  # a row holds two packs
+            links = scratch.keep(links_within(made).distinct(), "links")
+        scratch.drop("packs")
+        roots = components(links, scratch, "groups")
+        self.classes = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_copies of every row of `docs` (doc_id, text; other columns are ignored).
 
     component_id is the smallest doc_id that links reach, itself included; n_copies the rows with the same shingle set.
     Words are lower-cased (A-Z) runs of non-blank characters; fewer than five words are one shingle; a null or empty text
-    has none and links with nothing. Rows that repeat link with each other. An empty table gives an empty result.
+    has none and links with nothing. Rows that repeat link with each other; rows without a doc_id link as any other and
+    have no component_id only where their whole group has none. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "partenum")
-    rows = scratch.keep(members(docs), "members")
-    classes = scratch.keep(rows.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n_copies")), "classes")
-    likely = classes.join(shared_shingles(docs), "class").where(4 * F.col("n_shared") >= 3 * F.col("n_shingles")).select("class", "doc_id", "n_shingles")
-    sets = scratch.keep(candidate_sets(docs, likely), "sets")
-    stars = scratch.keep(candidate_links(sets).distinct(), "stars")
-    grouped = components(stars, scratch, "candidates")
-    made = scratch.keep(packs(sets, grouped), "packs")
-    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "16"}):  # a row holds two packs
-        links = scratch.keep(links_within(made).distinct(), "links")
-    scratch.drop("packs")
-    roots = components(links, scratch, "groups")
-    named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(first, "root").select("class", "component_id", "n_copies")
-    out = rows.join(named, "class", "left")
+    found = Groups(docs)
+    least = found.classes.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+    named = found.classes.join(least, "root").select("class", "component_id", "n_copies")
+    out = found.rows.join(named, "class", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """`docs` (any columns) without near copies: of each group the row that stands first by (doc_id, MD5 of the text) stays.
+
+    It is decided row by row: rows that share a doc_id but not their text are documents of their own. Of rows that have
+    doc_id and text in common one stays (the smallest hash of the other columns). Rows without a word are in no group and
+    all stay. An empty table stays empty.
+    """
+    found = Groups(docs)
+    best = found.classes.groupBy("root").agg(F.min("first").alias("first"))
+    first = best.select(F.col("first.doc_id").alias("__dedup_id"), F.col("first.digest").alias("__dedup_digest"))
+    names = docs.columns
+    text = F.col("text").cast("string")
+    tagged = docs.withColumn("__dedup_key", F.unhex(F.md5(text.cast("binary"))))
+    bare = docs.where(F.coalesce(~text.rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__dedup_id")) & (F.col("__dedup_key") == F.col("__dedup_digest"))
+    kept = tagged.join(first, same, "left_semi")
+    if found.repeats:
+        other = [F.xxhash64(c) for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+        kept = kept.groupBy("doc_id", "__dedup_key").agg(F.min_by(F.struct(*[F.col(c) for c in names]), F.struct(*other)).alias("__dedup_row"))
+        kept = kept.select(*[F.col(f"__dedup_row.`{c}`").alias(c) for c in names])
+    return kept.select(*names).unionByName(bare)

@@ -121,3 +121,18 @@ def test_op1_rates(spark, rate):
     assert abs(n.mean() - rate) <= 5 * math.sqrt(rate / 100)
     if rate:
         assert 0.6 < n.var() / rate < 1.6
+
+
+def test_op5_rows_without_an_id_link_and_go_row_by_row(spark):
+    import corpus_pipeline
+    from aerograin.llm import partenum
+
+    near = [" ".join(f"w{j}" if j != 100 + k else f"z{k}" for j in range(200)) for k in range(4)]
+    clean = [" ".join(f"c{k}x{j}" for j in range(60)) for k in range(3)]
+    rows = [(None, near[0]), (None, near[1]), (5, near[2]), (5, clean[0]), (9, near[3]), (9, near[3]), (None, clean[1]), (None, clean[1]), (3, clean[2]), (3, None), (None, ""), (None, ""), (3, " \t")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None, {"k": 1}) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, class map<string,int>").repartition(3)
+    got = sorted(((r["doc_id"], r["component_id"], r["n_shingles"]) for r in partenum.near_groups(docs).collect()), key=str)
+    want = [(None, 5, 196)] * 2 + [(5, 5, 196), (5, 5, 56), (9, 5, 196), (9, 5, 196)] + [(None, None, 56)] * 2 + [(3, 3, 56), (3, 3, 0), (3, 3, 0), (None, None, 0), (None, None, 0)]
+    assert got == sorted(want, key=str)
+    left = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert left == sorted([(5, near[2]), (5, clean[0]), (None, clean[1]), (3, clean[2]), (3, None), (None, ""), (None, ""), (3, " \t")], key=str)
