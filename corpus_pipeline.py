@@ -20,7 +20,8 @@ LEAST_SCORE = 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told: those without a letter, or with no language that stands out, go.
 
-    The model learns from all labelled documents; without any label only documents without a letter go.
+    The model learns from all labelled documents; without any label only documents without a letter go. Null and empty
+    texts have no letter. A text is read whole, however long; rows that repeat are judged alike; an empty table stays empty.
     """
     model = langid.train(docs)
     if model is None:
@@ -32,16 +33,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a shingle similarity of 0.75 or more: the one with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document; rows without a doc_id belong to no group and stay.
+    Decided row by row: rows that share or lack a doc_id are documents of their own unless their texts are near copies.
+    Rows without a word (null, empty or blank texts) are in no group and all stay; an empty table stays empty.
     """
-    groups = partenum.near_groups(docs)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    stay = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return stay.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    return partenum.deduplicated(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets replaced by a mark and n_chars counted anew where the text changed."""
+    """Every document, its secrets replaced by a mark and n_chars counted anew where the text changed.
+
+    A null text stays null, an empty one empty; very long texts are read whole; repeated rows each give one row.
+    """
     found = secrets.scan(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text"), secrets.train(docs))
     found = found.select("_row", (F.size("spans") > 0).alias("_changed"), secrets.redacted(F.col("text"), F.col("spans")).alias("_clean"))
     made = {"text": F.col("_clean"), "n_chars": F.when(F.col("_changed"), F.length("_clean").cast("bigint")).otherwise(F.col("_row.n_chars"))}
@@ -49,12 +51,20 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to square-root-tempered source weights, in global shuffle order."""
+    """Documents repeated to square-root-tempered source weights, in global shuffle order.
+
+    A null source is one source; rows that repeat, or lack a doc_id, are drawn each for itself; texts are not read but for
+    their length and hash. An empty table stays empty.
+    """
     return mixing.shuffled(mixing.mix(docs), shuffle_partitions(spark)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences of at most 2048 tokens."""
+    """The pieces of all documents, packed into sequences of at most 2048 tokens.
+
+    A null or empty text is one piece, its end id; longer texts are cut; rows that repeat are packed each. An empty table
+    gives an empty result.
+    """
     return packing.pack(docs, **vocabulary())
 
 
