@@ -263,7 +263,8 @@ def search(prints: DataFrame, is_query) -> DataFrame:
     same fingerprint; match null), and a row for every pair (class of a query, other class) that aligns.
 
     Every packed block of query classes is dealt to a task with every block of classes; copies are one class, so a recording
-    in a third of the rows is one there. Recordings without frames are classes of their own and match nothing.
+    in a third of the rows is one there. Recordings without frames are classes of their own and match nothing. Rows that
+    repeat an id give a row each; an empty table gives an empty result; columns other than id and frames are not read.
     """
     scratch = Scratch(prints.sparkSession, "chroma")
     rows = scratch.keep(prints.withColumn("key", F.when(F.size("frames") > 0, F.sha2(F.to_json("frames").cast("binary"), 256))), "prints")
@@ -290,14 +291,16 @@ def search(prints: DataFrame, is_query) -> DataFrame:
     return member.union(found.select("a", F.col("a").alias("c"), "b", "offset", "error"))
 
 
-def render(vector: list | None, notes: int = 24) -> bytes | None:
-    """A recording for a vector, since the tables hold none: a WAV file of `notes` notes of an eighth of a second.
+def render(vector: list | None) -> bytes | None:
+    """A recording for a vector, since the tables hold none: a WAV file of notes of an eighth of a second, one for two entries.
 
-    Note i sounds the pitch that vector entry 2i picks and, softer, the one entry 2i+1 picks. A null or short vector gives null.
+    Note i sounds the pitch that vector entry 2i picks and, softer, the one entry 2i+1 picks (0 after a last odd entry).
+    Every entry counts. An empty or null vector, and one with a null in it, gives null.
     """
-    if vector is None or len(vector) < 2 * notes or any(x is None for x in vector):
+    if not vector or any(x is None for x in vector):
         return None
-    v = np.array(vector[: 2 * notes], np.float64)
+    v = np.append(np.array(vector, np.float64), np.zeros(len(vector) % 2))
+    notes = len(v) // 2
     spread = max(float(np.abs(v).max()), 1e-9)
     step = np.rint(12 * (v / spread + 1)).astype(int)  # 0 to 24 half tones over 130.8 Hz
     n = RATE // 8
