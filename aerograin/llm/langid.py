@@ -3,6 +3,7 @@
 Kernel: the blended spectrum over 1- to 4-grams of bytes, presence only, k(x, z) = |G(x) ∩ G(z)| / sqrt(|G(x)| |G(z)|).
 G is kept as hashed bits. Nyström: m landmarks Z drawn from the labelled sample give the map φ(x) = k(x, Z) L^-T with
 K(Z, Z) + εI = L L^T. One kernel ridge regression a language on φ; documents are scored in batches, two matrix products each.
+The labelled sample is bounded by SAMPLE_PER_LANG documents a language and SAMPLE_MOST in all.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import Scratch, ship
 from .arrays import LOWER, U64, blocks, mix
 
 BITS = 14
 GRAMS = (1, 2, 3, 4)
 LANDMARKS = 192
 SAMPLE_PER_LANG = 600
+SAMPLE_MOST = 24_000
 RIDGE = 1e-2
 UNKNOWN = "und"
 SHARPNESS = 6.0
@@ -88,33 +90,55 @@ def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
     return KernelModel(languages, z, np.linalg.solve(low.T, alpha).astype(np.float32))
 
 
-def train(docs: DataFrame, label: str = "lang", per_lang: int = SAMPLE_PER_LANG, landmarks: int = LANDMARKS) -> KernelModel | None:
-    """Fit on at most `per_lang` labelled documents of each language, those with the smallest hash of doc_id.
+def drawn(rows: DataFrame, per_label: int) -> DataFrame:
+    """label, draw: the `per_label` smallest distinct draws of every label of `rows` (label, draw: 64 bits, even).
 
-    Null labels and texts without letters are not used. The sample travels as bits (2 KB a document). No label: None.
+    Only draws under a threshold meet in a task: about `per_label` of each label, as its count tells, whatever the count.
     """
-    ship(docs.sparkSession)
+    rows = rows.distinct()
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    spare = 1.0
+    while True:
+        share = F.least(F.lit(1.0), F.lit(spare * (per_label + 6 * per_label**0.5 + 20)) / F.col("n"))
+        under = rows.join(counts.select("label", share.alias("share")), "label").where((F.col("draw").cast("double") / 2.0**64 + 0.5) <= F.col("share"))
+        kept = under.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("draw"))).where(F.col("r") <= per_label)
+        short = counts.join(kept.groupBy("label").agg(F.count(F.lit(1)).alias("k")), "label", "left").where(F.coalesce("k", F.lit(0)) < F.least("n", F.lit(per_label)))
+        if short.isEmpty():  # else by a chance of one in 10^9: more are looked at
+            return kept.select("label", "draw")
+        spare *= 4
+
+
+def train(docs: DataFrame, label: str = "lang", per_lang: int = SAMPLE_PER_LANG, landmarks: int = LANDMARKS, most: int = SAMPLE_MOST) -> KernelModel | None:
+    """Fit on at most `per_lang` labelled documents of each language (fewer where that makes more than `most` in all).
+
+    They are those with the smallest hashes of (doc_id, text), repeated rows once; null labels and texts without letters
+    are not used. Every language has a landmark at least. The sample travels as bits (2 KB a document). No label: None.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "langid")
     docs = docs.select("doc_id", label, "text")
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & ~F.col("text").rlike(_NOT_LETTERS))
-    rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("string").alias("label"), F.xxhash64(F.col("doc_id").cast("bigint")).alias("draw"))
-    # The smallest draws of each label, first in groups by the draw and then over the groups: a label's rows never meet in one task.
-    near = Window.partitionBy("label", F.pmod("draw", F.lit(16))).orderBy("draw", "doc_id")
-    rows = rows.withColumn("r", F.row_number().over(near)).where(F.col("r") <= per_lang)
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("draw", "doc_id"))).where(F.col("r") <= per_lang)
-    chosen = F.broadcast(rows.select(F.col("doc_id").alias("_id"), F.col("label").alias("_label"), F.col("draw").alias("_draw")))  # at most per_lang rows a language
-    sample = docs.where(F.col(label).isNotNull()).join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col(label).cast("string") == F.col("_label")))
+    rows = rows.select(F.col(label).cast("string").alias("label"), F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("draw"), F.col("text").cast("string").alias("text"))
+    draws = scratch.keep(rows.select("label", "draw"), "draws")
+    n_labels = draws.select("label").distinct().count()
+    if not n_labels:
+        return None
+    per_lang, landmarks = max(1, min(per_lang, most // n_labels)), max(landmarks, n_labels)
+    chosen = scratch.keep(drawn(draws, per_lang), "chosen")  # at most `most` rows, or one a language
+    sample = rows.join(F.broadcast(chosen), ["label", "draw"]).select("draw", "label", "text")
 
     def encode(batches):
         from aerograin.llm import langid as own
 
+        seen = set()
         for batch, data, offsets in blocks(batches):
+            fresh = [k not in seen and not seen.add(k) for k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             bits = np.packbits(own.presence(data, offsets).astype(bool), axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.tobytes() for b in bits], pa.binary())], ["draw", "label", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.tobytes() for b in bits], pa.binary())], ["draw", "label", "bits"]).filter(pa.array(fresh, pa.bool_()))
 
-    got = sample.select(F.col("_draw").alias("draw"), F.col("_label").alias("label"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "draw bigint, label string, bits binary").collect()
-    if not got:
-        return None
-    got.sort(key=lambda r: (r["draw"], r["label"], bytes(r["bits"])))
+    got = sample.mapInArrow(encode, "draw bigint, label string, bits binary").dropDuplicates(["draw", "label"]).collect()
+    got.sort(key=lambda r: (r["draw"], r["label"]))
     return fit(np.array([np.frombuffer(r["bits"], np.uint8) for r in got]), [r["label"] for r in got], landmarks)
 
 

@@ -447,3 +447,31 @@ def test_pipeline_keeps_and_drops_what_it_should(spark, sf, texts):
         if r["text"] != texts[r["doc_id"]]:
             assert "[SECRET]" in r["text"] and r["n_chars"] == len(r["text"])
     assert {"sequence_id", "offset", "doc_id"} <= set(corpus_pipeline.run(spark, sf).columns)
+
+
+def test_op10_kernel_model_is_kernel_ridge_regression():
+    rng = np.random.default_rng(1)
+    t = ["".join(rng.choice(list("abcdef " if i % 2 else "cdefgh "), size=40)).encode() for i in range(60)]
+    flags = langid.presence(np.frombuffer(b"".join(t), np.uint8), np.cumsum([0] + [len(x) for x in t]))
+    grams = [{(n, x[i : i + n]) for n in langid.GRAMS for i in range(len(x) - n + 1)} for x in t]
+    exact = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in grams] for a in grams])
+    unit = flags / np.sqrt(flags.sum(axis=1, keepdims=True))
+    assert np.abs(unit @ unit.T - exact).max() < 0.06  # hashed bits: few grams share a slot
+    labels = ["xy"[i % 2] for i in range(40)]
+    model = langid.fit(np.packbits(flags[:40].astype(bool), axis=1), labels, landmarks=40)
+    kernel = (unit @ unit.T).astype(np.float64)
+    y = np.where(np.array(labels)[:, None] == np.array(["x", "y"])[None, :], 1.0, -1.0)
+    want = kernel[:, :40] @ np.linalg.solve(kernel[:40, :40] + langid.RIDGE * 40 / 10 * np.eye(40), y)
+    assert np.abs(model.decisions(flags) - want).max() < 0.02
+    assert (model.decisions(flags[40:]).argmax(axis=1) == np.arange(40, 60) % 2).all()
+
+
+def test_op10_draws_the_smallest_of_each_label(spark):
+    df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("label"), F.when(F.col("id") % 30 == 0, 5).otherwise(F.xxhash64("id")).alias("draw"))
+    want = collections.defaultdict(set)
+    for r in df.collect():
+        want[r["label"]].add(r["draw"])
+    got = collections.defaultdict(set)
+    for r in langid.drawn(df, 50).collect():
+        got[r["label"]].add(r["draw"])
+    assert got == {k: set(sorted(v)[:50]) for k, v in want.items()}

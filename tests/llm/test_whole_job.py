@@ -136,3 +136,44 @@ def test_op5_rows_without_an_id_link_and_go_row_by_row(spark):
     assert got == sorted(want, key=str)
     left = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
     assert left == sorted([(5, near[2]), (5, clean[0]), (None, clean[1]), (3, clean[2]), (3, None), (None, ""), (None, ""), (3, " \t")], key=str)
+
+
+def test_op2_every_entry_sounds():
+    from aerograin.llm import chroma
+
+    rng = np.random.default_rng(0)
+    v = rng.random(64).tolist()
+    whole = chroma.packed(chroma.chroma(chroma.rendered(v)))
+    for i in (0, 40, 62):
+        other = [*v[:i], 1 - v[i] + 0.001, *v[i + 1 :]]
+        assert not np.array_equal(whole, chroma.packed(chroma.chroma(chroma.rendered(other))))
+
+
+def test_op2_recall_on_recordings():
+    """Copies that are shifted, noisy, quieter, cut or written anew at another rate: candidates share an integer, and align."""
+    from aerograin.llm import chroma
+
+    rng = np.random.default_rng(8)
+    found = total = 0
+    for _ in range(30):
+        pcm = chroma.rendered(rng.normal(size=64).tolist())
+        a = chroma.packed(chroma.chroma(pcm)).view(np.int32)
+        shift = int(rng.integers(1, 40)) * chroma.HOP
+        again = np.interp(np.arange(0, len(pcm), 0.5), np.arange(len(pcm)), pcm)[::2].astype(np.float32)
+        for other in (pcm[shift:], pcm + rng.normal(scale=0.003, size=len(pcm)).astype(np.float32), pcm * 0.3, pcm[: len(pcm) // 2], again, np.rint(pcm * 2000).astype(np.float32) / 2000):
+            b = chroma.packed(chroma.chroma(other)).view(np.int32)
+            total += 1
+            found += chroma.aligned(a, b)[1] <= chroma.MOST_ERROR
+    assert found >= 0.9 * total
+
+
+def test_op3_an_id_in_most_rows_is_split(spark):
+    from aerograin.llm import winnowing
+
+    rows = [(7, f"text number {i} of one id") for i in range(600)] + [(None, "same text")] * 600 + [(i, f"other {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    dealt, _ = winnowing.with_next(docs, 20)
+    assert dealt.groupBy("_part").count().agg(F.max("count")).first()[0] < 260
+    got = winnowing.compare(docs, 20).collect()
+    assert len(got) == 1300
+    assert sum(r["doc_id"] is None and r["near_next"] == 1.0 for r in got) >= 599
