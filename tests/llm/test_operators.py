@@ -341,6 +341,26 @@ def test_op7_patterns_and_markov(spark, sf):
     assert got[4]["markov"] == [] and got[4]["clean"] == rows[3][1]
 
 
+def test_op7_markov_on_held_out_strings(spark, sf):
+    """Strings that no pattern finds: credentials and ordinary names that neither model has seen."""
+    rng = random.Random(11)
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = ["0123456789ABCDEF", low + up + dig + "+/", low + up + dig, low + dig, up + dig]
+    secret = ["".join(rng.choice(alphabets[i % 5]) for _ in range(12 + i % 20)) for i in range(1500)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plain = [w for r in docs.where("lang = 'en'").orderBy(F.col("doc_id").desc()).limit(60).collect() for w in re.findall("[a-z]{3,}", r["text"])]
+    form = [lambda a, b, n: f"{a}_{b}_{n}", lambda a, b, n: f"{a}{b.title()}{n}", lambda a, b, n: f"{a.upper()}_{b.upper()}{n}", lambda a, b, n: f"{a}-2023-11-0{n % 9}-{b}", lambda a, b, n: f"{a}{b.title()}Of{b.title()}", lambda a, b, n: f"src/{a}/{b}{n}"]
+    names = [form[i % 6](rng.choice(plain), rng.choice(plain), rng.randrange(100000)) for i in range(3000)]
+    table = secrets.train(docs)
+    for strings, most, least in ((secret, None, 0.93), (names, 0.005, None)):
+        df = spark.createDataFrame([(i, f"the {s} end") for i, s in enumerate(strings)], "doc_id bigint, text string")
+        rows = secrets.scan(df, table).select("base", "markov").collect()
+        open_ = [r for r in rows if not r["base"]]
+        share = sum(bool(r["markov"]) for r in open_) / len(open_)
+        print(len(open_), share)
+        assert (least is None or share >= least) and (most is None or share <= most)
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
