@@ -1,15 +1,15 @@
 """Main text of HTML pages by composite text density.
 
-For every DOM node: C characters, T tags, LC characters in links, LT link tags below it. With the body's C_b and LC_b its
-composite density is
+First, elements that are no article text by their kind (scripts, menus, forms, ...) or by what they say of themselves (class,
+id, role, hidden) are cut off. The nodes of the tree are then blocks and links; marks inside a line (b, em, br, span, ...)
+are part of the text of the block they stand in. For every node: C characters, T tags, LC characters in links, LT link tags
+below it. With the body's C_b and LC_b its composite density is
 
     C/T * log(C/LC * T/LT) / log(ln(C * LC / (C - LC) + C * LC_b / C_b + e))          (denominators of 0 count as 1)
 
 and its density sum is the sum over its children. The node with the largest sum is the core; the least density on the path
-from the body to it is the threshold, and every other node at or over it adds the largest-sum subtree below it. A level-one heading beside all of these is added. Where the
-core lies in an article or main element, that element is the page's text and nothing beside it counts.
-Before that, elements that are no article text by their kind (scripts, menus, forms, ...), by what they say of themselves
-(class, id, role, hidden) are cut off. Then blocks are read in page order.
+from the body to it is the threshold, and every other node at or over it adds the largest-sum subtree below it. A level-one
+heading is added where none is in these. No element is chosen for its name. Then blocks are read in page order.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,7 +54,8 @@ HINTS = frozenset(
 #: Of these, the ones that say so even of a box that holds article elements (a comment is often one).
 REMARKS = frozenset("comment comments commentlist commenting disqus discussion respond replies reviews related recommended recommendations".split())
 KEEP_WHOLE = frozenset(("html", "body"))
-CORE_KINDS = frozenset(("article", "main"))
+#: Marks inside a line: part of the block around them, no nodes of their own.
+INLINE = frozenset("abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -67,11 +69,12 @@ _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("chars", "children", "cut", "density", "hint", "lchars", "ltags", "name", "parent", "sum", "tags")
+    __slots__ = ("blocks", "chars", "children", "cut", "density", "hint", "lchars", "ltags", "name", "parent", "sum", "tags")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent = name, parent
         self.children: list = []  # nodes and strings, in page order
+        self.blocks: list[Node] = []  # child nodes, through marks inside a line
         self.cut, self.hint = False, 0
         self.chars = self.tags = self.lchars = self.ltags = 0
         self.density = self.sum = 0.0
@@ -100,9 +103,16 @@ def parse(page: str) -> Node:
     stack = [root]
     at, end = 0, len(page)
 
+    there = Counter({"html": 1})  # names on the stack: what is not open is not looked for
+
     def close_to(depth: int) -> None:
+        there.subtract(n.name for n in stack[depth:])
         del stack[depth:]
 
+    def opened(node: Node) -> None:
+        stack.append(node)
+        there[node.name] += 1
+
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
@@ -122,7 +132,7 @@ def parse(page: str) -> Node:
                 stack[-1].children.append(m["cdata"])
             continue
         if m["close"] or m["close2"]:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if there[name] > 0 else ():
                 if stack[depth].name == name:
                     close_to(depth)
                     break
@@ -131,13 +141,13 @@ def parse(page: str) -> Node:
             continue
         rest = m["rest"] if m["name"] else m["rest2"]
         if name in ("html", "body"):
-            if name == "body" and not any(n.name == "body" for n in stack):
+            if name == "body" and not there["body"]:
                 close_to(1)
                 node = Node("body", root)
                 root.children.append(node)
-                stack.append(node)
+                opened(node)
             continue
-        if name in ENDS_P:
+        if name in ENDS_P and there["p"] > 0:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].name == "p":
                     close_to(depth)
@@ -146,7 +156,7 @@ def parse(page: str) -> Node:
                     break
         if name in ENDS:
             ends, until = ENDS[name]
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(there[x] > 0 for x in ends) else ():
                 if stack[depth].name in ends:
                     close_to(depth)
                     if name != "tr" or stack[-1].name != "tr":
@@ -163,11 +173,8 @@ def parse(page: str) -> Node:
         if name in RAW:
             close = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(page, at)
             at = close.start() if close else end
-            stack.append(node)
-        elif name not in VOID and not rest.rstrip().endswith("/"):
-            stack.append(node)
-        elif name not in VOID:
-            stack.append(node)  # a slash closes nothing in HTML
+        if name not in VOID:  # a slash closes nothing in HTML
+            opened(node)
     return root
 
 
@@ -181,6 +188,60 @@ def _postorder(root: Node) -> list[Node]:
     return order
 
 
+def measure(order: list[Node]) -> None:
+    """Counts, density and density sum of every node; `order` holds the nodes that were not cut, children first, the body last."""
+    body = order[-1]
+    for n in order:
+        for c in n.children:
+            if isinstance(c, str):
+                n.chars += len(" ".join(c.split()))
+            elif not c.cut:
+                n.chars += c.chars
+                n.tags += c.tags + (c.name not in INLINE)
+                n.lchars += c.lchars
+                n.ltags += c.ltags + (c.name == "a")
+                if c.name in INLINE:
+                    n.blocks += c.blocks
+                else:
+                    n.blocks.append(c)
+        if n.name == "a":
+            n.lchars = n.chars
+    share = body.lchars / max(body.chars, 1)
+    for n in order:
+        n.density = _density(n, share)
+        n.sum = sum(c.density for c in n.blocks)
+
+
+def select(body: Node, order: list[Node]) -> set[int]:
+    """The chosen nodes: best subtrees of the nodes that are as dense as the thinnest one between the body and the core."""
+    if not body.chars:
+        return set()
+    nodes = [n for n in order if n.name not in INLINE or n is body]
+    core = max(reversed(nodes), key=lambda n: n.sum)
+    if core.sum <= 0:
+        core = body
+    threshold, up = core.density, core
+    while up is not body:
+        up = up.parent
+        if up.name not in INLINE:
+            threshold = min(threshold, up.density)
+    best: dict[int, Node] = {}
+    for n in nodes:
+        best[id(n)] = max([n, *(best[id(c)] for c in n.blocks)], key=lambda x: x.sum)
+    chosen: set[int] = set()
+    stack = [body]
+    while stack:
+        n = stack.pop()
+        if n.density >= threshold - 1e-9 and n.chars:
+            b = best[id(n)]
+            chosen.add(id(b if b.sum > 0 else n))
+            stack.extend(n.blocks)
+    heads = [n for n in nodes if n.name == "h1" and n.chars]
+    if not any(_within(h, chosen) for h in heads):  # the title often stands beside its text, in a box of its own
+        chosen.update(id(h) for h in heads)
+    return chosen
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, one a line; "" for null, empty or text-free pages."""
     if not page:
@@ -207,54 +268,9 @@ def main_text(page: str | None) -> str:
         order.append(n)
         stack.extend(c for c in n.children if isinstance(c, Node) and not c.cut)
     order.reverse()
-    for n in order:
-        for c in n.children:
-            if isinstance(c, str):
-                n.chars += len(" ".join(c.split()))
-            elif not c.cut:
-                n.chars += c.chars
-                n.tags += c.tags + 1
-                n.lchars += c.lchars
-                n.ltags += c.ltags + (c.name == "a")
-        if n.name == "a":
-            n.lchars = n.chars
-    if not body.chars:
-        return ""
-    share = body.lchars / body.chars
-    for n in order:
-        n.density = _density(n, share)
-        n.sum = sum(c.density for c in n.children if isinstance(c, Node) and not c.cut)
-    core = max(reversed(order), key=lambda n: n.sum)
-    if core.sum <= 0:
-        core = body
-    top = core
-    up = core
-    while up is not None:
-        if up.name in CORE_KINDS:
-            top = up
-        up = up.parent
-    chosen: set[int] = set()
-    if top.name in CORE_KINDS:
-        chosen.add(id(top))
-    else:
-        threshold, up = core.density, core
-        while up is not None and up is not body.parent:
-            threshold = min(threshold, up.density)
-            up = up.parent
-        best: dict[int, Node] = {}
-        for n in order:
-            best[id(n)] = max([n, *(best[id(c)] for c in n.children if isinstance(c, Node) and not c.cut)], key=lambda x: x.sum)
-        stack = [body]
-        while stack:
-            n = stack.pop()
-            if n.density >= threshold - 1e-9 and n.chars:
-                b = best[id(n)]
-                chosen.add(id(b if b.sum > 0 else n))
-                stack.extend(c for c in n.children if isinstance(c, Node) and not c.cut)
-        heads = [n for n in order if n.name == "h1" and n.chars]
-        if not any(_within(h, chosen) for h in heads):  # the title often stands beside its text, in a box of its own
-            chosen.update(id(h) for h in heads)
-    return "\n".join(_read(body, chosen))
+    measure(order)
+    return "\n".join(_read(body, select(body, order)))
+
 
 
 def _within(n: Node | None, chosen: set[int]) -> bool:
@@ -311,7 +327,8 @@ def _read(body: Node, chosen: set[int]) -> list[str]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row of `pages` (page_id, url, html; others are ignored).
 
-    A page is read whole, one at a time; a null page_id or url is kept; repeated rows each give a row.
+    A page is read whole, one at a time; null, empty and text-free pages give an empty text; a null page_id or url is kept;
+    repeated rows each give a row; an empty table gives an empty result. Formulas and drawings (math, svg) are no text.
     """
     ship(pages.sparkSession)
 

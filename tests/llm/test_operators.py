@@ -129,6 +129,7 @@ PAGES = [
     ("<body class='has-sidebar'><div id=main><h1>Title</h1><div class=post><p>First long paragraph, with words enough to count.</p><p>Second long paragraph, with words enough to count.</p></div></div><div class=sidebar><p>Side words that are not the article at all, never.</p></div><section id='comments'><p>I liked it very much indeed, thanks for all this text.</p></section><form>x<input></form><script>var a='<p>no</p>';</script></body>", None),
     ("<body><main><h1>T</h1><p>Body text of some length, with a comma.</p></main><section id=comments><article><p>A remark of some length, really.</p></article></section>", "T\nBody text of some length, with a comma."),
     ("<article><h1>T</h1><p>Body text of some length.</p><div class='comment-list'><article class=c><p>A remark.</p></article></div></article>", "T\nBody text of some length."),
+    ("<body><div><span><a href=/>One link</a> <a href=/>two links</a> <a href=/>three links</a></span></div><div><div><h2>Head</h2><p>First block of text, and it is long enough to tell.</p><p>Second block of <b>text</b>, and it<br>goes on for a while.</p></div></div><ul><li><a href=/>more</a><li><a href=/>and more</a><li><a href=/>and yet more</a></ul></body>", "Head\nFirst block of text, and it is long enough to tell.\nSecond block of text, and it goes on for a while."),
     ("<p>plain", "plain"),
     ("", ""),
 ]
@@ -144,6 +145,78 @@ def test_op4_pages(page, want):
         assert got == want
 
 
+def random_page(rng, depth=0):
+    """A small random tree of boxes, marks, links and text."""
+    out = []
+    for _ in range(rng.randrange(1, 5)):
+        kind = rng.choice(["div", "p", "a", "b", "section", "text", "text"]) if depth < 4 else "text"
+        if kind == "text":
+            out.append(" ".join("word"[: rng.randrange(1, 5)] for _ in range(rng.randrange(0, 30))))
+        elif kind in ("p", "a"):
+            out.append(f"<{kind}>{'x' * rng.randrange(0, 40)}<i>{'y' * rng.randrange(0, 9)}</i></{kind}>")
+        else:
+            out.append(f"<{kind}>{random_page(rng, depth + 1)}</{kind}>")
+    return "".join(out)
+
+
+def test_op4_density_against_brute_force():
+    """Counts, densities, density sums, threshold and choice, computed anew for every node from the whole tree below it."""
+    rng = random.Random(6)
+    chosen_parts = 0
+    for _ in range(400):
+        root = textdensity.parse(f"<body>{random_page(rng)}</body>")
+        body = next(c for c in root.children if isinstance(c, textdensity.Node))
+
+        def below(n):
+            return [x for c in n.children if isinstance(c, textdensity.Node) for x in [c, *below(c)]]
+
+        def length(n):
+            return sum(len(" ".join(c.split())) if isinstance(c, str) else length(c) for c in n.children)
+
+        def blocks(n):
+            return [x for c in n.children if isinstance(c, textdensity.Node) for x in (blocks(c) if c.name in textdensity.INLINE else [c])]
+
+        def links(n):
+            return length(n) if n.name == "a" else sum(links(c) for c in n.children if isinstance(c, textdensity.Node))
+
+        def density(n):
+            c, lc = length(n), links(n)
+            if not c:
+                return 0.0
+            t = sum(x.name not in textdensity.INLINE for x in below(n)) or 1
+            lt = sum(x.name == "a" for x in below(n)) or 1
+            base = math.log(c * lc / max(c - lc, 1) + links(body) / length(body) * c + math.e)
+            value = math.log(max(c / (lc or 1) * t / lt, 1.0))
+            return c / t * (value / math.log(base) if base > math.e else value)
+
+        every = [body, *below(body)]
+        order = textdensity._postorder(body)
+        textdensity.measure(order)
+        for n in every:
+            assert n.density == pytest.approx(density(n)) and n.sum == pytest.approx(sum(density(c) for c in blocks(n)))
+        got = textdensity.select(body, order)
+        if not length(body):
+            assert not got
+            continue
+        nodes = [n for n in order if n is body or n.name not in textdensity.INLINE]
+        top = max(sum(density(c) for c in blocks(n)) for n in nodes)
+        core = next(n for n in nodes if n.sum == pytest.approx(top)) if top > 0 else body
+        cores = [n for n in nodes if n.sum == pytest.approx(top)]
+        if len(cores) > 1 and top > 0:
+            continue  # ties are broken by place
+        path = [n for n in nodes if n is core or core in below(n)]
+        least = min(density(n) for n in path)
+        want = set()
+        for n in nodes:
+            inside = [x for x in every if n in below(x) and x.name not in textdensity.INLINE]
+            if length(n) and all(density(x) >= least - 1e-9 and length(x) for x in [*inside, n]):
+                best = max([n, *[x for x in below(n) if x in nodes]], key=lambda x: x.sum)
+                want.add(id(best if best.sum > 0 else n))
+        chosen_parts += core is not body
+        assert len(want) == len(got) and id(core if top > 0 else body) in got
+    assert chosen_parts > 50
+
+
 def test_op4_all_articles(spark, sf):
     import html
 
