@@ -546,12 +546,99 @@ def test_op9_is_a_distribution_over_codes():
     from aerograin.llm import ctxmix
 
     rng = np.random.default_rng(0)
-    leaves = {k: rng.integers(0, 3, size=a * b).astype(np.int32) for k, (a, b) in ctxmix.TABLES.items()}
-    m = ctxmix.build(leaves, ["some words to fit on, and some more words"], 1000, 100, 10)
+    leaves = {k: rng.integers(0, 3, size=a * b).astype(np.int64) for k, (a, b) in ctxmix.TABLES.items()}
+    m = ctxmix.build(leaves, 1000, 100, 10)
     n = ctxmix._CODES
-    ctx = [np.zeros(n, np.int64), np.full(n, 7), np.full(n, 9), np.full(n, 11)]
-    p = np.exp(ctxmix.code_cost(m, np.arange(n), ctx, np.ones(n, np.int64)))
+    # Every code after the same 70 tokens: weights have been refined twice by then.
+    prefix = rng.integers(0, n, size=70)
+    codes = np.concatenate([np.r_[prefix, c] for c in range(n)])
+    ctx = [np.zeros(len(codes), np.int64), *(np.tile(rng.integers(0, 1024, size=71), n) for _ in range(3))]
+    p = np.exp(ctxmix.code_cost(m, codes, ctx, np.full(n, 71)).astype(float)).reshape(n, 71)[:, -1]
     assert p.sum() == pytest.approx(1.0, abs=1e-3)
+    assert np.abs(np.exp(ctxmix.spell_cost(m, np.arange(256, dtype=np.uint8), np.arange(1, 257), np.zeros(256, np.uint64)))).sum() <= 1
+
+
+def test_op9_hits_are_coded_by_adaptive_counters():
+    from aerograin.llm import ctxmix
+
+    rng = np.random.default_rng(3)
+    doc = np.sort(rng.integers(0, 5, size=300))
+    hit = rng.random(300) < 0.8
+    got = ctxmix.hit_cost(np.arange(300), hit, doc)
+    for d in range(5):
+        seen, hits, run = collections.Counter(), collections.Counter(), 0
+        for i in np.flatnonzero(doc == d):
+            k = int(np.searchsorted(ctxmix.RUNS, run, side="right"))
+            p = (hits[k] + ctxmix.HIT_STRENGTH * ctxmix.HIT_START[k]) / (seen[k] + ctxmix.HIT_STRENGTH)
+            assert got[i] == pytest.approx(math.log(p if hit[i] else 1 - p))
+            seen[k] += 1
+            hits[k] += hit[i]
+            run = run + 1 if hit[i] else 0
+
+
+def test_op9_beats_its_base_on_held_out_texts_and_knows_copies(spark, sf):
+    from aerograin.llm import ctxmix
+
+    rows = queries.op9_context_mixing(spark, sf).where("held_out").collect()
+    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(300)) for _ in range(60)]
+    near = texts[7].split()
+    near[150] = "other"
+    docs = [*texts, texts[3], " ".join(near), " ".join(rng.choice(vocabulary) for _ in range(300))]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in ctxmix.score(df, F.col("doc_id") >= 60).collect()}
+    assert got[60] > 0.35 * got[62] and got[61] > 0.4 * got[62] and got[62] < -2.5
+
+
+def brute_continuations(offers, asks):
+    """offers: (key, text, times) of every chunk; the answer to each, and to each ask, by counting."""
+    total = collections.defaultdict(collections.Counter)
+    for k, t, n in offers:
+        total[k][t] += n
+
+    def best(k, own=None):
+        left = {t: n - (t == own) for t, n in total[k].items() if n - (t == own) > 0}
+        return max(left, key=lambda t: (total[k][t] - (t == own), t == own, -t)) if left else None
+
+    return [best(k, t) for k, t, _ in offers], [best(k) for k in asks]
+
+
+def test_op9_continuations_against_counting():
+    import pyarrow as pa
+
+    from aerograin.llm import ctxmix
+
+    rng = np.random.default_rng(9)
+    rows, offers, asks = [], [], []
+    for chunk in range(6):
+        pairs = np.unique(rng.integers(1, 8, size=(12, 2)), axis=0).astype(np.uint64)
+        times = rng.integers(1, 3, size=len(pairs)).astype(np.uint32)
+        ask = np.unique(rng.integers(1, 12, size=4)).astype(np.uint64)
+        words = [np.full(int(t), int(t), np.uint16) for t in pairs[:, 1]]  # text t: t words of value t
+        rows.append((chunk, 0, pairs[:, 0].tobytes(), pairs[:, 1].tobytes(), times.tobytes(), np.cumsum([len(w) for w in words]).astype(np.uint32).tobytes(), np.concatenate(words).tobytes(), ask.tobytes()))
+        offers += [(int(k), int(t), int(n)) for (k, t), n in zip(pairs, times, strict=True)]
+        asks += ask.tolist()
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
+    table = pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["chunk", "bucket", *ctxmix.OFFERS])
+    want, want_asks = brute_continuations(offers, asks)
+    out, at, at_ask = ctxmix.continuations(table).to_pylist(), 0, 0
+    for row, answer in zip(rows, out, strict=True):
+        own = np.frombuffer(row[3], np.uint64)
+        which, ends, texts = np.frombuffer(answer["which"], np.int32), np.frombuffer(answer["text_ends"], np.int64), np.frombuffer(answer["texts"], np.uint16)
+        said = [None if w == -1 else int(own[i]) if w == -2 else len(texts[ends[w - 1] if w else 0 : ends[w]]) for i, w in enumerate(which)]
+        total = collections.defaultdict(collections.Counter)
+        for k, t, n in offers:
+            total[k][t] += n
+        for i, s in enumerate(said[: len(own)]):  # as often as the best one; ties may go either way between texts
+            k, t, _ = offers[at + i]
+            left = {x: n - (x == t) for x, n in total[k].items()}
+            assert (s is None) == (want[at + i] is None) and (s is None or left[s] == left[want[at + i]])
+        n_ask = len(row[7]) // 8
+        for s, w, k in zip(said[len(own) :], want_asks[at_ask : at_ask + n_ask], asks[at_ask : at_ask + n_ask], strict=True):
+            assert (s is None) == (w is None) and (s is None or total[k][s] == total[k][w])
+        at, at_ask = at + len(own), at_ask + n_ask
 
 
 def test_op9_does_not_depend_on_layout(spark, sf):
