@@ -98,6 +98,56 @@ def wilcoxon(differences: list[float]) -> tuple[float, float]:
     return t, math.erfc(abs(t - n * (n + 1) / 4) / math.sqrt(var) / math.sqrt(2))
 
 
+def mcnemar_p(b: Column, c: Column) -> Column:
+    """mcnemar_exact as a Column: the binomial tail from its logarithmic terms."""
+    n, k = b + c, F.least(b, c)
+    start = F.struct((-n * math.log(2)).cast("double").alias("t"), F.lit(0.0).alias("s"))
+
+    def step(acc, i):
+        return F.struct((acc["t"] + F.log((n - i).cast("double")) - F.log((i + 1).cast("double"))).alias("t"), (acc["s"] + F.exp(acc["t"])).alias("s"))
+
+    tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), k.cast("bigint")), start, step, lambda acc: acc["s"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+
+
+def rank_sum_p(n: Column, t: Column) -> Column:
+    """P(rank sum <= t), two-sided, of n ranks without ties, from the number of sets of ranks with each sum."""
+    most = (n * (n + 1) / 2).cast("int")
+    start = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), most))
+
+    def add(ways, r):
+        return F.transform(ways, lambda w, s: w + F.when(s >= r, F.coalesce(F.get(ways, s - r), F.lit(0.0))).otherwise(0.0))
+
+    ways = F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, add)
+    below = F.aggregate(F.slice(ways, F.lit(1), F.floor(t).cast("int") + 1), F.lit(0.0), lambda s, w: s + w)
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * below / F.pow(F.lit(2.0), n.cast("double")))).otherwise(1.0)
+
+
+def normal_tail(z: Column) -> Column:
+    """Two-sided tail of the normal distribution, within 3e-7 (a rational approximation of the error function)."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))  # fixed values
+    return poly * F.exp(-x * x)
+
+
+def signed_ranks(df: DataFrame, keys: list[str], d: str) -> DataFrame:
+    """n, statistic, p_wilcoxon of the signed-rank test of each key's differences; zeros are dropped.
+
+    Up to 50 differences without ties: exact; else by the normal approximation with tie correction. Ranks come from a window
+    over a key's differences: one row a unit (home, day), not one an hour.
+    """
+    x = df.where(F.abs(F.col(d)) > 1e-12).withColumn("_a", F.round(F.abs(F.col(d)), 9))
+    same = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_a"))
+    x = x.withColumns({"_c": same, "_r": F.rank().over(Window.partitionBy(*keys).orderBy("_a")) + (same - 1) / 2.0})
+    s = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(d) > 0, F.col("_r")).otherwise(0.0)).alias("_plus"), F.sum(F.col("_c") * F.col("_c") - 1).alias("_ties"))
+    n = F.col("n").cast("double")
+    stat = F.least(F.col("_plus"), n * (n + 1) / 2 - F.col("_plus"))
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
+    p = F.when((F.col("n") <= 50) & (F.col("_ties") == 0), rank_sum_p(F.least(F.col("n"), F.lit(50)), stat)).when(var > 0, normal_tail((stat - n * (n + 1) / 4) / F.sqrt(var))).otherwise(1.0)
+    return s.withColumns({"statistic": stat, "p_wilcoxon": p}).select(*keys, "n", "statistic", "p_wilcoxon")
+
+
 def bootstrap(groups: DataFrame, unit: str, value: str, weight: str, n: int = 1000, seed: int = 42) -> DataFrame:
     """estimate, low, high: percentile interval of sum(value) / sum(weight) resampling whole units, by Poisson weights.
 

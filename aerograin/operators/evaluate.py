@@ -37,7 +37,7 @@ def score_methods(df: DataFrame) -> DataFrame:
     shapes = fuzzy.monotonic_shapes(*FuzzyConfig().output)
     act = fuzzy.activation([fuzzy.memberships(F.col(c), shapes) for c in ("a", "v", "m")])
     out = fuzzy.with_centroid(df.withColumns({f"o{s}": act[s] for s in range(4)}), [f"o{s}" for s in range(4)], "two_level").drop("o0", "o1", "o2", "o3")
-    sev = lambda c: scores.severity(scores.output_class(c))
+    sev = lambda c: scores.severity(scores.output_class(F.round(c, 9)))
     top = F.greatest("a", "v", "m")
     out = out.withColumns({"fuzzy_max": top, "crisp_max": sev(top) * 25.0 + 12.5, "mean": (F.col("a") + F.col("v") + F.col("m")) / 3})
     return out.withColumns({f"sev_{c}": sev(F.col(c)) for c in ("two_level", "fuzzy_max", "crisp_max", "mean")})
