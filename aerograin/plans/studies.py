@@ -251,7 +251,7 @@ SELECT "class_I", {', '.join(f'count_if({sensor.sev_sql("index_value")} = {k})::
 SELECT *, CASE WHEN persistence <= day AND persistence <= mean THEN 'persistence' WHEN day <= mean THEN 'day' ELSE 'mean' END AS best FROM e""",
     "paired_forecast_tests": f"""{_I}, l AS ({_SERIES}), o AS (SELECT *, abs("then" - now) AS a, abs("then" - day) AS b FROM l WHERE now IS NOT NULL AND "then" IS NOT NULL AND day IS NOT NULL),
 p AS (SELECT series, h, home, avg(a) - avg(b) AS d, count_if(a > 10 AND b <= 10) AS oa, count_if(a <= 10 AND b > 10) AS ob FROM o GROUP BY ALL), k AS (SELECT *, rank() OVER (PARTITION BY series, h ORDER BY abs(d)) AS r FROM p),
-s AS (SELECT series, h, count(*) AS n, least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0)) AS t0, sum(oa)::BIGINT AS only_a, sum(ob)::BIGINT AS only_b, count_if(d < 0)::BIGINT AS n_first_better FROM k GROUP BY ALL),
+s AS (SELECT series, h, count(*) AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS t0, sum(oa)::BIGINT AS only_a, sum(ob)::BIGINT AS only_b, count_if(d < 0)::BIGINT AS n_first_better FROM k GROUP BY ALL),
 s1 AS (SELECT *, coalesce(t0, 0)::DOUBLE AS t FROM s), s2 AS (SELECT *, {_exact_p()} AS pw,
  CASE WHEN only_a + only_b = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))))) END AS pm FROM s1),
 g AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY pw) + 1) * pw) AS raw, row_number() OVER (ORDER BY pw) AS i FROM s2)

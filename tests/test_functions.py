@@ -313,3 +313,43 @@ def test_status_and_size_order(spark):
     ok = quality.pm_ordered([F.col(c) for c in ("pm1", "pm2_5", "pm4", "pm10")], 0.2)
     got = df.select("i", "want", quality.hard(F.lit("pm2_5"), F.col("pm2_5"), F.lit(True), F.col("status"), ok).alias("h")).collect()
     assert [(r["i"], r["h"]["state"]) for r in got] == [(r["i"], r["want"]) for r in got]
+
+
+def test_rank_sum_and_binomial_tails(spark):
+    """Column forms against the driver's own scalars and against listing every case."""
+    import itertools
+
+    from aerograin.functions import stats
+
+    cases = [(n, t) for n in (1, 4, 7, 10) for t in (0, 1, 3, 8)]
+    df = spark.createDataFrame(cases, "n int, t int").select("n", "t", stats.rank_sum_p(F.col("n"), F.col("t").cast("double")).alias("p"))
+    for r in df.collect():
+        sets = [sum(c) for k in range(r["n"] + 1) for c in itertools.combinations(range(1, r["n"] + 1), k)]
+        assert r["p"] == pytest.approx(min(1.0, 2 * sum(s <= r["t"] for s in sets) / len(sets)))
+    pairs = [(0, 0), (3, 0), (5, 9), (40, 70), (700, 900)]
+    for r in spark.createDataFrame(pairs, "b long, c long").select("b", "c", stats.mcnemar_p(F.col("b"), F.col("c")).alias("p")).collect():
+        assert r["p"] == pytest.approx(stats.mcnemar_exact(r["b"], r["c"]), rel=1e-9)
+    for r in spark.createDataFrame([(0.0,), (1.0,), (1.96,), (3.0,)], "z double").select("z", stats.normal_tail(F.col("z")).alias("p")).collect():
+        assert r["p"] == pytest.approx(math.erfc(r["z"] / math.sqrt(2)), abs=5e-7)
+
+
+def test_signed_ranks_as_a_table(spark):
+    from aerograin.functions import stats
+
+    rng = random.Random(3)
+    rows = [("few", rng.uniform(-1, 2)) for _ in range(9)] + [("many", rng.gauss(0.2, 1)) for _ in range(80)] + [("ties", float(rng.choice([-2, -1, 1, 2, 3]))) for _ in range(40)] + [("zeros", 0.0)] * 3
+    got = {r["k"]: r for r in stats.signed_ranks(spark.createDataFrame(rows, "k string, d double"), ["k"], "d").collect()}
+    for k in ("many", "ties"):
+        stat, p = stats.wilcoxon([d for x, d in rows if x == k])
+        assert got[k]["statistic"] == pytest.approx(stat) and got[k]["p_wilcoxon"] == pytest.approx(p, abs=1e-6)
+    assert got["few"]["n"] == 9 and 0 < got["few"]["p_wilcoxon"] <= 1 and "zeros" not in got
+
+
+def test_one_to_one_refuses_repeated_keys(spark):
+    from aerograin.plans import studies
+
+    a = spark.createDataFrame([(1, 2.0), (2, 3.0)], "k int, x double")
+    b = spark.createDataFrame([(1, 5.0), (2, 6.0)], "k int, y double")
+    assert sorted(map(tuple, studies.one_to_one(a, b, ["k"]).collect())) == [(1, 2.0, 5.0), (2, 3.0, 6.0)]
+    with pytest.raises(Exception, match="one-to-one"):
+        studies.one_to_one(a, b.union(b), ["k"]).collect()
