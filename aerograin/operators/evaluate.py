@@ -235,12 +235,14 @@ def perturbed(df: DataFrame, trials: int = 30, seed: int = 42) -> DataFrame:
     range, PM10 at least PM2.5."""
     x = df.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
     for c, (lo, hi, u) in CHANNELS.items():
-        draw = F.pmod(F.xxhash64(F.lit(seed), "device", "tick", "trial", F.lit(c)), F.lit(1 << 30)).cast("double") / (1 << 29) - 1
+        key = F.concat_ws(":", F.lit(str(seed)), F.col("device").cast("string"), F.unix_micros(F.col("tick").cast("timestamp")).cast("string"), F.col("trial").cast("string"), F.lit(c))
+        draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint").cast("double") / 2147483648.0 - 1
         x = x.withColumn(c, F.when(F.col(c).isNotNull(), F.least(F.lit(hi), F.greatest(F.lit(lo), F.col(c) + u * draw))))
     return x.withColumn("pm10", F.when(F.col("pm10").isNotNull(), F.greatest("pm10", "pm2_5")))
 
 
 def hash_sample(df: DataFrame, keys: list[str], strata: list[str], n: int, seed: int = 42) -> DataFrame:
     """At most n rows of each stratum, those with the smallest hash of the key: the same for every layout of the data."""
-    w = Window.partitionBy(*strata).orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
+    text = [F.unix_seconds(F.col(k).cast("timestamp")).cast("string") if t.startswith("timestamp") else F.col(k).cast("string") for k, t in ((k, df.schema[k].dataType.simpleString()) for k in keys)]
+    w = Window.partitionBy(*strata).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *text)), *keys)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")

@@ -4,9 +4,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from aerograin.plans import evaluation, hourly, learning, sensor, streams, studies
+from aerograin.plans import cases, evaluation, hourly, learning, sensor, streams, studies
 
-PLANS = (hourly, studies, sensor, evaluation, streams, learning)
+PLANS = (hourly, studies, sensor, cases, evaluation, streams, learning)
 QUERIES = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in PLANS for k, v in p.SQL.items()}
 TABLES = ("events", "orders", "lineitem")
