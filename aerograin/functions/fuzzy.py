@@ -149,7 +149,7 @@ def infer(df: DataFrame, cfg: FuzzyConfig | None = None, tie: float = 1.0) -> Da
     out = out.withColumn("rules_fired", F.coalesce(fires[0], F.lit(1)) * F.coalesce(fires[1], F.lit(1)) * F.coalesce(fires[2], F.lit(1)))
     from .scores import output_class
 
-    return dominant(out.withColumn("index_class", output_class(F.col("index_value"))), tie)
+    return dominant(out.withColumn("index_class", output_class(F.round("index_value", 9))), tie)
 
 
 def dominant(df: DataFrame, tie: float = 1.0) -> DataFrame:

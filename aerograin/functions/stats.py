@@ -155,7 +155,8 @@ def bootstrap(groups: DataFrame, unit: str, value: str, weight: str, n: int = 10
     aggregate, the units are never collected, and a rerun gives the same interval.
     """
     unitwise = groups.groupBy(unit).agg(F.sum(value).alias("v"), F.sum(weight).alias("w"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "r", F.col(unit)), F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col(unit).cast("string"))
+    u = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint").cast("double") / 4294967296.0
     cdf, term, total = [], math.exp(-1), 0.0
     for k in range(12):
         total += term

@@ -365,3 +365,15 @@ SELECT other, n, only_index, only_other, round(p, 6) AS p, round(max(raw) OVER (
     "stream_stale_outdoor": f"""WITH {sqltext.HOURLY}, o AS (SELECT home AS device, time FROM readings WHERE pm25 IS NOT NULL), e AS (SELECT DISTINCT user_id % 4 AS device, ts FROM events), j AS (SELECT e.device, e.ts, o.time FROM e ASOF LEFT JOIN o ON e.device = o.device AND e.ts >= o.time)
 SELECT device, count(*) AS n, count_if(time IS NULL OR epoch(ts)::BIGINT - epoch(time)::BIGINT > 7200)::BIGINT AS n_stale FROM j GROUP BY device""",
 }
+_CLASS_NAME = "CASE {0} WHEN 0 THEN 'Favourable' WHEN 1 THEN 'Acceptable' WHEN 2 THEN 'Degraded' WHEN 3 THEN 'Critical' END"
+_INDEXED = f"ix AS (SELECT device, tick, trial, index_value, {sensor.sev_sql('index_value')} AS sev FROM hf)"
+_TRIED_INDEX = _TRIED[: _TRIED.index(", b0 AS (")] + f", {_INDEXED}"
+#: Queries of the sensor and evaluation plans whose SQL lists all rules or all trials.
+SQL |= {
+    "dominant_component": f"{_DM} SELECT device, tick, status, {_CLASS_NAME.format(sensor.sev_sql('index_value').replace('CASE', '(CASE', 1) + ')')} AS index_class, coalesce(co[1], '') AS dominant, coalesce(array_to_string(co, ';'), '') AS co_dominant FROM dm",
+    "trial_flapping": f"""WITH {_TRIED_INDEX}, t AS (SELECT *, sev <> lag(sev) OVER (PARTITION BY device, tick ORDER BY trial) AS turn FROM ix WHERE trial > 0 AND sev IS NOT NULL) SELECT device, tick, count(*) AS n, count_if(turn)::BIGINT AS n_turns FROM t GROUP BY device, tick""",
+    "stability": f"""WITH {_TRIED_INDEX}, c AS (SELECT a.device, abs(a.index_value - b.index_value) AS d, a.sev - b.sev AS w FROM ix a JOIN ix b USING (device, tick) WHERE a.trial > 0 AND b.trial = 0 AND a.index_value IS NOT NULL AND b.index_value IS NOT NULL),
+g AS (SELECT device, count(*) AS n, count_if(w <> 0)::BIGINT AS k, count_if(w > 0)::BIGINT AS n_worse, count_if(w < 0)::BIGINT AS n_better, avg(d) AS mean_shift, quantile_cont(d, 0.95) AS p95_shift, max(d) AS max_shift FROM c GROUP BY device),
+p AS (SELECT *, 1.96 * sqrt(k / n::DOUBLE * (1 - k / n::DOUBLE) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n) AS h, (k / n::DOUBLE + 3.8416 / (2.0 * n)) / (1 + 3.8416 / n) AS c FROM g)
+SELECT device, n, k, n_worse, n_better, round(mean_shift, 6) AS mean_shift, round(p95_shift, 6) AS p95_shift, round(max_shift, 6) AS max_shift, round(greatest(0.0, c - h), 6) AS low, round(least(1.0, c + h), 6) AS high FROM p""",
+}

@@ -158,14 +158,15 @@ def bootstrap_error(spark, sf_dir):
 
 
 def paired_tests(spark, sf_dir):
-    """Does the index differ from the plain mean? Exact McNemar on critical hours, signed ranks of day means, Holm over both."""
+    """Does the index differ from the plain mean? Per home: signed ranks of day means, exact McNemar on critical hours, Holm over all of them."""
     x = hourly.indexed(spark, sf_dir).where(scores.complete())
     day = x.groupBy("home", F.to_date("time").alias("day")).agg((F.avg("I") - F.avg("Q_mean")).alias("d"), F.count_if((F.col("class_I") >= 3) & (scores.class_of_score(F.col("Q_mean")) < 3)).alias("b"), F.count_if((F.col("class_I") < 3) & (scores.class_of_score(F.col("Q_mean")) >= 3)).alias("c"))
-    # A sign-and-rank test needs the days' ranks only: ranked in Spark, summed to one row a home.
-    nz = day.where("abs(d) > 1e-12").withColumn("r", F.rank().over(Window.partitionBy("home").orderBy(F.round(F.abs("d"), 9))) + (F.count(F.lit(1)).over(Window.partitionBy("home", F.round(F.abs("d"), 9))) - 1) / 2.0)
-    s = nz.groupBy("home").agg(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("plus"), F.count(F.lit(1)).alias("n"))
+    ranks = stats.signed_ranks(day, ["home"], "d")
     t = day.groupBy("home").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
-    return s.join(t, "home").select("home", "n", F.round("plus", 6).alias("rank_sum"), "b", "c")
+    both = ranks.join(t, "home").withColumn("q", stats.mcnemar_p(F.col("b"), F.col("c")))
+    long = both.select("home", "n", "b", "c", "statistic", F.expr("stack(2, 'ranks', p_wilcoxon, 'discordant', q) as (test, p)"))
+    out = stats.holm(long.withColumn("one", F.lit(1)), ["one"], "p")
+    return out.select("home", "test", "n", "b", "c", *R("statistic", "p", "p_holm"))
 
 
 def holm_adjusted(spark, sf_dir):
@@ -258,3 +259,31 @@ SELECT sl.device, sl.tick, count(*) AS n, count(m.slot) AS k FROM sl LEFT JOIN m
         for m in (5, 15, 30, 60)
     ),
 }
+_NORMAL = lambda z: (lambda t: f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429))))) * exp(-({z}) * ({z}) / 2)")(f"(1 / (1 + 0.3275911 * abs({z}) / sqrt(2)))")
+_CODE_ROWS = f"ev AS (SELECT split, device AS sid, slot AS i, code, coalesce(truth = code, false) AS t, list_contains(reasons, code) AS p FROM soft CROSS JOIN {_CODES})"
+_CLASSED = lambda c, two: "CASE " + " ".join(f"WHEN {m} IS NOT NULL AND {m} = greatest({', '.join(sensor._members(c, two))}) THEN {k}" for k, m in reversed(list(enumerate(sensor._members(c, two))))) + " END"
+_LABELS = {c: f"CASE WHEN value <= {b[0]} THEN 0 WHEN value <= {b[1]} THEN 1 WHEN value <= {b[2]} THEN 2 ELSE 3 END" for c, (b, _) in (("pm2_5", FuzzyConfig().pm2_5), ("pm10", FuzzyConfig().pm10), ("co2", FuzzyConfig().co2))} | {c: sensor._hard2("value", e[0]) for c, e in (("humidity", FuzzyConfig().humidity), ("temperature", FuzzyConfig().temperature))}
+_SHAPED = {c: fuzzy.monotonic_shapes(*getattr(FuzzyConfig(), c)) for c in ("pm2_5", "pm10", "co2")} | {c: fuzzy.two_sided_shapes(*getattr(FuzzyConfig(), c)) for c in ("humidity", "temperature")}
+_CASES = " UNION ALL ".join(f"SELECT '{c}' AS channel, {_LABELS[c]} AS a, {_CLASSED('value', _SHAPED[c])} AS b FROM (VALUES {', '.join(f'({v + d!r}::DOUBLE)' for _, ch, p, v in evaluate.boundaries(FuzzyConfig()) if p == 'kitchen_cold' and ch == c for d in (-1e-3, 1e-3))}) t(value)" for c in _SHAPED)
+SQL |= {
+    "hampel_choice": f"SELECT \"window\", k, objective FROM ({SQL['hampel_calibration']}) WHERE split = 'calibration' AND \"window\" = 11 ORDER BY objective DESC, recall DESC, kept DESC, fpr, k LIMIT 1",
+    "stratified_sample": f"""WITH {hourly.sqltext.GRID}, {hourly.sqltext.index()}, r AS (SELECT home, time, "class_I", "I", row_number() OVER (PARTITION BY home, "class_I" ORDER BY md5('42:' || home || ':' || epoch(time)::BIGINT), home, time) AS r FROM idx WHERE "I" IS NOT NULL) SELECT home, time, "class_I", round("I", 6) AS "I" FROM r WHERE r <= 5""",
+    "bootstrap_error": f"""WITH {hourly.sqltext.GRID}, {hourly.sqltext.index()}, e AS (SELECT home || '/' || time::DATE AS day, abs(lead("I", 3) OVER (PARTITION BY home ORDER BY time) - "I") AS e FROM idx), u AS (SELECT day, sum(e) AS v, count(*)::DOUBLE AS w FROM e WHERE e IS NOT NULL GROUP BY day),
+c AS (SELECT k, sum(exp(-1.0) / gamma(k + 1)) OVER (ORDER BY k) AS below FROM (SELECT unnest(range(12)) AS k)),
+d AS (SELECT r, v, w, (SELECT count(*) FROM c WHERE below < ('0x' || substr(md5('42:' || r || ':' || day), 1, 8))::BIGINT::DOUBLE / 4294967296.0) AS k FROM u CROSS JOIN (SELECT unnest(range(1, 201)) AS r)), s AS (SELECT r, sum(k * v) / sum(k * w) AS s FROM d GROUP BY r)
+SELECT round((SELECT sum(v) / sum(w) FROM u), 6) AS estimate, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high FROM s""",
+    "paired_tests": f"""WITH {hourly.sqltext.GRID}, {hourly.sqltext.index()}, x AS (SELECT home, time::DATE AS day, "I", "Q_mean", "class_I" >= 3 AS a, greatest(0, least(4, ceil("Q_mean" / 25.0::DOUBLE)::INTEGER)) >= 3 AS m FROM idx WHERE "I" IS NOT NULL),
+d AS (SELECT home, day, avg("I") - avg("Q_mean") AS d, count_if(a AND NOT m) AS b, count_if(m AND NOT a) AS c FROM x GROUP BY home, day), z AS (SELECT home, d, round(abs(d), 9) AS m FROM d WHERE abs(d) > 1e-12),
+r AS (SELECT *, count(*) OVER (PARTITION BY home, m) AS same, rank() OVER (PARTITION BY home ORDER BY m) + (count(*) OVER (PARTITION BY home, m) - 1) / 2.0 AS r FROM z),
+s AS (SELECT home, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END)::DOUBLE AS plus, sum(same * same - 1)::DOUBLE AS ties FROM r GROUP BY home), t AS (SELECT home, sum(b)::BIGINT AS b, sum(c)::BIGINT AS c FROM d GROUP BY home),
+v AS (SELECT *, least(plus, n * (n + 1) / 2.0 - plus) AS statistic, n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48 AS var FROM s), q AS (SELECT *, (statistic - n * (n + 1) / 4.0) / sqrt(var) AS zz FROM v JOIN t USING (home)),
+l AS (SELECT home, n, b, c, statistic, 'ranks' AS test, {_NORMAL('zz')} AS p FROM q UNION ALL SELECT home, n, b, c, statistic, 'discordant', CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END FROM q),
+h AS (SELECT *, row_number() OVER (ORDER BY p) AS i, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p) + 1) * p) AS raw FROM l)
+SELECT home, test, n, b, c, round(statistic, 6) AS statistic, round(p, 6) AS p, round(max(raw) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM h""",
+    "fault_events": f"""WITH {_BENCH}, {_CODE_ROWS}, tr AS (SELECT split, code, sid, min(i) AS a, max(i) AS b FROM ev WHERE t GROUP BY ALL), hp AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY sid, code ORDER BY i) <= 3 THEN 0 ELSE 1 END AS new FROM ev WHERE p),
+gp AS (SELECT *, sum(new) OVER (PARTITION BY sid, code ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM hp), pr AS (SELECT split, code, sid, g, min(i) AS pa, max(i) AS pb FROM gp GROUP BY ALL),
+mt AS (SELECT t.split, t.code, pa - a AS delay FROM tr t JOIN pr p USING (split, code, sid) WHERE pa <= b + 2 AND pb >= a - 2 QUALIFY row_number() OVER (PARTITION BY t.split, t.code, t.sid ORDER BY abs(pa - a), pa) = 1),
+n AS (SELECT split, code, count(*) AS n_true FROM tr GROUP BY ALL), f AS (SELECT split, code, count(*) AS n_found, avg(delay) AS mean_delay FROM mt GROUP BY ALL), q AS (SELECT split, code, count(*) AS n_predicted FROM pr GROUP BY ALL)
+SELECT split, code, coalesce(n_true, 0) AS n_true, coalesce(n_found, 0) AS n_found, coalesce(n_predicted, 0) AS n_predicted, round(mean_delay, 6) AS mean_delay FROM n FULL JOIN f USING (split, code) FULL JOIN q USING (split, code)""",
+    "reference_cases": f"WITH {sensor.agreement_sql(_CASES, 'channel')}",
+}
