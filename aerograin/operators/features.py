@@ -57,24 +57,36 @@ def hours_back(key: str, time: str, hours: int):
     return Window.partitionBy(key).orderBy(seconds(time)).rangeBetween(-(hours * HOUR - 1), 0)
 
 
+#: A home's series is cut into parts of so many hours for rolling frames.
+PART_HOURS = 720
+
+
+def cut(df: DataFrame, time: str, halo_hours: int) -> DataFrame:
+    """`df` with `_part` (PART_HOURS of time) and `_own`: a row also stands in the next part where its last `halo_hours` reach
+    into it (`_own` false there), so that every trailing frame is whole within a part and a long series is many tasks."""
+    h = F.floor(seconds(time) / HOUR)
+    part, reach = F.floor(h / PART_HOURS), F.floor((h + halo_hours) / PART_HOURS)
+    return df.withColumn("_own", part).withColumn("_part", F.explode(F.array_distinct(F.array(part, reach)))).withColumn("_own", F.col("_own") == F.col("_part"))
+
+
 def rolling(df: DataFrame, indicators: tuple[str, ...] = INDICATORS, windows: tuple[int, ...] = WINDOWS, coverage: float = 0.8) -> DataFrame:
     """<x>_<mean|min|max|std>_<w>h over (t - w, t], diff1_<x>, calendar columns, and `eligible`: every window of every indicator
-    covered, every difference and the index present. All frames share one exchange and sort."""
+    covered, every difference and the index present. All frames share one exchange and sort, by home and part."""
     cols: dict[str, Column] = {}
     ok = F.col("I").isNotNull()
-    order = Window.partitionBy("home").orderBy(seconds("time"))
+    by = Window.partitionBy("home", "_part").orderBy(seconds("time"))
     for x in indicators:
         for w in windows:
-            frame = hours_back("home", "time", w)
+            frame = by.rangeBetween(-(w * HOUR - 1), 0)
             for name, f in (("mean", F.avg), ("min", F.min), ("max", F.max), ("std", F.stddev_samp)):
                 cols[f"{x}_{name}_{w}h"] = f(x).over(frame)
             ok = ok & (F.count(x).over(frame) / w >= coverage)
-        cols[f"diff1_{x}"] = F.col(x) - F.lag(x).over(order)
-        ok = ok & (F.col(x) - F.lag(x).over(order)).isNotNull()
+        cols[f"diff1_{x}"] = F.col(x) - F.lag(x).over(by)
+        ok = ok & (F.col(x) - F.lag(x).over(by)).isNotNull()
     cols["hour_sin"], cols["hour_cos"] = F.sin(2 * F.pi() * F.hour("time") / 24), F.cos(2 * F.pi() * F.hour("time") / 24)
     cols["weekend"] = F.when(F.weekday("time") >= 5, 1).otherwise(0)
     cols["season_heating"] = F.when(F.col("season") == "heating", 1).otherwise(0)
-    return df.withColumns({**cols, "eligible": ok})
+    return cut(df, "time", max(windows)).withColumns({**cols, "eligible": ok}).where("_own").drop("_own", "_part")
 
 
 def targets(df: DataFrame, cols: list[str], horizons: tuple[int, ...] = (1, 3, 6)) -> DataFrame:

@@ -96,19 +96,45 @@ def with_persistence(df: DataFrame, keys: list[str], order: str, flag: str, leas
     return out.withColumn("persists", F.col(flag) & (F.count(F.lit(1)).over(run) >= least)).drop("_g")
 
 
+def with_hampel_flags(df: DataFrame, key: str, order: str, values: dict[str, Column], cadence_s: int, window: int = 11, k: float = 3.0) -> DataFrame:
+    """is_outlier_<name> for each of `values`, by the causal window of `window` slots of `cadence_s` that must all hold one.
+
+    `df` has a row a slot (timestamp column `order`), absent slots have none. A key's series is cut by the hour, each part
+    with a halo of the window's length, so that a long series is many tasks; all values share one exchange and one frame.
+    """
+    reach = (window - 1) * cadence_s
+    s = F.unix_seconds(F.col(order).cast("timestamp"))
+    hour = F.floor(s / 3600)
+    x = df.withColumns({"_s": s, "_own": hour, **{f"_v_{n}": v for n, v in values.items()}})
+    x = x.withColumn("_part", F.explode(F.array_distinct(F.array(hour, F.floor((s + reach) / 3600)))))
+    w = Window.partitionBy(key, "_part").orderBy("_s").rangeBetween(-reach, 0)
+    x = x.withColumns({f"_w_{n}": F.array_sort(F.collect_list(f"_v_{n}").over(w)) for n in values}).where(F.col("_part") == F.col("_own"))
+    mid = lambda a: F.get(a, F.lit(window // 2))
+    out = {}
+    distances = lambda a, m: F.transform(a, lambda y: F.abs(y - m))
+    for n in values:
+        far = F.abs(F.col(f"_v_{n}") - F.col(f"_m_{n}"))
+        spread = mid(F.array_sort(distances(F.col(f"_w_{n}"), F.col(f"_m_{n}")))) * 1.4826
+        full = (F.size(f"_w_{n}") == window) & F.col(f"_v_{n}").isNotNull()
+        out[f"is_outlier_{n}"] = F.coalesce(F.when(full, F.when(spread > 0, far > k * spread).otherwise(far > 0)), F.lit(False))
+    x = x.withColumns({f"_m_{n}": mid(F.col(f"_w_{n}")) for n in values}).withColumns(out)
+    return x.drop("_s", "_own", "_part", *[f"_{p}_{n}" for n in values for p in "vwm"])
+
+
 def soft(df: DataFrame, keys: list[str], order: str, cfg: QualityConfig | None = None) -> DataFrame:
     """stage2, usable, confirmed, reasons for rows (keys, order, channel, value, state, reason, aux: array, secondary, trend).
 
     Candidates are outliers, stuck values and drifts among valid values. PM is confirmed by an auxiliary channel moving the
     same way or the outdoor trend, temperature and humidity by the second sensor or the trend, CO2 by persistence alone;
-    persistence is always needed.
+    persistence is always needed. A column `is_outlier` that is there already is taken as it is.
     """
     cfg = cfg or QualityConfig()
     w = Window.partitionBy(*keys).orderBy(order)
     least = F.try_element_at(F.create_map(*[x for c, v in CHANNELS.items() for x in (F.lit(c), F.lit(cfg.drift_factor * v[2]))]), F.col("channel"))
     near = F.try_element_at(F.create_map(F.lit("temperature"), F.lit(1.3), F.lit("humidity"), F.lit(9.0)), F.col("channel"))
     x = df.withColumn("x", F.when(F.col("state") == "VALID", F.col("value")))
-    x = with_hampel(x, keys, order, "x", cfg.hampel_window, cfg.hampel_k)
+    if "is_outlier" not in df.columns:
+        x = with_hampel(x, keys, order, "x", cfg.hampel_window, cfg.hampel_k)
     x = with_stuck(x, keys, order, "x", cfg.stuck_repeats)
     x = with_drift(x, keys, order, "x", cfg.drift_steps, least)
     x = x.withColumn("suspect", F.col("is_outlier") | F.col("is_stuck") | F.col("is_drift"))

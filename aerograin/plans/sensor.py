@@ -21,14 +21,32 @@ def matched(spark, sf_dir) -> DataFrame:
     return sequence.slot_match(readings_30s(spark, sf_dir), "device", "ts", CFG.cadence_s, CFG.tolerance_s)
 
 
-def expected(spark, sf_dir, window_min: int = CFG.window_min) -> DataFrame:
-    """device, tick, slot, is_window and the matched reading: every window with its history, all ticks at once."""
-    m = matched(spark, sf_dir)
+def ticked(spark, sf_dir, readings: DataFrame, window_min: int = CFG.window_min) -> DataFrame:
+    """device, tick, slot, is_window and the matched row of `readings`: every window with its history, all ticks at once."""
     ticks = sequence.ticks(readings_30s(spark, sf_dir), "device", "ts", CFG.recompute_min)
     n = window_min * 60 // CFG.cadence_s
     slots = ticks.select("device", "tick", F.explode(F.sequence(F.lit(0), F.lit(n + HISTORY - 1))).alias("k"))
     slots = slots.select("device", "tick", F.expr(f"tick - make_dt_interval(0, 0, 0, cast(k * {CFG.cadence_s} as decimal(18,6)))").alias("slot"), (F.col("k") < n).alias("is_window"))
-    return slots.join(m.drop("offset_us").withColumn("matched", F.lit(True)), ["device", "slot"], "left")
+    return slots.join(readings.withColumn("matched", F.lit(True)), ["device", "slot"], "left")
+
+
+def expected(spark, sf_dir, window_min: int = CFG.window_min) -> DataFrame:
+    return ticked(spark, sf_dir, matched(spark, sf_dir).drop("offset_us"), window_min)
+
+
+def judged(spark, sf_dir) -> DataFrame:
+    """device, slot, cells: of every matched reading once, an entry a channel with its hard state and whether it is an outlier.
+
+    A window's slots have their whole frames within the window and its history, so flags do not depend on the window.
+    """
+    m = matched(spark, sf_dir)
+    pm_ok = quality.pm_ordered([F.col(c) for c in ("pm1", "pm2_5", "pm4", "pm10")], CFG.pm_tolerance)
+    m = m.withColumns({f"h_{c}": quality.hard(F.lit(c), F.col(c), F.lit(True), F.col("status"), pm_ok) for c in WIDE})
+    m = quality.with_hampel_flags(m, "device", "slot", {c: F.when(F.col(f"h_{c}.state") == "VALID", F.col(c)) for c in WIDE}, CFG.cadence_s, CFG.hampel_window, CFG.hampel_k)
+    aux = lambda c: F.array("pm1", "pm4") if c in ("pm2_5", "pm10") else F.lit(None).cast("array<double>")
+    second = lambda c: F.col(f"{c}2") if c in ("temperature", "humidity") else F.lit(None).cast("double")
+    cells = [F.struct(F.lit(c).alias("channel"), F.col(c).alias("value"), F.col(f"h_{c}.state").alias("state"), F.col(f"h_{c}.reason").alias("reason"), aux(c).alias("aux"), second(c).alias("secondary"), F.col(f"is_outlier_{c}").alias("is_outlier")) for c in WIDE]
+    return m.select("device", "slot", F.array(*cells).alias("cells"))
 
 
 def outdoor_trend(spark, sf_dir) -> DataFrame:
@@ -43,18 +61,16 @@ def outdoor_trend(spark, sf_dir) -> DataFrame:
 
 
 def checked(spark, sf_dir) -> DataFrame:
-    """Long slot table with the hard state of every channel."""
-    e = expected(spark, sf_dir).join(outdoor_trend(spark, sf_dir), ["device", "tick"], "left")
-    pm_ok = quality.pm_ordered([F.col(c) for c in ("pm1", "pm2_5", "pm4", "pm10")], CFG.pm_tolerance)
-    e = e.withColumns({"matched": F.coalesce("matched", F.lit(False)), "pm_ok": pm_ok})
-    long = quality.to_long(e, ["device", "tick", "slot"], WIDE, ["is_window", "matched", "status", "pm_ok", "pm1", "pm4", "temperature2", "humidity2", "trend_pm25", "trend_t", "trend_rh"])
-    pm = F.col("channel").isin("pm2_5", "pm10")
-    return long.select(
-        "device", "tick", "slot", "channel", "value", "is_window", quality.hard(F.col("channel"), F.col("value"), F.col("matched"), F.col("status"), F.col("pm_ok")).alias("h"),
-        F.when(pm, F.array("pm1", "pm4")).alias("aux"),
-        F.when(F.col("channel") == "temperature", F.col("temperature2")).when(F.col("channel") == "humidity", F.col("humidity2")).alias("secondary"),
-        F.when(pm, F.col("trend_pm25")).when(F.col("channel") == "temperature", F.col("trend_t")).when(F.col("channel") == "humidity", F.col("trend_rh")).alias("trend"),
-    ).select("*", F.col("h.state").alias("state"), F.col("h.reason").alias("reason")).drop("h")
+    """Long slot table with the hard state of every channel, and outliers."""
+    none = {"value": "double", "state": "string", "reason": "string", "aux": "array<double>", "secondary": "double", "is_outlier": "boolean"}
+    gone = {"state": F.lit("MISSING"), "reason": F.lit("data_loss"), "is_outlier": F.lit(False)}
+    empty = F.array(*[F.struct(F.lit(c).alias("channel"), *[gone.get(k, F.lit(None).cast(t)).alias(k) for k, t in none.items()]) for c in WIDE])
+    e = ticked(spark, sf_dir, judged(spark, sf_dir)).join(outdoor_trend(spark, sf_dir), ["device", "tick"], "left")
+    long = e.select("device", "tick", "slot", "is_window", "trend_pm25", "trend_t", "trend_rh", F.inline(F.coalesce("cells", empty)))
+    ch = F.col("channel")
+    trend = F.when(ch.isin("pm2_5", "pm10"), F.col("trend_pm25")).when(ch == "temperature", F.col("trend_t")).when(ch == "humidity", F.col("trend_rh"))
+    # In a window's history the frames reach before its first slot: no outliers there.
+    return long.select("device", "tick", "slot", "channel", "value", "is_window", "state", "reason", "aux", "secondary", (F.col("is_outlier") & F.col("is_window")).alias("is_outlier"), trend.alias("trend"))
 
 
 def softly(spark, sf_dir) -> DataFrame:
