@@ -43,9 +43,11 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/aerograin/{what}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """`df` written and read again; with `by`, in a folder a value of that column, which can be dropped by itself."""
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        out = df.write.mode("overwrite").option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
