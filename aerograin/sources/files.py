@@ -1,4 +1,4 @@
-"""Readers of reading files, writers of exports, keyed upserts, and checks of exported tables."""
+"""Readers of reading files, writers of exports, and checks of exported tables."""
 
 from __future__ import annotations
 
@@ -30,8 +30,9 @@ def read_table(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
     return raw.withColumns({c: F.regexp_replace(c, ",", ".").cast("double") for c in numbers})
 
 
-def write_table(df: DataFrame, path: str, columns: list[str], digits: int = 6) -> None:
-    """Semicolon CSV in the given column order: absent columns are null, arrays are joined by ; and numbers have decimal commas."""
+def write_table(df: DataFrame, path: str, columns: list[str], digits: int = 6, mark: bool = False) -> None:
+    """Semicolon CSV in the given column order: absent columns are null, arrays are joined by ; and numbers have decimal commas.
+    `mark` puts a byte-order mark before the first heading, which spreadsheet programs look for."""
     out = []
     for c in columns:
         if c not in df.columns:
@@ -44,7 +45,10 @@ def write_table(df: DataFrame, path: str, columns: list[str], digits: int = 6) -
             out.append(F.regexp_replace(F.round(c, digits).cast("string"), r"\.", ",").alias(c))
         else:
             out.append(F.col(c))
-    df.select(*out).write.mode("overwrite").csv(path, sep=";", header=True)
+    made = df.select(*out)
+    if mark:
+        made = made.withColumnRenamed(columns[0], "\ufeff" + columns[0])
+    made.write.mode("overwrite").csv(path, sep=";", header=True)
 
 
 def read_sidecars(spark: SparkSession, pattern: str) -> DataFrame:
@@ -57,21 +61,6 @@ def between(df: DataFrame, time: str, start, end) -> DataFrame:
     return df.where((F.col(time) > F.lit(start)) & (F.col(time) <= F.lit(end)))
 
 
-def upsert(df: DataFrame, path: str, keys: list[str], version: str) -> None:
-    """Merge rows into a Parquet table by key, the greatest version wins. The new table is written beside and then moved in,
-    so a lost executor or driver leaves the old one whole."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    target, fresh = hadoop(path), hadoop(f"{path}.new")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    both = spark.read.parquet(path).unionByName(df) if fs.exists(target) else df
-    cols = [c for c in df.columns if c not in keys]
-    last = both.groupBy(*keys).agg(F.max_by(F.struct(*cols), version).alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in cols])
-    last.write.mode("overwrite").parquet(f"{path}.new")
-    fs.delete(target, True)
-    fs.rename(fresh, target)
-
-
 def differences(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:
     """Rows of two versions of a summary that differ: absent on a side, or a number off by more than the tolerance."""
     values = [c for c in a.columns if c not in keys]

@@ -270,12 +270,6 @@ def test_raw_reader(spark, tmp_path):
         files.read_readings(spark, str(p), {"Nope": "x"})
 
 
-def test_upsert_keeps_the_last_writer(spark, tmp_path):
-    path = str(tmp_path / "u")
-    files.upsert(spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, n int"), path, ["k"], "n")
-    files.upsert(spark.createDataFrame([(2, "c", 2)], "k int, v string, n int"), path, ["k"], "n")
-    assert {r["k"]: r["v"] for r in spark.read.parquet(path).collect()} == {1: "a", 2: "c"}
-
 
 def test_checks_find_a_changed_summary(spark):
     a = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "k string, v double")
@@ -353,3 +347,78 @@ def test_one_to_one_refuses_repeated_keys(spark):
     assert sorted(map(tuple, studies.one_to_one(a, b, ["k"]).collect())) == [(1, 2.0, 5.0), (2, 3.0, 6.0)]
     with pytest.raises(Exception, match="one-to-one"):
         studies.one_to_one(a, b.union(b), ["k"]).collect()
+
+
+def test_store_survives_a_crash_between_moves(spark, tmp_path):
+    from aerograin.sources.derived import POINTER, Store
+
+    store = Store(spark, f"file://{tmp_path}/derived")
+    store.upsert("t", spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, n int"), ["k"], "n")
+    store.upsert("t", spark.createDataFrame([(2, "c", 2), (2, "old", 0)], "k int, v string, n int"), ["k"], "n")
+    rows = lambda: sorted((r["k"], r["v"]) for r in store.read("t").collect())
+    assert rows() == [(1, "a"), (2, "c")] and len(store.versions("t")) == 2
+    # a driver lost after the old pointer was moved aside: the old table is still whole
+    (tmp_path / "derived" / "t" / POINTER).unlink()
+    for crc in (tmp_path / "derived" / "t").glob(f".{POINTER}.crc"):
+        crc.unlink()
+    assert rows() == [(1, "a"), (2, "b")]
+    with pytest.raises(ValueError, match="schema version"):
+        Store(spark, f"file://{tmp_path}/derived", schema_version=2).read("t")
+    made = []
+    for _ in range(2):
+        store.case("study", "one", lambda: made.append(1) or spark.range(3))
+    assert made == [1]
+    store.rebuild()
+    assert store.current("t") is None
+
+
+def test_exports_have_checksums(spark, tmp_path):
+    from aerograin.sources import derived
+
+    df = spark.createDataFrame([(2, 1.5, ["a", "b"]), (1, None, [])], "k int, v double, l array<string>")
+    one = derived.export(df, f"file://{tmp_path}/e", ["k", "v", "l", "absent"], ["k"])
+    assert one == derived.checksum(spark, f"file://{tmp_path}/e") == derived.export(df.repartition(2), f"file://{tmp_path}/f", ["k", "v", "l", "absent"], ["k"])
+    got = derived.export_all(spark, "", f"file://{tmp_path}/all", {"q": lambda s, d: df.select("k")}, ["q"])
+    assert set(got) == {"q"} and len(got["q"]) == 64
+    assert derived.validated(df, {"k": "int", "v": "string"}, 3) == ["v: double for string", "2 rows, 3 wanted"]
+    assert "| 2 |" in derived.run_summary({"t": df.select("k")}, "abc")
+
+
+def test_pinned_tables_do_not_grow(spark, tmp_path):
+    from aerograin.sources import derived
+
+    path = f"file://{tmp_path}/p"
+    spark.range(5).write.parquet(path)
+    snap = derived.pinned(spark, path)
+    spark.range(5).write.mode("append").parquet(path)
+    assert snap.count() == 5 and spark.read.parquet(path).count() == 10
+
+
+def test_excel_files_have_a_mark(spark, tmp_path):
+    from aerograin.sources import files
+
+    files.write_table(spark.createDataFrame([(1,)], "k int"), f"file://{tmp_path}/x", ["k"], mark=True)
+    raw = b"".join(p.read_bytes() for p in (tmp_path / "x").glob("part-*"))
+    assert raw.startswith(b"\xef\xbb\xbfk")
+
+
+def test_membership_settings_are_checked(spark):
+    from dataclasses import replace
+
+    from aerograin.config import CHANNELS, FuzzyConfig
+    from aerograin.functions import audit
+
+    cfg = FuzzyConfig()
+    assert audit.validate_widths(cfg) == (cfg, [])
+    thin = replace(cfg, co2=(cfg.co2[0], 10.0))
+    with pytest.raises(ValueError, match="co2"):
+        audit.validate_widths(thin)
+    wide, changed = audit.validate_widths(thin, "auto_expand")
+    assert wide.co2 == (cfg.co2[0], CHANNELS["co2"][2]) and [a.channel for a in changed] == ["co2"]
+    assert not any(audit.coverage(cfg).values())
+    kinds = {r[-1] for r in audit.shapes(cfg)}
+    assert kinds <= {"shoulder", "trapezoidal", "triangular"} and len(audit.shapes(cfg)) == 4 * 4 + 2 * 7
+    assert audit.shape_kind(0, 2, 1, 3) == "crossed" and audit.shape_kind(0, 1, 1, 2) == "triangular"
+    assert audit.grid_is_whole(11, 1331) and not audit.grid_is_whole(101, 68921)
+    got = spark.createDataFrame([("co2_spike_validation",), ("x_calibration",), ("plain",)], "s string").select(audit.scenario_family(F.col("s")).alias("f"), audit.scenario_split(F.col("s")).alias("p")).collect()
+    assert [tuple(r) for r in got] == [("co2_spike", "validation"), ("x", "calibration"), ("plain", "calibration")]
