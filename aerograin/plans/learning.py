@@ -9,7 +9,7 @@ from ..config import INDICATORS
 from ..functions import scores
 from ..operators import features, learn
 from ..session import Scratch
-from . import hourly, sensor
+from . import hourly, sensor, studies
 
 COLS = [*INDICATORS, *[f"{i}_mean_6h" for i in INDICATORS], *[f"{i}_std_24h" for i in INDICATORS], "hour_sin", "hour_cos"]
 R = lambda *c: [F.round(x, 4).alias(x) for x in c]
@@ -33,10 +33,48 @@ def forecast_classes(spark, sf_dir):
     return learn.classify(x.where("part = 'train'"), x.where("part = 'test'"), COLS).select("model", "n", "tp", "fp", "fn", *R("accuracy"))
 
 
+def forecast_tuned(spark, sf_dir):
+    """The ridge penalty and the tree's depth, chosen by three expanding folds of the training time."""
+    x = _table(spark, sf_dir).where("part = 'train'")
+    q = x.agg(F.percentile(features.seconds("time"), [0.25, 0.5, 0.75]).alias("q")).first()["q"]
+    s, edges = features.seconds("time"), [*q, float("inf")]
+    folds = [(s < edges[k], (s >= edges[k]) & (s < edges[k + 1])) for k in range(3)]
+    grid = [(f"ridge {r}", learn.LinearRegression(featuresCol="x", labelCol="y", regParam=r, elasticNetParam=0.0)) for r in (0.1, 1.0, 10.0)]
+    grid += [(f"tree {d}", learn.DecisionTreeRegressor(featuresCol="x", labelCol="y", maxDepth=d, seed=1)) for d in (3, 6)]
+    return learn.tune(x, COLS, grid, folds).select("params", *R("cv_mae"), "chosen")
+
+
+def forecast_unseen_homes(spark, sf_dir):
+    """Ridge fitted on other homes before their cut, tested on unseen ones after it, beside persistence: a row a fold."""
+    x = _table(spark, sf_dir)
+    g = Scratch(spark, "unseen").keep(x.join(F.broadcast(studies._grouped(x, studies.FOLDS)), "home"), "table")  # one row a home
+    out = None
+    for fold in sorted(r["grp"] for r in g.select("grp").distinct().collect()):  # at most FOLDS
+        e = learn.assembled(COLS, learn.REGRESSORS["ridge"]()).fit(g.where((F.col("grp") != fold) & (F.col("part") == "train"))).transform(g.where((F.col("grp") == fold) & (F.col("part") == "test")))
+        m = e.agg(F.lit(fold).alias("fold"), F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y") - F.col("prediction"))).alias("mae"), F.avg(F.abs(F.col("y") - F.col("I"))).alias("mae_persistence"))
+        out = m if out is None else out.unionByName(m)
+    return out.select("fold", "n", *R("mae", "mae_persistence"))
+
+
+def forecast_by_indicators(spark, sf_dir):
+    """Each indicator forecast by a ridge of its own, the index computed from the five, beside the index forecast directly."""
+    x = features.targets(features.rolling(hourly.indexed(spark, sf_dir)), [*INDICATORS, "I"], (3,))
+    x = features.time_split(x).where(F.col("eligible") & F.col("part").isNotNull() & F.col("I__h3").isNotNull())
+    x = Scratch(spark, "indicators").keep(x.select("home", "time", "part", *COLS, "I", *[F.col(f"{i}__h3").alias(f"then_{i}") for i in (*INDICATORS, "I")]), "table")
+    out = x.where("part = 'test'")
+    for i in (*INDICATORS, "I"):
+        model = learn.assembled(COLS, learn.REGRESSORS["ridge"]()).fit(x.where("part = 'train'").withColumn("y", F.col(f"then_{i}")))
+        out = model.transform(out).drop("raw", "x").withColumnRenamed("prediction", f"f_{i}")
+    y = out.select("home", F.col("I").alias("now"), "then_I", F.col("f_I").alias("direct"), *[F.col(f"f_{i}").alias(i) for i in INDICATORS])
+    z = scores.with_index(y)
+    err = lambda c: F.avg(F.abs(F.col(c) - F.col("then_I")))
+    return z.groupBy("home").agg(F.count(F.lit(1)).alias("n"), err("direct").alias("mae_a"), err("I").alias("mae_b"), err("now").alias("mae_persistence")).select("home", "n", *R("mae_a", "mae_b", "mae_persistence"))
+
+
 def forecast_importance(spark, sf_dir):
     x = _table(spark, sf_dir)
     model = learn.assembled(COLS, learn.REGRESSORS["ridge"]()).fit(x.where("part = 'train'"))
-    return learn.importance(model, x.where("part = 'test'"), COLS[:5]).select("feature", *R("increase"))
+    return learn.importance(model, x.where("part = 'test'"), COLS).select("feature", *R("increase"))
 
 
 def _study(spark, sf_dir):
@@ -63,5 +101,5 @@ def fault_study_models(spark, sf_dir):
     return learn.classify(x.where(split), x.where(~split), cols).select("model", "n", "tp", "fp", "fn", *R("accuracy"))
 
 
-QUERIES = {f.__name__: f for f in (forecast_regression, forecast_classes, forecast_importance, fault_study_rules, fault_study_models)}
+QUERIES = {f.__name__: f for f in (forecast_regression, forecast_classes, forecast_tuned, forecast_unseen_homes, forecast_by_indicators, forecast_importance, fault_study_rules, fault_study_models)}
 SQL: dict[str, str] = {}

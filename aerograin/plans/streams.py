@@ -16,14 +16,16 @@ def events_stream(spark, sf_dir) -> DataFrame:
 
 def stream_sliding_means(spark, sf_dir):
     x = events_stream(spark, sf_dir).withColumn("device", F.col("user_id") % 4)
-    s = windows.sliding(x, "device", "ts", "value", "2 hours", "1 hour", "365 days")
+    s = windows.sliding(x, "device", "ts", "value", "2 hours", "1 hour", "2 hours")
     return windows.upserted(s, ["device", "window_end"], "sliding").select("device", "window_end", "n", F.round("mean", 6).alias("mean"))
 
 
 def stream_sessions(spark, sf_dir):
-    """Sessions of the batch form of the session operator (append streams hold the open ones back)."""
-    x = table(spark, sf_dir, "events")
-    return windows.sessions(x, "user_id", "ts", "6 hours", None).select("user_id", "start", "end", "n")
+    """Sessions of a real stream, two hours late at most: those the watermark has closed, and the open ones from the rows after them."""
+    closed = windows.appended(windows.sessions(events_stream(spark, sf_dir), "user_id", "ts", "6 hours", "2 hours"), "sessions")
+    until = closed.groupBy("user_id").agg(F.max("end").alias("until"))
+    rest = table(spark, sf_dir, "events").select("user_id", "ts").join(until, "user_id", "left").where("until is null or ts > until")
+    return closed.unionByName(windows.sessions(rest, "user_id", "ts", "6 hours", None)).select("user_id", "start", "end", "n")
 
 
 def stream_hampel(spark, sf_dir):

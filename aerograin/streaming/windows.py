@@ -40,7 +40,11 @@ HAMPEL = "key bigint, ts timestamp, value double, is_outlier boolean"
 
 
 def hampel_stream(df: DataFrame, window: int = 11, k: float = 3.0) -> DataFrame:
-    """key, ts, value, is_outlier for a stream (key bigint, ts, value): the last window - 1 values of each key are the state."""
+    """key, ts, value, is_outlier for a stream (key bigint, ts, value): the last window - 1 values of each key are the state.
+
+    Within a trigger a key's rows are put in order; triggers must come in order of time (a source that reads files by age
+    does). How many rows a key has in one trigger is bounded by the source's own limit on files a trigger.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = list(state.get[0]) if state.exists else []
