@@ -12,7 +12,8 @@ CLASH = ("score", "lang_pred", "copy", "position", "class", "n", "bucket", "span
 
 def rows():
     out = [(i, t, None if i % 3 == 0 else "en", None if i % 4 == 0 else f"s{i % 2}", None if t is None else len(t)) for i, t in enumerate(TEXTS)]
-    return out + [out[5], out[5]]  # repeated rows
+    none = [(None, *out[4][1:]), (None, *out[4][1:]), (None, None, None, None, None)]  # rows without a doc_id
+    return [*out, out[5], out[5], *none]  # and repeated rows
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +32,7 @@ def folders(spark, tmp_path_factory):
     return made
 
 
-SIZES = {"op2": 5, "op3": 16, "op4": 6, "op5": 16, "op7": 16, "op8": 16, "op9": 16, "op10": 16}
+SIZES = {"op2": 5, "op3": 19, "op4": 6, "op5": 19, "op7": 19, "op8": 19, "op9": 19, "op10": 19}
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -46,7 +47,19 @@ def test_edges(spark, folders, name, kind):
         got = [r for r in got if r["match_class_id"] is None]
     if op in SIZES:
         assert len(got) == SIZES[op]
+    if op == "op1":
+        assert all(0 <= r["copy"] < r["n_copies"] for r in got) and len({r["position"] for r in got}) == len(got)
+    if op == "op3":
+        assert all(0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1 for r in got)
+        assert len({r["fingerprint"] for r in got if r["doc_id"] in (5,)}) == 1
+    if op == "op7":
+        assert sum(r["n_assign"] for r in got) == 1 and sum(r["n_access"] for r in got) == 1
+    if op == "op8":
+        assert {r["doc_id"] for r in got if r["n_email"]} == {12} == {r["doc_id"] for r in got if r["n_phone"]}
+    if op == "op9":
+        assert all(r["score"] < 0 and r["n_tokens"] >= 1 for r in got) and sum(r["n_tokens"] == 1 for r in got) == 4
     if op == "op5":
+        assert [r["component_id"] for r in got if r["doc_id"] is None and r["n_shingles"]] == [4, 4]
         of = {r["doc_id"]: r["component_id"] for r in got}
         assert of[6] == of[7] == 6 and of[0] == 0 and of[1] == 1
     if op == "op6":
@@ -64,8 +77,21 @@ def test_pipeline_edges(spark, folders, kind):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{folders[kind]}/documents.parquet")
+    got = {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, folders[kind])
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns
-        assert out.count() >= 0
+        got[name] = [r.asDict() for r in out.collect()]
+    if kind == "empty":
+        assert not any(got.values())
+        return
+    ids = lambda name: sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in got[name])
+    every = sorted([*range(14), 5, 5, -1, -1, -1])
+    assert ids("language_id") == [i for i in every if i not in (0, 1, 2, 9)][1:]  # the null text without a doc_id goes too
+    assert ids("near_duplicates") == [-1, *[i for i in range(14) if i != 7]]  # 7 is 6 in other case; rows without a doc_id link with 4
+    assert ids("secret_scan") == every
+    assert {r["doc_id"] for r in got["secret_scan"] if r["text"] and "[SECRET]" in r["text"]} == {11}
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got["secret_scan"])
+    assert set(ids("source_mixing")) <= set(every)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in got["best_fit_packing"] if r["piece"] == 0) == every
