@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -27,9 +28,15 @@ def settings(spark: SparkSession, pairs: dict[str, str]):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one."""
+    """The folder named in ``spark.checkpoint.dir``; only where that is unset on one machine (tests) a temporary one.
+
+    On a cluster no machine's own folder will do, so there an unset folder is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         found = "file://" + tempfile.mkdtemp(prefix="aerograin-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
