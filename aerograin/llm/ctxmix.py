@@ -10,7 +10,7 @@ A text is coded as decisions and bits. For each token (word, or the end):
   by their counts. Four predictors give each bit a probability from counts of the training texts: no context; the word
   before; the last short word, of at most four bytes; the last two of these (contexts are hashed to 10 bits).
 * New: whether the document had this new word before (its share among them), else its bytes and an end mark bit by bit, from
-  byte contexts of order 1 to 4 inside the word and the last short word before it, hashed. The byte counts are of each
+  byte contexts of order 1 to 4 inside the word, hashed. The byte counts are of each
   document's distinct words, since a word that is new resembles rare ones.
 
 Predictions are mixed in the logistic domain. The weights are gated by the place of the bit; they start from fixed values and
@@ -22,8 +22,8 @@ probability of at most 1.
 
 What is gathered grows with the corpus: word counts are summed in hash buckets, every chunk of texts sending each of its words
 once and getting back what it needs; so are the continuations, one for each content-chosen place (one in 32) of a training
-text: the words up to the next such place, 16 bits of hash each. The context tables are of a fixed size (30 million counts),
-summed blockwise in two steps; so is what is broadcast (60 MB).
+text: the words up to the next such place, 16 bits of hash each. The context tables are of a fixed size (22 million counts),
+summed blockwise in two steps; so is what is broadcast (45 MB).
 """
 
 from __future__ import annotations
@@ -67,10 +67,10 @@ _CODES = 1 << CODE_BITS
 _CONTEXTS = 1 << CONTEXT_BITS
 END = np.uint64(0x0DDB1A5E5BAD5EED)
 #: Leaves of each table: contexts x symbols.
-TABLES = {"none": (1, _CODES), "before": (_CONTEXTS, _CODES), "short": (_CONTEXTS, _CODES), "shorts": (_CONTEXTS, _CODES), "byte1": (16384, 256), "byte2": (16384, 256), "byte3": (16384, 256), "byte4": (16384, 256), "tail": (1, 65536)}
+TABLES = {"none": (1, _CODES), "before": (_CONTEXTS, _CODES), "short": (_CONTEXTS, _CODES), "shorts": (_CONTEXTS, _CODES), "byte1": (256, 256), "byte2": (4096, 256), "byte3": (16384, 256), "byte4": (16384, 256), "tail": (1, 65536)}
 WORD_TABLES, BYTE_TABLES = ("none", "before", "short", "shorts"), ("byte1", "byte2", "byte3", "byte4")
 
-CODED = "chunk bigint, docs binary, lengths binary, held binary, sizes binary, codes binary, words binary, short binary, new_ids binary, new_ends binary, new_bytes binary, n_train bigint, bucket int, hashes binary, counts binary, offer_keys binary, offer_sums binary, offer_times binary, offer_ends binary, offer_words binary, ask_keys binary, name string, block int, low binary, high binary"
+CODED = "kind string, chunk bigint, docs binary, lengths binary, held binary, sizes binary, codes binary, words binary, short binary, new_ids binary, new_ends binary, new_bytes binary, n_train bigint, bucket int, hashes binary, counts binary, offer_keys binary, offer_sums binary, offer_times binary, offer_ends binary, offer_words binary, ask_keys binary, name string, block int, low binary, high binary"
 OFFERS = ("offer_keys", "offer_sums", "offer_times", "offer_ends", "offer_words", "ask_keys")
 CHUNK_ROW = ("docs", "lengths", "held", "sizes", "codes", "words", "short", "new_ids", "new_ends", "new_bytes")
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
@@ -102,11 +102,8 @@ def contexts(h: np.ndarray, short: np.ndarray, first: np.ndarray) -> list[np.nda
         return [np.zeros(len(h), np.int64), _hashed(before, CONTEXT_BITS), _hashed(one, CONTEXT_BITS), _hashed(mix(one) * _U(3) + two, CONTEXT_BITS)]
 
 
-def spelled(data: np.ndarray, ends: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Symbols (bytes, and a blank as end mark), their contexts for BYTE_TABLES, and the word of each; `ends` cut `data` into words.
-
-    `near` is the hash of the last short word before each: it tells the language.
-    """
+def spelled(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Symbols (bytes, and a blank as end mark), their contexts for BYTE_TABLES, and the word of each; `ends` cut `data` into words."""
     starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
     length = ends - starts + 1
     word = np.repeat(np.arange(len(ends)), length)
@@ -115,11 +112,10 @@ def spelled(data: np.ndarray, ends: np.ndarray, near: np.ndarray) -> tuple[np.nd
     symbol = np.full(len(at), 0x20, np.int64)
     symbol[at - open_at < np.repeat(length - 1, length)] = data
     back = [np.where(at - open_at >= j, np.roll(symbol, j), 0) for j in (1, 2, 3, 4)]
-    tongue = _hashed(near, 6)[word]
-    c2 = _hashed((back[0] | back[1] << 8 | tongue << 32).astype(_U), 14)
+    c2 = _hashed((back[0] | back[1] << 8).astype(_U), 12)
     c3 = _hashed((back[0] | back[1] << 8 | back[2] << 16 | 1 << 40).astype(_U), 14)
     c4 = _hashed((back[0] | back[1] << 8 | back[2] << 16 | back[3] << 24 | 2 << 40).astype(_U), 14)
-    return symbol, [back[0] | tongue << 8, c2, c3, c4], word
+    return symbol, [back[0], c2, c3, c4], word
 
 
 def taken(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,6 +199,14 @@ def read_block(low: bytes, high: bytes) -> np.ndarray:
     return part
 
 
+def squeezed(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def opened(data, size: int):
+    return pa.decompress(data, decompressed_size=size, codec="zstd")
+
+
 def planes(x: np.ndarray) -> bytes:
     """An integer array byte plane by byte plane: the high planes are nearly all zero and vanish when compressed."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
@@ -264,15 +268,15 @@ def coded(docs: DataFrame, bits: int) -> DataFrame:
             lone = np.flatnonzero(counts == 0)
             texts = [spell.get(int(x), b"") for x in words[lone]]
             yield _record(
-                chunk=[chunk], docs=[np.concatenate(held_back["docs"]).tobytes()], lengths=[lengths.astype(np.int64).tobytes()], held=[held.astype(np.uint8).tobytes()], sizes=[np.concatenate(held_back["sizes"]).astype(np.int64).tobytes()],
-                codes=[planes(rank[inverse].astype(np.uint32))], words=[words[by_rank].tobytes()], short=[np.packbits(short[where][by_rank]).tobytes()],
+                kind=["chunk"], chunk=[chunk], docs=[np.concatenate(held_back["docs"]).tobytes()], lengths=[lengths.astype(np.int64).tobytes()], held=[held.astype(np.uint8).tobytes()], sizes=[np.concatenate(held_back["sizes"]).astype(np.int64).tobytes()],
+                codes=[squeezed(planes(rank[inverse].astype(np.uint32)))], words=[words[by_rank].tobytes()], short=[np.packbits(short[where][by_rank]).tobytes()],
                 new_ids=[rank[lone].astype(np.uint32).tobytes()], new_ends=[np.cumsum([len(t) for t in texts], dtype=np.int64).tobytes()], new_bytes=[b"".join(texts)], n_train=[int(train.sum())],
             )
             bucket = (words >> _U(64 - bits)).astype(np.int64)
             edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
             has = [b for b in range(1 << bits) if edge[b] < edge[b + 1]]
             split = lambda x: [planes(x[edge[b] : edge[b + 1]]) for b in has]
-            yield _record(chunk=[chunk] * len(has), bucket=has, hashes=split(words), counts=split(counts.astype(np.uint32)))
+            yield _record(kind=["words"] * len(has), chunk=[chunk] * len(has), bucket=has, hashes=split(words), counts=split(counts.astype(np.uint32)))
             at, end, _, lead, times, key, sums, own = distinct_places(h, train, first, lengths)
             bucket = (key >> _U(64 - bits)).astype(np.int64)
             low = (h & _U(0xFFFF)).astype(np.uint16)
@@ -284,7 +288,7 @@ def coded(docs: DataFrame, bits: int) -> DataFrame:
                 for k, x in zip(rows, (int(b), key[give].tobytes(), sums[give].tobytes(), times[give].astype(np.uint32).tobytes(), ends.astype(np.uint32).tobytes(), np.concatenate(said).tobytes() if said else b"", key[ask].tobytes()), strict=True):
                     rows[k].append(x)
             if rows["bucket"]:
-                yield _record(chunk=[chunk] * len(rows["bucket"]), **rows)
+                yield _record(kind=["places"] * len(rows["bucket"]), chunk=[chunk] * len(rows["bucket"]), **rows)
             clear()
 
         clear()
@@ -301,8 +305,7 @@ def coded(docs: DataFrame, bits: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     each = w.hash[mine] + w.doc[mine].astype(_U) * GRAM_KEY[1]
                 one = mine[np.sort(np.unique(each, return_index=True)[1])]
-                near = last_short(w.hash, w.end - w.start <= SHORT, (np.cumsum(n) - n)[w.doc])[0][one]
-                symbol, ctx, _ = spelled(*taken(w.bytes, w.start[one], w.end[one]), near)
+                symbol, ctx, _ = spelled(*taken(w.bytes, w.start[one], w.end[one]))
                 for name, c in zip(BYTE_TABLES, ctx, strict=True):
                     tables.add(name, c, symbol)
             if held[w.doc].any():
@@ -329,7 +332,7 @@ def coded(docs: DataFrame, bits: int) -> DataFrame:
         rows = list(tables.rows())
         if rows:
             name, block, low, high = map(list, zip(*rows, strict=True))
-            yield _record(name=name, block=block, low=low, high=high)
+            yield _record(kind=["tables"] * len(name), name=name, block=block, low=low, high=high)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("held").alias("held")).mapInArrow(run, CODED)
 
@@ -460,7 +463,7 @@ def earlier(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def spell_cost(m: MixModel, data: np.ndarray, ends: np.ndarray, near: np.ndarray) -> np.ndarray:
+def spell_cost(m: MixModel, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Natural log of each new word's probability, its bytes bit by bit."""
     if len(ends) == 0:
         return np.zeros(0)
@@ -468,7 +471,7 @@ def spell_cost(m: MixModel, data: np.ndarray, ends: np.ndarray, near: np.ndarray
     for a in range(0, len(ends), 1 << 15):
         e = ends[a : a + (1 << 15)]
         begin = int(ends[a - 1]) if a else 0
-        symbol, ctx, word = spelled(data[begin : int(e[-1])], e - begin, near[a : a + (1 << 15)])
+        symbol, ctx, word = spelled(data[begin : int(e[-1])], e - begin)
         total = np.zeros(len(symbol), np.float32)
         for d in range(8):
             node = (1 << d) + (symbol >> (8 - d))
@@ -590,7 +593,8 @@ def score_chunk(m: MixModel, table: pa.Table, bits: int) -> pa.Table:
     """Scores of the documents of one chunk: its row of coded texts, its words' counts and the answers to its places."""
     whole = next(i for i, c in enumerate(table.column("codes")) if c.is_valid)
     read = lambda k, t: np.frombuffer(table.column(k)[whole].as_buffer(), t)
-    ids, lengths, held, sizes, codes = read("docs", np.int64), read("lengths", np.int64), read("held", np.uint8).astype(bool), read("sizes", np.int64), unplaned(read("codes", np.uint8), np.uint32).astype(np.int64)
+    ids, lengths, held, sizes = read("docs", np.int64), read("lengths", np.int64), read("held", np.uint8).astype(bool), read("sizes", np.int64)
+    codes = unplaned(opened(read("codes", np.uint8), 4 * int(lengths.sum())), np.uint32).astype(np.int64)
     h = read("words", _U)
     short = np.unpackbits(read("short", np.uint8), count=len(h)).astype(bool)
     counts = sorted((table.column("bucket")[i].as_py(), i) for i, c in enumerate(table.column("counts")) if c.is_valid)
@@ -643,8 +647,7 @@ def score_chunk(m: MixModel, table: pa.Table, bits: int) -> pa.Table:
     where = np.full(len(count), -1)
     where[new_ids] = np.arange(len(new_ids))
     told = where[codes[fresh]]
-    near = last_short(hashes, short[codes], lane_first)[0][fresh]
-    cost[fresh] += np.log(1 - repeat[fresh]) + spell_cost(m, *taken(read("new_bytes", np.uint8), (new_ends - np.diff(new_ends, prepend=0))[told], new_ends[told]), near)
+    cost[fresh] += np.log(1 - repeat[fresh]) + spell_cost(m, *taken(read("new_bytes", np.uint8), (new_ends - np.diff(new_ends, prepend=0))[told], new_ends[told]))
     score = np.add.reduceat(cost, first) / np.log(10)
     null = ids == -(2**63)
     return pa.table(
@@ -663,20 +666,22 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     scratch = Scratch(spark, "ctxmix")
     bits = max(4, (max(1, shuffle_partitions(spark)) - 1).bit_length())
     texts = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))
-    made = scratch.keep(coded(texts, bits), "coded")
-    counted = made.where(F.col("hashes").isNotNull()).select("chunk", "bucket", "hashes", "counts").groupBy("bucket").applyInArrow(word_counts, "chunk bigint, bucket int, counts binary, v bigint, v1 bigint")
+    made = scratch.keep(coded(texts, bits), "coded", "kind")
+    counted = made.where("kind = 'words'").select("chunk", "bucket", "hashes", "counts").groupBy("bucket").applyInArrow(word_counts, "chunk bigint, bucket int, counts binary, v bigint, v1 bigint")
     counts = scratch.keep(counted, "counts")
-    answers = made.where(F.col("offer_keys").isNotNull()).select("chunk", "bucket", *OFFERS).groupBy("bucket").applyInArrow(continuations, "chunk bigint, bucket int, which binary, text_ends binary, texts binary")
+    answers = made.where("kind = 'places'").select("chunk", "bucket", *OFFERS).groupBy("bucket").applyInArrow(continuations, "chunk bigint, bucket int, which binary, text_ends binary, texts binary")
     sizes = counts.agg(F.sum("v").alias("v"), F.sum("v1").alias("v1")).first()
-    n = made.agg(F.sum("n_train").alias("n")).first()["n"] or 0
+    n = made.where("kind = 'chunk'").agg(F.sum("n_train").alias("n")).first()["n"] or 0
     # Two steps: a block's rows, one a task, are summed in SUMS groups and these are summed.
     sums = "name string, block int, low binary, high binary"
-    parts = made.where(F.col("name").isNotNull()).select("name", "block", "low", "high").groupBy("name", "block", F.pmod(F.xxhash64("low"), F.lit(SUMS)).alias("part")).applyInArrow(block_sums, sums)
+    parts = made.where("kind = 'tables'").select("name", "block", "low", "high").groupBy("name", "block", F.pmod(F.xxhash64("low"), F.lit(SUMS)).alias("part")).applyInArrow(block_sums, sums)
     summed = parts.groupBy("name", "block").applyInArrow(block_sums, sums)
     leaves = {k: np.zeros(a * b, np.int64) for k, (a, b) in TABLES.items()}
     for row in summed.toLocalIterator():  # a fixed number of blocks
         part = read_block(row["low"], row["high"])
         leaves[row["name"]][row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
+    for kind in ("words", "tables"):  # summed
+        scratch.drop(f"coded/kind={kind}")
     model = build(leaves, int(n), int(sizes["v"] or 0), int(sizes["v1"] or 0))
     del leaves
     shared = spark.sparkContext.broadcast(model)
@@ -690,5 +695,5 @@ def score(docs: DataFrame, held_out) -> DataFrame:
         names = ("bucket", *CHUNK_ROW, "counts", "which", "text_ends", "texts")
         return df.select("chunk", *[F.col(c) if c in has else F.lit(None).cast("int" if c == "bucket" else "binary").alias(c) for c in names])
 
-    together = rows(made.where(F.col("codes").isNotNull()), *CHUNK_ROW).union(rows(counts.where(F.col("chunk").isNotNull()), "bucket", "counts")).union(rows(answers, "bucket", "which", "text_ends", "texts"))
+    together = rows(made.where("kind = 'chunk'"), *CHUNK_ROW).union(rows(counts.where(F.col("chunk").isNotNull()), "bucket", "counts")).union(rows(answers, "bucket", "which", "text_ends", "texts"))
     return together.groupBy("chunk").applyInArrow(run, SCORED)
