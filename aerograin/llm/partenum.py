@@ -11,10 +11,14 @@ A document is the set of its 5-word shingles (64-bit hashes); equal sets are one
    every pair of sub-parts of every part (the enumerated subsets), and linked sets share a signature. A signature of no
    element would be shared by many; it is left out where more parts must agree than the set has parts with such a
    signature, else given. Sets of up to 48 shingles (and those up to 64, their possible partners) would have too many empty
-   parts: they partition the domain into single elements and sign the floor(size / 4) + 1 smallest, one of which is common.
-3. Verification. Classes that share a signature are joined in candidate groups (stars over each signature, then connected
-   components): linked classes are always in one group. Groups are cut into packs of about `PACK` classes of like size, and
-   packs whose sizes can link are compared pack by pack, each class with each, in one vectorised count of common elements.
+   parts: they partition the domain into single elements and sign the 2 floor(size / 4) + 1 smallest.
+3. Candidates. Linked sets share many parts, not one: a pair is a candidate where its common signatures are as many as linked
+   sets of these sizes must have. Signatures of more than `FREQUENT` classes (passages that many texts have) give no pairs;
+   a set's parts with such a signature are taken off what its pairs must share, and sets left with nothing to share make
+   stars over all their signatures. Exact, and a passage that all texts have does not join them in one group.
+4. Verification. Candidates are joined in groups (connected components): linked classes are always in one group. Groups are
+   cut into packs of about `PACK` classes of like size (fewer of long ones), and packs whose sizes can link are compared
+   pack by pack, each class with each, in one vectorised count of common elements; a large group's packs are dealt in tiles.
    A pair of packs gives a spanning forest of its links, never its pairs; no class is left out, whatever a group's size.
 
 Signatures travel as packed blocks, one per (chunk, bucket); within a chunk a shingle known by two classes is sent twice at
@@ -33,9 +37,14 @@ from .arrays import U64, Words, blocks, mix, word_grams
 
 K_WORDS = 5
 TINY = 48
-PACK = 64
+PACK = 256
+PACK_SHINGLES = 1 << 17
+TILE = 8
 SPARE = 0.5
 CHUNK = 1 << 20
+FREQUENT = 32
+OWN, UPPER, LOWER, SINGLE = 0, 1, 2, 3
+PAIR = 4
 
 _U = np.uint64
 BLOCKS = "bucket int, keys binary, owner binary, classes binary, flags binary, counts binary"
@@ -70,33 +79,50 @@ def set_hash(gram: np.ndarray, doc: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.where(size == 0, _U(0), mix(total + size * _U(0xD6E8FEB86659FD93)) | _U(1))
 
 
+def parts_of(k):
+    """n1, the number of parts of a rendezvous with bound k on |A Δ B|."""
+    return np.ceil((k // 2 + 1) * (1 + SPARE)).astype(np.int64)
+
+
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(set number, signature) of all signatures of the sets (sorted distinct shingles each)."""
+    return signed(sets)[:2]
+
+
+def signed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set number, signature, slot) of all signatures of the sets, and for each set and slot the parts with an empty signature.
+
+    A slot is what a set is in a rendezvous: OWN where its band meets itself, UPPER where its band meets the one below, LOWER
+    where it meets the one above, SINGLE where elements are signed one by one.
+    """
     who: list[np.ndarray] = []
     sigs: list[np.ndarray] = []
-    sizes = np.array([len(s) for s in sets])
+    slots: list[np.ndarray] = []
+    bare = np.zeros((len(sets), 4), np.int64)
+    sizes = np.array([len(s) for s in sets], np.int64)
     for i in np.flatnonzero((sizes > 0) & (sizes <= 4 * TINY // 3)):
-        prefix = sets[i][: sizes[i] // 4 + 1]
+        prefix = sets[i][: 2 * (sizes[i] // 4) + 1]
         who.append(np.full(len(prefix), i))
         sigs.append(mix(prefix ^ _U(0x5157_0000_0000_0001)))
+        slots.append(np.full(len(prefix), SINGLE, np.uint8))
     table = bands(int(sizes.max(initial=0)) * 4 // 3 + 1)
     for j, (lo, hi) in enumerate(table):
         own = np.flatnonzero((sizes >= lo) & (sizes <= hi))
         if len(own):
-            _sign(sets, sizes, own, 2 * j, 2 * hi // 7, hi, who, sigs)
+            _sign(sets, sizes, own, 2 * j, 2 * hi // 7, hi, who, sigs, slots, bare)
         if j:
             below, top = table[j - 1]
             both = np.flatnonzero((sizes >= below) & (sizes <= hi))
             if len(both):
-                _sign(sets, sizes, both, 2 * j + 1, (top + hi) // 7, hi, who, sigs, top)
+                _sign(sets, sizes, both, 2 * j + 1, (top + hi) // 7, hi, who, sigs, slots, bare, top)
     if not who:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
-    return np.concatenate(who), np.concatenate(sigs)
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.uint8), bare
+    return np.concatenate(who), np.concatenate(sigs), np.concatenate(slots), bare
 
 
-def _sign(sets, sizes, chosen, space: int, k: int, hi: int, who: list, sigs: list, top: int | None = None) -> None:
+def _sign(sets, sizes, chosen, space: int, k: int, hi: int, who: list, sigs: list, slots: list, bare_parts: np.ndarray, top: int | None = None) -> None:
     """Signatures of one rendezvous; `top` is the upper end of the lower band where two bands meet."""
-    n1 = int(np.ceil((k // 2 + 1) * (1 + SPARE)))
+    n1 = int(parts_of(k))
     salt = mix(np.array([space * 1_000_003 + 77], _U))[0]
     elements = np.concatenate([sets[i] for i in chosen])
     owner = np.repeat(np.arange(len(chosen)), sizes[chosen])
@@ -114,15 +140,42 @@ def _sign(sets, sizes, chosen, space: int, k: int, hi: int, who: list, sigs: lis
     label = np.arange(n1 * 3, dtype=_U).reshape(1, n1, 3)
     sig = mix(pair + size.astype(_U) * _U(0xC2B2AE3D27D4EB4F) + mix(label + salt))
     mine = sizes[chosen]
-    partner = np.minimum(hi, 4 * mine // 3)
-    if top is not None:  # a set of the upper band meets the lower one here
-        partner = np.where(mine > top, np.minimum(top, mine), partner)
-    must = n1 - (mine + partner) // 7 // 2
+    slot = np.full(len(chosen), OWN, np.uint8) if top is None else np.where(mine > top, UPPER, LOWER).astype(np.uint8)
     bare = (size == 0).any(axis=2).sum(axis=1)
-    give = (size > 0) | (bare >= must)[:, None, None]
+    bare_parts[chosen, slot] = bare
+    give = (size > 0) | (bare >= least_shared(mine)[np.arange(len(mine)), slot])[:, None, None]
     at = np.nonzero(give)
     who.append(chosen[at[0]])
     sigs.append(sig[at])
+    slots.append(slot[at[0]])
+
+
+def band_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band number of each size (-1 up to TINY), and the lower and upper end of the band."""
+    table = np.array([(1, TINY), *bands(int(np.max(n, initial=0)))], np.int64)
+    at = np.searchsorted(table[:, 1], n)
+    return at - 1, table[at, 0], table[at, 1]
+
+
+def shared_parts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many parts agree at least (single elements: how many of both prefixes are common) of linked sets of sizes a and b.
+
+    Prefixes of floor(n / 4) + l elements have l in common where three quarters of the set are; here l is floor(n / 4) + 1.
+    """
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    hi = band_of(high)[2]
+    top = band_of(low)[2]
+    return np.where(low <= TINY, low // 4 + 1, parts_of((top + hi) // 7) - (a + b) // 7 // 2)
+
+
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """The least of `shared_parts` over all partners of a set of size n, for each slot."""
+    band, lo, hi = band_of(n)
+    most = 4 * n // 3
+    own = shared_parts(n, np.minimum(hi, most))
+    above = np.maximum(hi + 1, np.minimum(4 * (hi + 1) // 3, most))
+    below = np.maximum(lo - 1, 1)
+    return np.stack([own, shared_parts(n, below), shared_parts(n, above), (3 * n + 3) // 4 // 4 + 1], axis=1)
 
 
 def packed(bucket_bits: int, keys: np.ndarray, owner: np.ndarray, classes: np.ndarray, flag: np.ndarray, counts: bytes, turn: int):
@@ -288,37 +341,159 @@ def candidate_sets(docs: DataFrame, of: DataFrame, repeats: bool) -> DataFrame:
     return sets.dropDuplicates(["class"]) if repeats else sets
 
 
-def candidate_links(sets: DataFrame) -> DataFrame:
-    """a, b: for each signature, its smallest class with each other one (repeats within a bucket removed)."""
-    bits = max(3, bucket_bits_for(sets) - 4)
+SIGNED = "bucket int, keys binary, owner binary, classes binary, about binary"
 
-    def emit(batches):
-        held, classes, size, turn = [], [], 0, 0
+
+def emitted(sets: DataFrame, bits: int) -> DataFrame:
+    """Rows of SIGNED: the signatures of `sets` (class, shingles, and slots: a bit for each slot to sign in) by bucket.
+
+    `about` has of each owner 4 * its size + the slot it signs in.
+    """
+
+    def run(batches):
+        held, classes, wanted, size = [], [], [], 0
 
         def flush():
-            who, sig = signatures(held)
-            pairs = np.unique(np.stack([sig, who.astype(_U)], axis=1), axis=0) if len(sig) else np.zeros((0, 2), _U)
-            return packed(bits, pairs[:, 0].copy(), pairs[:, 1].astype(np.int64), np.array(classes, _U), np.zeros(len(pairs), bool), b"", turn)
+            who, sig, slot, _ = signed(held)
+            of = (np.array(wanted)[who] >> slot) & 1 == 1
+            who, sig, slot = who[of], sig[of], slot[of]
+            own = who.astype(np.int64) * 4 + slot
+            order = np.lexsort((own, sig))
+            own, sig = own[order], sig[order]
+            keep = np.ones(len(sig), bool)
+            keep[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
+            own, sig = own[keep], sig[keep]
+            bucket = (sig >> _U(64 - bits)).astype(np.int32)
+            low = ((sig << _U(bits)) >> _U(32)).astype(np.uint32)
+            table = np.array(classes, _U)
+            about = 4 * np.repeat([len(h) for h in held], 4) + np.tile(np.arange(4), len(held))
+            edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+            rows: list[list] = [[] for _ in range(5)]
+            for b in np.flatnonzero(edge[1:] > edge[:-1]):
+                present, local = np.unique(own[edge[b] : edge[b + 1]], return_inverse=True)
+                for column, value in zip(rows, (int(b), low[edge[b] : edge[b + 1]].tobytes(), local.astype(np.uint32).tobytes(), table[present // 4].tobytes(), about[present].astype(np.int64).tobytes()), strict=True):
+                    column.append(value)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "keys", "owner", "classes", "about"])
 
         for batch in batches:
-            for c, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for c, x, w in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 classes.append(c & (2**64 - 1))
-                held.append(np.frombuffer(s.as_py(), _U))
+                held.append(np.frombuffer(x.as_py(), _U))
+                wanted.append(w)
                 size += len(held[-1])
                 if size >= CHUNK // 4:
                     yield flush()
-                    held, classes, size, turn = [], [], 0, turn + 1
+                    held, classes, wanted, size = [], [], [], 0
         if held:
             yield flush()
 
+    return sets.select("class", "shingles", "slots").mapInArrow(run, SIGNED)
+
+
+def entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, class, size, slot) of the signatures of a bucket, sorted by key and class."""
+    keys, classes, about = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, o, c, a in zip(*(table.column(n) for n in ("keys", "owner", "classes", "about")), strict=True):
+        at = np.frombuffer(o.as_py(), np.uint32)
+        keys.append(np.frombuffer(k.as_py(), np.uint32))
+        classes.append(np.frombuffer(c.as_py(), np.int64)[at])
+        about.append(np.frombuffer(a.as_py(), np.int64)[at])
+    key, cls, about = map(np.concatenate, (keys, classes, about))
+    order = np.lexsort((cls, key))
+    key, cls, about = key[order], cls[order], about[order]
+    return key, cls, about // 4, (about % 4).astype(np.int8)
+
+
+def common_signatures(key: np.ndarray, cls: np.ndarray, n: np.ndarray, slot: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted entries: pairs (a < b) of classes that share signatures of at most `frequent` entries where they are to meet,
+    how many, and for each class and slot (class, slot, count) its signatures of more entries, as (kind or slot, a, b, count):
+    kind PAIR is a pair; the other kinds are slots, with a = b."""
+    first, size = groups(key)
+    band = band_of(n)[0]
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for m in range(2, frequent + 1):
+        of = first[size == m]
+        i, j = np.triu_indices(m, 1)
+        step = max(1, (1 << 20) // len(i))
+        for at in range(0, len(of), step):
+            x = (of[at : at + step, None] + i).ravel()
+            y = (of[at : at + step, None] + j).ravel()
+            low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            inside = (slot[x] == slot[y]) & np.where(low <= TINY, slot[x] == SINGLE, (slot[x] == OWN) & (band[x] == band[y]))
+            across = (slot[x] != slot[y]) & np.isin(slot[x], (UPPER, LOWER)) & np.isin(slot[y], (UPPER, LOWER)) & (low > TINY)
+            ok = (4 * low >= 3 * high) & (inside | across) & (cls[x] != cls[y])
+            out_a.append(cls[x[ok]])
+            out_b.append(cls[y[ok]])
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    many = np.repeat(size > frequent, size)
+    kind = np.concatenate([np.full(len(a), PAIR, np.int8), slot[many]])
+    a, b = np.concatenate([a, cls[many]]), np.concatenate([b, cls[many]])
+    order = np.lexsort((b, a, kind))
+    kind, a, b = kind[order], a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.flatnonzero(new)
+    return kind[at], a[at], b[at], np.diff(np.append(at, len(a)))
+
+
+def candidate_links(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b: pairs of classes that share as many parts as linked ones must, and stars of those met only by frequent signatures.
+
+    A signature of more than FREQUENT classes gives no pairs. `lost` are the parts in which a set has such a signature or an
+    empty one: linked sets share `shared_parts`, of which at least shared_parts - min(lost) show up as common signatures. Where
+    that leaves none for both sets (lost >= least_shared), both are in `heavy`, whose signatures make stars, frequent or not, in
+    the slots where it is so.
+    """
+    bits = max(3, bucket_bits_for(sets) - 3)
+
     def match(table: pa.Table) -> pa.Table:
-        key, cls, _ = unpacked(table)
+        kind, a, b, n = common_signatures(*entries(table), FREQUENT)
+        return pa.table({"kind": pa.array(kind.astype(np.int32)), "a": pa.array(a), "b": pa.array(b), "n": pa.array(n.astype(np.int64))})
+
+    met = scratch.keep(emitted(sets.withColumn("slots", F.lit(15)), bits).groupBy("bucket").applyInArrow(match, "kind int, a bigint, b bigint, n bigint"), "met")
+    frequent = met.where(F.col("kind") < PAIR).groupBy(F.col("a").alias("class")).agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"f{k}") for k in range(4)])
+
+    def losses(batches):
+        for batch in batches:
+            held = [np.frombuffer(x.as_py(), _U) for x in batch.column(2)]
+            n = batch.column(1).to_numpy()
+            lost = signed(held)[3] + np.stack([batch.column(c).to_numpy() for c in (3, 4, 5, 6)], axis=1)
+            heavy = ((lost >= least_shared(n)) << np.arange(4)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(lost[:, k]) for k in range(4)], pa.array(heavy.astype(np.int32))], ["class", "n", "l0", "l1", "l2", "l3", "heavy"])
+
+    told = sets.join(frequent, "class", "left").select("class", "n", "shingles", *[F.coalesce(f"f{k}", F.lit(0)).cast("bigint").alias(f"f{k}") for k in range(4)])
+    lost = scratch.keep(told.mapInArrow(losses, "class bigint, n bigint, l0 bigint, l1 bigint, l2 bigint, l3 bigint, heavy int"), "lost")
+
+    def enough(batches):
+        for batch in batches:
+            a, b, n, na, nb = (batch.column(c).to_numpy() for c in range(5))
+            la, lb = (np.stack([batch.column(c).to_numpy() for c in range(5 + x, 9 + x)], axis=1) for x in (0, 4))
+            across, inside = band_of(na)[0] != band_of(nb)[0], np.where(np.minimum(na, nb) <= TINY, SINGLE, OWN)
+            sa, sb = (np.where((inside == OWN) & across, np.where(x > y, UPPER, LOWER), inside) for x, y in ((na, nb), (nb, na)))
+            at = np.arange(len(n))
+            ok = n >= shared_parts(na, nb) - np.minimum(la[at, sa], lb[at, sb])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]).filter(pa.array(ok))
+
+    pairs = met.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    side = lambda x: lost.select(F.col("class").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "l0", "l1", "l2", "l3")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n", "na", "nb", "l0a", "l1a", "l2a", "l3a", "l0b", "l1b", "l2b", "l3b")
+    light = both.mapInArrow(enough, "a bigint, b bigint")
+
+    def star(table: pa.Table) -> pa.Table:
+        key, cls, _, slot = entries(table)
         first, size = groups(key)
-        star = np.unique(np.stack([np.repeat(cls[first], size), cls], axis=1), axis=0) if len(key) else np.zeros((0, 2), _U)
-        star = star[star[:, 0] != star[:, 1]]
-        return pa.table({"a": pa.array(star[:, 0].copy().view(np.int64)), "b": pa.array(star[:, 1].copy().view(np.int64))})
+        edges = []
+        for one, other in ((OWN, OWN), (SINGLE, SINGLE), (UPPER, LOWER), (LOWER, UPPER)):  # the first of a kind with all whom it may meet
+            least = np.minimum.reduceat(np.where(slot == one, np.arange(len(key)), len(key)), first) if len(key) else first
+            hub = np.repeat(least, size)
+            ok = (slot == other) & (hub < len(key))
+            edges.append(np.stack([cls[hub[ok]], cls[ok]], axis=1))
+        edges = np.unique(np.sort(np.concatenate(edges), axis=1), axis=0)
+        edges = edges[edges[:, 0] != edges[:, 1]]
+        return pa.table({"a": pa.array(edges[:, 0].copy()), "b": pa.array(edges[:, 1].copy())})
 
-    return sets.select("class", "shingles").mapInArrow(emit, BLOCKS).groupBy("bucket").applyInArrow(match, "a bigint, b bigint")
+    heavy = sets.join(lost.where("heavy > 0").select("class", F.col("heavy").alias("slots")), "class")
+    return light.union(emitted(heavy, bits).groupBy("bucket").applyInArrow(star, "a bigint, b bigint").distinct())
 
 
 PACKS = "grp bigint, band int, sub int, classes binary, sizes binary, shingles binary"
@@ -337,8 +512,8 @@ def packs(sets: DataFrame, grouped: DataFrame) -> DataFrame:
     of = grouped.select(F.col("node").alias("class"), F.col("root").alias("grp"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.15))).cast("int")
     inside = sets.join(of, "class").withColumn("band", band)
-    sizes = inside.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("_size"))
-    cut = inside.join(sizes, ["grp", "band"]).withColumn("sub", F.pmod(F.xxhash64("class"), F.ceil(F.col("_size") / PACK)).cast("int"))
+    sizes = inside.groupBy("grp", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / PACK, F.sum("n") / PACK_SHINGLES)).alias("_cuts"))
+    cut = inside.join(sizes, ["grp", "band"]).withColumn("sub", F.pmod(F.xxhash64("class"), F.col("_cuts")).cast("int"))
     # dealt anew by pack: the counts left the rows dealt by group and band, where one group may be most of the table
     return cut.select("class", "n", "shingles", "grp", "band", "sub").repartition("grp", "band", "sub").groupBy("grp", "band", "sub").applyInArrow(run, PACKS)
 
@@ -392,10 +567,13 @@ def links_within(made: DataFrame) -> DataFrame:
                 rows += forest(tuple(cell[:3]), tuple(cell[3:]))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64())], ["a", "b"])
 
-    one = made.select("grp", *[F.col(c).alias(f"{c}1") for c in ("band", "sub", "classes", "sizes", "shingles")])
-    two = made.select("grp", *[F.col(c).alias(f"{c}2") for c in ("band", "sub", "classes", "sizes", "shingles")])
+    # A group of many packs is dealt out by tiles of about TILE x TILE packs: a pair of packs meets in one tile, whichever comes first.
+    wide = made.groupBy("grp").agg(F.count(F.lit(1)).alias("_packs")).where(F.col("_packs") > TILE)
+    dealt = made.join(wide, "grp", "left").withColumn("_side", F.coalesce(F.ceil(F.col("_packs") / TILE), F.lit(1)).cast("int"))
+    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64("band", "sub"), F.col("_side")).cast("int")).withColumn("_other", F.explode(F.expr("sequence(0, _side - 1)")))
+    side = lambda n, row, column: dealt.select("grp", F.col(row).alias("_row"), F.col(column).alias("_column"), *[F.col(c).alias(f"{c}{n}") for c in ("band", "sub", "classes", "sizes", "shingles")])
     near = (F.col("band2") <= F.col("band1") + 3) & ((F.col("band1") < F.col("band2")) | ((F.col("band1") == F.col("band2")) & (F.col("sub1") <= F.col("sub2"))))
-    pairs = one.join(two, "grp").where(near)
+    pairs = side(1, "_own", "_other").join(side(2, "_other", "_own"), ["grp", "_row", "_column"]).where(near)
     return pairs.select("classes1", "sizes1", "shingles1", "classes2", "sizes2", "shingles2").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -436,10 +614,11 @@ class Groups:
         classes = scratch.keep(rows.where("class <> 0").groupBy("class").agg(F.min(standing()).alias("first"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n_copies")), "classes")
         likely = classes.join(shared_shingles(docs), "class").where(4 * F.col("n_shared") >= 3 * F.col("n_shingles")).select("class", "first", "n_shingles")
         sets = scratch.keep(candidate_sets(docs, likely, self.repeats), "sets")
-        stars = scratch.keep(candidate_links(sets).distinct(), "stars")
+        stars = scratch.keep(candidate_links(sets, scratch), "stars")
+        scratch.drop("met")
         grouped = components(stars, scratch, "candidates")
         made = scratch.keep(packs(sets, grouped), "packs")
-        with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "16"}):  # a row holds two packs
+        with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "8"}):  # a row holds two packs
             links = scratch.keep(links_within(made).distinct(), "links")
         scratch.drop("packs")
         roots = components(links, scratch, "groups")

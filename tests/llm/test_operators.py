@@ -707,3 +707,72 @@ def test_op10_draws_the_smallest_of_each_label(spark):
     for r in langid.drawn(df, 50).collect():
         got[r["label"]].add(r["draw"])
     assert got == {k: set(sorted(v)[:50]) for k, v in want.items()}
+
+
+def _boilerplate_sets(rng, n_texts, size, common):
+    """Sorted sets of `size` elements: two near copies of each text (links), all texts with `common` elements of one passage."""
+    passage = rng.integers(1, 2**63, common, dtype=np.uint64)
+    out = []
+    for _ in range(n_texts):
+        own = rng.integers(1, 2**63, size - common, dtype=np.uint64)
+        near = own.copy()
+        near[: size // 20] = rng.integers(1, 2**63, size // 20, dtype=np.uint64)
+        out += [np.unique(np.concatenate([x, passage])) for x in (own, near)]
+    return out
+
+
+@pytest.mark.parametrize("size, common", [(40, 10), (60, 6), (200, 40), (420, 90), (200, 140)])
+def test_op5_a_common_passage_makes_no_large_group(spark, size, common):
+    from aerograin.llm import partenum
+    from aerograin.session import Scratch
+
+    sets = _boilerplate_sets(np.random.default_rng(size + common), 120, size, common)
+    rows = [(i + 1, len(x), x.tobytes()) for i, x in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "class bigint, n bigint, shingles binary").repartition(3)
+    scratch = Scratch(spark, "test")
+    found = partenum.components(partenum.candidate_links(frame, scratch), scratch, "candidates")
+    group = {r["node"]: r["root"] for r in found.collect()}
+    links = [(i + 1, j + 1) for i in range(len(sets)) for j in range(i) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - both)]
+    assert len(links) >= 120 and all(group[i] == group[j] for i, j in links)  # exact, against all pairs
+    if common <= size / 4:  # one group of all texts before
+        assert max(list(group.values()).count(g) for g in set(group.values())) <= 24
+
+
+def test_op5_least_shared_holds_for_all_partners():
+    from aerograin.llm import partenum as p
+
+    n = np.arange(1, 700)
+    least, band = p.least_shared(n), p.band_of(n)[0]
+    for i, a in enumerate(n):
+        b = np.arange(-(-3 * a // 4), 4 * a // 3 + 1)
+        b = b[b >= 1]
+        must, across = p.shared_parts(np.full(len(b), a), b), (p.band_of(b)[0] != band[i]) & (np.minimum(a, b) > p.TINY)
+        slot = np.where(np.minimum(a, b) <= p.TINY, p.SINGLE, np.where(across, np.where(a > b, p.UPPER, p.LOWER), p.OWN))
+        assert (must >= 1).all() and (must >= least[i, slot]).all()
+
+
+def test_op5_a_large_group_is_dealt_in_tiles(spark, monkeypatch):
+    from aerograin.llm import partenum as p
+
+    monkeypatch.setattr(p, "PACK", 4)
+    monkeypatch.setattr(p, "TILE", 2)
+    rng = np.random.default_rng(3)
+    whole = rng.integers(1, 2**63, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([whole[: 100 - k], rng.integers(1, 2**63, k, dtype=np.uint64)])) for k in rng.integers(5, 25, 60)]
+    frame = spark.createDataFrame([(i, len(x), x.tobytes()) for i, x in enumerate(sets)], "class bigint, n bigint, shingles binary")
+    made = p.packs(frame, frame.selectExpr("class as node", "0L as root")).cache()
+    assert made.count() > 8
+    root = list(range(60))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for r in p.links_within(made).collect():
+        root[find(r["b"])] = find(r["a"])
+    for i in range(60):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                assert find(i) == find(j)
