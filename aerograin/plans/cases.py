@@ -276,7 +276,8 @@ def stream_stale_outdoor(spark, sf_dir):
     e = evaluation_stream(spark, sf_dir).select((F.col("user_id") % 4).alias("device"), "ts", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("back"))
     e = e.withColumn("slot", F.floor(hour("ts") / 3600) - F.col("back"))
     got = e.join(out.withColumn("slot", F.floor(hour("out_time") / 3600)), ["device", "slot"], "left")
-    got = got.where("out_time <= ts").select("device", "ts", (hour("ts") - hour("out_time")).alias("age_s"))
+    second = lambda c: F.rint(F.unix_micros(F.col(c).cast("timestamp")) / 1e6).cast("bigint")  # noqa: E731  nearest, ties to even, as in the SQL
+    got = got.where("out_time <= ts").select("device", "ts", (second("ts") - second("out_time")).alias("age_s"))
     rows = streams.appended(got, "stale")
     best = rows.groupBy("device", "ts").agg(F.min("age_s").alias("age_s"))
     n = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("device"), "ts").distinct().groupBy("device").agg(F.count(F.lit(1)).alias("n"))

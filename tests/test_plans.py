@@ -85,6 +85,17 @@ def test_continuity(spark, sf):
     assert rows(spark, sf, "continuity_smoothness")
 
 
+def test_stale_outdoor_rounds_seconds_as_its_sql(spark, tmp_path):
+    """Ages of 7200 s and a part of a second: the only reading of each home is at 00:00, the events come at 02:00."""
+    con = duckdb.connect()
+    con.execute(f"""copy (select i::bigint as event_id, timestamp '2024-01-01 02:00:00' + to_milliseconds([0, 600, 499, 501][i + 1]) as ts, i::bigint as user_id,
+        'view' as event_type, 1.0::double as value, '' as props from range(4) t(i)) to '{tmp_path}/events.parquet' (format parquet)""")
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet')")
+    want = con.execute(SQL["stream_stale_outdoor"]).df()
+    assert sorted(want["n_stale"]) == [0, 0, 1, 1]
+    pd.testing.assert_frame_equal(normal(QUERIES["stream_stale_outdoor"](spark, str(tmp_path)).toPandas()), normal(want), check_dtype=False)
+
+
 def test_what_has_no_sql_is_tested_here():
     assert set(QUERIES) - set(SQL) == {"forecast_regression", "forecast_classes", "forecast_tuned", "forecast_unseen_homes", "forecast_by_indicators", "forecast_importance", "fault_study_rules", "fault_study_models", "continuity_summary", "continuity_smoothness"}
 
