@@ -177,3 +177,28 @@ def test_op3_an_id_in_most_rows_is_split(spark):
     got = winnowing.compare(docs, 20).collect()
     assert len(got) == 1300
     assert sum(r["doc_id"] is None and r["near_next"] == 1.0 for r in got) >= 599
+
+
+def test_pipeline_near_duplicates_of_texts_with_one_passage(spark, monkeypatch):
+    """Near copies of 60 texts that all have one passage: no group of all of them is compared, and one of each two stays."""
+    import random
+
+    import corpus_pipeline
+    from aerograin.llm import partenum
+
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, rows = words(44), []
+    for i in range(60):
+        own = words(160)
+        rows += [(2 * i, " ".join(own + passage)), (2 * i + 1, " ".join([*own[:80], "other", *own[81:], *passage]))]
+    seen, packs = [], partenum.packs
+
+    def spy(sets, grouped):
+        seen.append(grouped.groupBy("root").count().agg(F.max("count")).first()[0])
+        return packs(sets, grouped)
+
+    monkeypatch.setattr(partenum, "packs", spy)
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2 * i for i in range(60)]
+    assert seen[0] <= 24
