@@ -13,9 +13,11 @@ A document is the set of its 5-word shingles (64-bit hashes); equal sets are one
    signature, else given. Sets of up to 48 shingles (and those up to 64, their possible partners) would have too many empty
    parts: they partition the domain into single elements and sign the 2 floor(size / 4) + 1 smallest.
 3. Candidates. Linked sets share many parts, not one: a pair is a candidate where its common signatures are as many as linked
-   sets of these sizes must have. Signatures of more than `FREQUENT` classes (passages that many texts have) give no pairs;
-   a set's parts with such a signature are taken off what its pairs must share, and sets left with nothing to share make
-   stars over all their signatures. Exact, and a passage that all texts have does not join them in one group.
+   sets of these sizes must have. Pairs of a class and a hub of its signatures are counted first and give each class a label;
+   what is left is counted as a class and a label, so rows grow with a group of near copies and not with its pairs.
+   Signatures of more than `FREQUENT` classes (passages that many texts have) are not counted; a set's parts with such a
+   signature are taken off what its pairs must share, and sets left with nothing to share make stars over all their
+   signatures. Exact, and a passage that all texts have does not join them in one group.
 4. Verification. Candidates are joined in groups (connected components): linked classes are always in one group. Groups are
    cut into packs of about `PACK` classes of like size (fewer of long ones), and packs whose sizes can link are compared
    pack by pack, each class with each, in one vectorised count of common elements; a large group's packs are dealt in tiles.
@@ -44,7 +46,7 @@ SPARE = 0.5
 CHUNK = 1 << 20
 FREQUENT = 32
 OWN, UPPER, LOWER, SINGLE = 0, 1, 2, 3
-PAIR = 4
+PARTNER = [OWN, LOWER, UPPER, SINGLE]
 
 _U = np.uint64
 BLOCKS = "bucket int, keys binary, owner binary, classes binary, flags binary, counts binary"
@@ -341,17 +343,17 @@ def candidate_sets(docs: DataFrame, of: DataFrame, repeats: bool) -> DataFrame:
     return sets.dropDuplicates(["class"]) if repeats else sets
 
 
-SIGNED = "bucket int, keys binary, owner binary, classes binary, about binary"
+SIGNED = "bucket int, keys binary, owner binary, classes binary, about binary, labels binary"
 
 
 def emitted(sets: DataFrame, bits: int) -> DataFrame:
-    """Rows of SIGNED: the signatures of `sets` (class, shingles, and slots: a bit for each slot to sign in) by bucket.
+    """Rows of SIGNED: the signatures of `sets` (class, shingles, slots: a bit for each slot to sign in, and label) by bucket.
 
-    `about` has of each owner 4 * its size + the slot it signs in.
+    `about` has of each owner 4 * its size + the slot it signs in, `labels` its label and how many classes have that label.
     """
 
     def run(batches):
-        held, classes, wanted, size = [], [], [], 0
+        held, classes, wanted, labels, size = [], [], [], [], 0
 
         def flush():
             who, sig, slot, _ = signed(held)
@@ -365,52 +367,91 @@ def emitted(sets: DataFrame, bits: int) -> DataFrame:
             own, sig = own[keep], sig[keep]
             bucket = (sig >> _U(64 - bits)).astype(np.int32)
             low = ((sig << _U(bits)) >> _U(32)).astype(np.uint32)
-            table = np.array(classes, _U)
+            table, label = np.array(classes, np.int64), np.array(labels, np.int64)
             about = 4 * np.repeat([len(h) for h in held], 4) + np.tile(np.arange(4), len(held))
             edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-            rows: list[list] = [[] for _ in range(5)]
+            rows: list[list] = [[] for _ in range(6)]
             for b in np.flatnonzero(edge[1:] > edge[:-1]):
                 present, local = np.unique(own[edge[b] : edge[b + 1]], return_inverse=True)
-                for column, value in zip(rows, (int(b), low[edge[b] : edge[b + 1]].tobytes(), local.astype(np.uint32).tobytes(), table[present // 4].tobytes(), about[present].astype(np.int64).tobytes()), strict=True):
+                for column, value in zip(rows, (int(b), low[edge[b] : edge[b + 1]].tobytes(), local.astype(np.uint32 if len(present) > 65535 else np.uint16).tobytes(), table[present // 4].tobytes(), about[present].astype(np.int64).tobytes(), label[present // 4].tobytes()), strict=True):
                     column.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "keys", "owner", "classes", "about"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), *[pa.binary()] * 5), strict=True)], ["bucket", "keys", "owner", "classes", "about", "labels"])
 
         for batch in batches:
-            for c, x, w in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                classes.append(c & (2**64 - 1))
+            for c, x, w, *g in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                classes.append(c)
                 held.append(np.frombuffer(x.as_py(), _U))
                 wanted.append(w)
+                labels.append(g)
                 size += len(held[-1])
                 if size >= CHUNK // 4:
                     yield flush()
-                    held, classes, wanted, size = [], [], [], 0
+                    held, classes, wanted, labels, size = [], [], [], [], 0
         if held:
             yield flush()
 
-    return sets.select("class", "shingles", "slots").mapInArrow(run, SIGNED)
+    return sets.select("class", "shingles", "slots", "label", "alike").mapInArrow(run, SIGNED)
 
 
-def entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, class, size, slot) of the signatures of a bucket, sorted by key and class."""
-    keys, classes, about = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, o, c, a in zip(*(table.column(n) for n in ("keys", "owner", "classes", "about")), strict=True):
-        at = np.frombuffer(o.as_py(), np.uint32)
+def entries(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(key, class, size, slot, label, classes of that label) of the signatures of a bucket, sorted by key and class."""
+    keys, classes, about, labels = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
+    for k, o, c, a, g in zip(*(table.column(n) for n in ("keys", "owner", "classes", "about", "labels")), strict=True):
+        own = np.frombuffer(c.as_py(), np.int64)
+        at = np.frombuffer(o.as_py(), np.uint32 if len(own) > 65535 else np.uint16)
         keys.append(np.frombuffer(k.as_py(), np.uint32))
-        classes.append(np.frombuffer(c.as_py(), np.int64)[at])
+        classes.append(own[at])
         about.append(np.frombuffer(a.as_py(), np.int64)[at])
-    key, cls, about = map(np.concatenate, (keys, classes, about))
+        labels.append(np.frombuffer(g.as_py(), np.int64).reshape(-1, 2)[at])
+    key, cls, about, label = map(np.concatenate, (keys, classes, about, labels))
     order = np.lexsort((cls, key))
-    key, cls, about = key[order], cls[order], about[order]
-    return key, cls, about // 4, (about % 4).astype(np.int8)
+    key, cls, about, label = key[order], cls[order], about[order], label[order]
+    return key, cls, about // 4, (about % 4).astype(np.int8), label[:, 0], label[:, 1]
+
+
+def to_meet(na: np.ndarray, nb: np.ndarray, slot_a: np.ndarray, slot_b: np.ndarray, same_band: np.ndarray) -> np.ndarray:
+    """Whether two sets of these sizes that sign in these slots can link and are to meet there."""
+    low, high = np.minimum(na, nb), np.maximum(na, nb)
+    inside = (slot_a == slot_b) & np.where(low <= TINY, slot_a == SINGLE, (slot_a == OWN) & same_band)
+    across = (slot_a != slot_b) & np.isin(slot_a, (UPPER, LOWER)) & np.isin(slot_b, (UPPER, LOWER)) & (low > TINY)
+    return (4 * low >= 3 * high) & (inside | across)
+
+
+def hub_counts(key: np.ndarray, cls: np.ndarray, n: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of sorted entries: (class, hub, their sizes, count) of the signatures that a class has in common with a hub.
+
+    The hub of a signature is its least class of a slot; each class meets it once a signature, however many have that, so
+    there are no more rows than entries.
+    """
+    first, size = groups(key)
+    band = band_of(n)[0]
+    out = [np.zeros((4, 0), np.int64)]
+    for one, other in ((OWN, OWN), (SINGLE, SINGLE), (UPPER, LOWER)):
+        least = np.minimum.reduceat(np.where(slot == one, np.arange(len(key)), len(key)), first) if len(key) else first
+        hub = np.repeat(least, size)
+        x = np.flatnonzero((slot == other) & (hub < len(key)))
+        y = hub[x]
+        ok = (cls[x] != cls[y]) & to_meet(n[x], n[y], slot[x], slot[y], band[x] == band[y])
+        out.append(np.stack([cls[x[ok]], cls[y[ok]], n[x[ok]], n[y[ok]]]))
+    rows = np.concatenate(out, axis=1)
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
+    at = np.flatnonzero(new)
+    return *rows[:, at], np.diff(np.append(at, rows.shape[1]))
 
 
-def common_signatures(key: np.ndarray, cls: np.ndarray, n: np.ndarray, slot: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted entries: pairs (a < b) of classes that share signatures of at most `frequent` entries where they are to meet,
-    how many, and for each class and slot (class, slot, count) its signatures of more entries, as (kind or slot, a, b, count):
-    kind PAIR is a pair; the other kinds are slots, with a = b."""
+def common_signatures(key: np.ndarray, cls: np.ndarray, n: np.ndarray, slot: np.ndarray, label: np.ndarray, alike: np.ndarray, frequent: int) -> tuple[np.ndarray, ...]:
+    """Of sorted entries, as (class, label, whether the signatures are frequent, counts by slot): a class and a label not its
+    own, with how many of its signatures in each slot, of at most `frequent` entries, some class of that label has and is to
+    meet it; and how many of its signatures in each slot have more entries (label: its own).
+
+    Of two labels the one of fewer classes is asked for (the greater of two such), always from the same side; so a class in
+    a corner of a large group is one row, not one with each member.
+    """
     first, size = groups(key)
     band = band_of(n)[0]
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    out = [np.zeros((4, 0), np.int64)]
     for m in range(2, frequent + 1):
         of = first[size == m]
         i, j = np.triu_indices(m, 1)
@@ -418,82 +459,119 @@ def common_signatures(key: np.ndarray, cls: np.ndarray, n: np.ndarray, slot: np.
         for at in range(0, len(of), step):
             x = (of[at : at + step, None] + i).ravel()
             y = (of[at : at + step, None] + j).ravel()
-            low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            inside = (slot[x] == slot[y]) & np.where(low <= TINY, slot[x] == SINGLE, (slot[x] == OWN) & (band[x] == band[y]))
-            across = (slot[x] != slot[y]) & np.isin(slot[x], (UPPER, LOWER)) & np.isin(slot[y], (UPPER, LOWER)) & (low > TINY)
-            ok = (4 * low >= 3 * high) & (inside | across) & (cls[x] != cls[y])
-            out_a.append(cls[x[ok]])
-            out_b.append(cls[y[ok]])
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
+            apart = (label[x] != label[y]) & (cls[x] != cls[y])
+            x, y = x[apart], y[apart]
+            ok = to_meet(n[x], n[y], slot[x], slot[y], band[x] == band[y])
+            x, y = x[ok], y[ok]
+            turn = (alike[x] > alike[y]) | ((alike[x] == alike[y]) & (label[x] < label[y]))
+            x, y = np.where(turn, y, x), np.where(turn, x, y)
+            met = np.stack([x, label[y]])  # x is an entry: one class, slot and signature
+            met = met[:, np.lexsort(met)]
+            new = np.ones(len(x), bool)
+            new[1:] = (met[:, 1:] != met[:, :-1]).any(axis=0)
+            x, to = met[:, new]
+            out.append(np.stack([slot[x], cls[x], to, np.zeros_like(x)]))
     many = np.repeat(size > frequent, size)
-    kind = np.concatenate([np.full(len(a), PAIR, np.int8), slot[many]])
-    a, b = np.concatenate([a, cls[many]]), np.concatenate([b, cls[many]])
-    order = np.lexsort((b, a, kind))
-    kind, a, b = kind[order], a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (kind[1:] != kind[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    out.append(np.stack([slot[many], cls[many], label[many], np.ones(many.sum(), np.int64)]))
+    rows = np.concatenate(out, axis=1)
+    rows = rows[:, np.lexsort(rows)]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[1:, 1:] != rows[1:, :-1]).any(axis=0)
     at = np.flatnonzero(new)
-    return kind[at], a[at], b[at], np.diff(np.append(at, len(a)))
+    counts = np.bincount((np.cumsum(new) - 1) * 4 + rows[0], minlength=4 * len(at)).reshape(-1, 4)
+    return *rows[1:, at], counts
 
 
-def candidate_links(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b: pairs of classes that share as many parts as linked ones must, and stars of those met only by frequent signatures.
+def gathered(sets: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
+    """class, label: candidates of one label are connected by pairs that share as many parts as linked sets must.
+
+    Only pairs of a class and a hub of one of its signatures are counted, so a group of near copies gives rows in proportion
+    to its classes, not to its pairs. What the hubs do not bring together keeps labels apart, and is left to the pairs.
+    """
+
+    def meet(table: pa.Table) -> pa.Table:
+        return pa.table({c: pa.array(x) for c, x in zip(("a", "b", "na", "nb", "n"), hub_counts(*entries(table)[:4]), strict=True)})
 
-    A signature of more than FREQUENT classes gives no pairs. `lost` are the parts in which a set has such a signature or an
-    empty one: linked sets share `shared_parts`, of which at least shared_parts - min(lost) show up as common signatures. Where
-    that leaves none for both sets (lost >= least_shared), both are in `heavy`, whose signatures make stars, frequent or not, in
-    the slots where it is so.
+    def enough(batches):
+        for batch in batches:
+            na, nb, n = (batch.column(c).to_numpy() for c in (2, 3, 4))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(n >= shared_parts(na, nb)))
+
+    signs = emitted(sets.withColumn("slots", F.lit(15)).withColumn("label", F.col("class")).withColumn("alike", F.lit(1)), bits)
+    counts = signs.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, na bigint, nb bigint, n bigint")
+    edges = counts.groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n")).mapInArrow(enough, "a bigint, b bigint")
+    return components(edges, scratch, "gathered").select(F.col("node").alias("class"), F.col("root").alias("label"))
+
+
+def candidate_links(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b: edges that connect all classes that share as many parts as linked ones must, or are met by frequent signatures only.
+
+    Classes that `gathered` brought together are linked with their label. Other pairs are counted as a class and the label of
+    its partner, which shares no more with that class than all of the label do: rows grow with a group, not with its pairs. A
+    signature of more than FREQUENT classes is not counted. `lost` are the parts in which a set has such a signature or an
+    empty one: linked sets share `shared_parts`, of which at least shared_parts - min(lost) show up as common signatures (for a
+    label of several classes: least_shared, and the most that one of them lost). Where that leaves none for both sets
+    (lost >= least_shared), both are in `heavy`, whose signatures make stars, frequent or not, in the slots where it is so.
     """
     bits = max(3, bucket_bits_for(sets) - 3)
+    labels = gathered(sets, bits, scratch)
+    alike = labels.groupBy("label").agg(F.count(F.lit(1)).alias("alike"))
+    labels = scratch.keep(labels.join(alike, "label").select("class", "label", "alike"), "labels")
 
     def match(table: pa.Table) -> pa.Table:
-        kind, a, b, n = common_signatures(*entries(table), FREQUENT)
-        return pa.table({"kind": pa.array(kind.astype(np.int32)), "a": pa.array(a), "b": pa.array(b), "n": pa.array(n.astype(np.int64))})
+        cls, label, many, n = common_signatures(*entries(table), FREQUENT)
+        return pa.table({"class": pa.array(cls), "to": pa.array(label), "many": pa.array(many.astype(bool)), **{f"n{k}": pa.array(n[:, k].astype(np.int64)) for k in range(4)}})
+
+    def bare(batches):
+        for batch in batches:
+            out = signed([np.frombuffer(x.as_py(), _U) for x in batch.column(2)])[3]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(out[:, k]) for k in range(4)]], ["class", "n", "e0", "e1", "e2", "e3"])
 
-    met = scratch.keep(emitted(sets.withColumn("slots", F.lit(15)), bits).groupBy("bucket").applyInArrow(match, "kind int, a bigint, b bigint, n bigint"), "met")
-    frequent = met.where(F.col("kind") < PAIR).groupBy(F.col("a").alias("class")).agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"f{k}") for k in range(4)])
+    labelled = sets.withColumn("slots", F.lit(15)).join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")).withColumn("alike", F.coalesce("alike", F.lit(1)))
+    met = scratch.keep(emitted(labelled, bits).groupBy("bucket").applyInArrow(match, "class bigint, to bigint, many boolean, n0 bigint, n1 bigint, n2 bigint, n3 bigint"), "met")
+    frequent = met.where("many").groupBy("class").agg(*[F.sum(f"n{k}").alias(f"f{k}") for k in range(4)])
 
     def losses(batches):
         for batch in batches:
-            held = [np.frombuffer(x.as_py(), _U) for x in batch.column(2)]
             n = batch.column(1).to_numpy()
-            lost = signed(held)[3] + np.stack([batch.column(c).to_numpy() for c in (3, 4, 5, 6)], axis=1)
+            lost = np.stack([batch.column(c).to_numpy() for c in (2, 3, 4, 5)], axis=1)
             heavy = ((lost >= least_shared(n)) << np.arange(4)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(lost[:, k]) for k in range(4)], pa.array(heavy.astype(np.int32))], ["class", "n", "l0", "l1", "l2", "l3", "heavy"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heavy.astype(np.int32))], [*batch.schema.names, "heavy"])
 
-    told = sets.join(frequent, "class", "left").select("class", "n", "shingles", *[F.coalesce(f"f{k}", F.lit(0)).cast("bigint").alias(f"f{k}") for k in range(4)])
-    lost = scratch.keep(told.mapInArrow(losses, "class bigint, n bigint, l0 bigint, l1 bigint, l2 bigint, l3 bigint, heavy int"), "lost")
+    empty = sets.select("class", "n", "shingles").mapInArrow(bare, "class bigint, n bigint, e0 bigint, e1 bigint, e2 bigint, e3 bigint")
+    told = empty.join(frequent, "class", "left").join(labels, "class", "left")
+    told = told.select("class", "n", *[(F.col(f"e{k}") + F.coalesce(f"f{k}", F.lit(0))).cast("bigint").alias(f"l{k}") for k in range(4)], F.coalesce("label", "class").alias("label"), F.coalesce("alike", F.lit(1)).cast("bigint").alias("alike"))
+    lost = scratch.keep(told.mapInArrow(losses, "class bigint, n bigint, l0 bigint, l1 bigint, l2 bigint, l3 bigint, label bigint, alike bigint, heavy int"), "lost")
 
     def enough(batches):
         for batch in batches:
-            a, b, n, na, nb = (batch.column(c).to_numpy() for c in range(5))
-            la, lb = (np.stack([batch.column(c).to_numpy() for c in range(5 + x, 9 + x)], axis=1) for x in (0, 4))
-            across, inside = band_of(na)[0] != band_of(nb)[0], np.where(np.minimum(na, nb) <= TINY, SINGLE, OWN)
-            sa, sb = (np.where((inside == OWN) & across, np.where(x > y, UPPER, LOWER), inside) for x, y in ((na, nb), (nb, na)))
-            at = np.arange(len(n))
-            ok = n >= shared_parts(na, nb) - np.minimum(la[at, sa], lb[at, sb])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]).filter(pa.array(ok))
-
-    pairs = met.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    side = lambda x: lost.select(F.col("class").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "l0", "l1", "l2", "l3")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n", "na", "nb", "l0a", "l1a", "l2a", "l3a", "l0b", "l1b", "l2b", "l3b")
-    light = both.mapInArrow(enough, "a bigint, b bigint")
+            na, nb, alike = (batch.column(c).to_numpy() for c in range(2, 5))
+            n, la, lb = (np.stack([batch.column(c).to_numpy() for c in range(x, x + 4)], axis=1) for x in (5, 9, 13))
+            must = np.where((alike == 1)[:, None], shared_parts(na, nb)[:, None], least_shared(na))
+            ok = ((n > 0) & (n >= must - np.minimum(la, lb[:, PARTNER]))).any(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+    counts = met.where("not many").groupBy("class", "to").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
+    others = lost.groupBy(F.col("label").alias("to")).agg(F.max("n").alias("nb"), F.max("alike").alias("alike"), *[F.max(f"l{k}").alias(f"m{k}") for k in range(4)])
+    both = counts.join(lost.drop("alike"), "class").join(others, "to")
+    light = both.select("label", "to", F.col("n").alias("na"), "nb", "alike", *[f"{x}{k}" for x in "nlm" for k in range(4)]).mapInArrow(enough, "a bigint, b bigint").distinct()
 
     def star(table: pa.Table) -> pa.Table:
-        key, cls, _, slot = entries(table)
+        key, _, _, slot, label, _ = entries(table)
         first, size = groups(key)
         edges = []
         for one, other in ((OWN, OWN), (SINGLE, SINGLE), (UPPER, LOWER), (LOWER, UPPER)):  # the first of a kind with all whom it may meet
             least = np.minimum.reduceat(np.where(slot == one, np.arange(len(key)), len(key)), first) if len(key) else first
             hub = np.repeat(least, size)
             ok = (slot == other) & (hub < len(key))
-            edges.append(np.stack([cls[hub[ok]], cls[ok]], axis=1))
+            edges.append(np.stack([label[hub[ok]], label[ok]], axis=1))
         edges = np.unique(np.sort(np.concatenate(edges), axis=1), axis=0)
         edges = edges[edges[:, 0] != edges[:, 1]]
         return pa.table({"a": pa.array(edges[:, 0].copy()), "b": pa.array(edges[:, 1].copy())})
 
-    heavy = sets.join(lost.where("heavy > 0").select("class", F.col("heavy").alias("slots")), "class")
-    return light.union(emitted(heavy, bits).groupBy("bucket").applyInArrow(star, "a bigint, b bigint").distinct())
+    heavy = sets.join(lost.where("heavy > 0").select("class", F.col("heavy").alias("slots"), "label", "alike"), "class")
+    own = labels.where(F.col("class") != F.col("label")).select(F.col("label").alias("a"), F.col("class").alias("b"))
+    return own.union(light).union(emitted(heavy, bits).groupBy("bucket").applyInArrow(star, "a bigint, b bigint").distinct())
 
 
 PACKS = "grp bigint, band int, sub int, classes binary, sizes binary, shingles binary"
@@ -577,11 +655,46 @@ def links_within(made: DataFrame) -> DataFrame:
     return pairs.select("classes1", "sizes1", "shingles1", "classes2", "sizes2", "shingles2").mapInArrow(run, "a bigint, b bigint")
 
 
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the edges (a, b) connect, each from the smallest node of its group: one fewer than nodes."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(node))
+    while len(x):
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+    has = np.flatnonzero(root != np.arange(len(node)))
+    return node[root[has]], node[has]
+
+
+def contracted_by_task(edges: DataFrame) -> DataFrame:
+    """a, b: what a task holds of `edges`, contracted, so that it is no more than its nodes, however dense the groups are."""
+
+    def run(batches):
+        held, size = [np.zeros((2, 0), np.int64)], 0
+        for batch in batches:
+            held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+            size += batch.num_rows
+            if size >= CHUNK:
+                held = [np.stack(contracted(*np.concatenate(held, axis=1)))]
+                size = 0
+        a, b = contracted(*np.concatenate(held, axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, root (smallest node reachable) for the nodes of `edges` (a, b): minimum labels with pointer jumping.
 
     Each step writes its labels to the shared folder; steps grow with the logarithm of a group's diameter.
     """
+    edges = contracted_by_task(edges)
     both = scratch.keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), f"{name}-0")
     step = 0

@@ -776,3 +776,48 @@ def test_op5_a_large_group_is_dealt_in_tiles(spark, monkeypatch):
             both = len(np.intersect1d(sets[i], sets[j]))
             if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
                 assert find(i) == find(j)
+
+
+def _one_group(rng, m, size=300):
+    """m sets that lack up to an eighth of one common set each, at random, and have as many elements of their own."""
+    whole = rng.integers(1, 2**63, size, dtype=np.uint64)
+    return [np.unique(np.concatenate([whole[rng.permutation(size)[k:]], rng.integers(1, 2**63, k, dtype=np.uint64)])) for k in rng.integers(4, size // 8, m)]
+
+
+def test_op5_edges_grow_with_a_group_not_with_its_pairs(spark):
+    from aerograin.llm import partenum as p
+    from aerograin.session import Scratch
+
+    rng = np.random.default_rng(11)
+    sets = _one_group(rng, 160) + _boilerplate_sets(rng, 20, 200, 40)
+    frame = spark.createDataFrame([(i, len(x), x.tobytes()) for i, x in enumerate(sets)], "class bigint, n bigint, shingles binary").repartition(3)
+    scratch, kept = Scratch(spark, "test"), {}
+    keep = scratch.keep
+    scratch.keep = lambda df, name, by=None: kept.setdefault(name, keep(df, name, by))
+    edges = p.candidate_links(frame, scratch).cache()
+    assert edges.count() <= 3 * len(sets)  # 8174 for these 200 sets before
+    group = {r["node"]: r["root"] for r in p.components(edges, scratch, "candidates").collect()}
+    assert all(t.count() <= 6 * len(sets) for name, t in kept.items() if name.endswith("-edges"))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - both)]
+    assert len(links) > 1000 and all(group[i] == group[j] for i, j in links)
+
+
+def test_op5_contracted_edges_connect_what_the_edges_do():
+    from aerograin.llm import partenum as p
+
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 0), (40, 20), (300, 290), (60, 900)):
+        a, b = rng.integers(-n, n, (2, m))
+        root = {v: v for v in [*a.tolist(), *b.tolist()]}
+
+        def find(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            low, high = sorted((find(x), find(y)))
+            root[high] = low
+        want = {v: find(v) for v in root if find(v) != v}
+        low, node = p.contracted(a, b)
+        assert dict(zip(node.tolist(), low.tolist(), strict=True)) == want and len(node) == len(want)
