@@ -202,3 +202,25 @@ def test_pipeline_near_duplicates_of_texts_with_one_passage(spark, monkeypatch):
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [2 * i for i in range(60)]
     assert seen[0] <= 24
+
+
+def test_pipeline_near_duplicates_of_a_large_group_make_few_edges(spark, monkeypatch):
+    """150 near copies of one text: the edges between candidates grow with the copies, not with their pairs."""
+    import random
+
+    import corpus_pipeline
+    from aerograin.llm import partenum
+
+    rng = random.Random(8)
+    text = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+    rows = [(i, " ".join(f"x{rng.randrange(10**9)}" if j in edits else w for j, w in enumerate(text))) for i in range(150) for edits in [set(rng.sample(range(300), 1 + i % 5))]]
+    seen, components = [], partenum.components
+
+    def spy(edges, scratch, name):
+        seen.append(edges.count())
+        return components(edges, scratch, name)
+
+    monkeypatch.setattr(partenum, "components", spy)
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+    assert max(seen) <= 450
