@@ -200,7 +200,7 @@ def packed(bucket_bits: int, keys: np.ndarray, owner: np.ndarray, classes: np.nd
 
 
 def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, class, flag) of the entries of a bucket, sorted by key and class."""
+    """(key, class, flag) of the entries of a bucket, sorted by these."""
     keys, classes, flags = [np.zeros(0, np.uint32)], [np.zeros(0, _U)], [np.zeros(0, np.uint8)]
     for k, o, c, f in zip(*(table.column(n) for n in ("keys", "owner", "classes", "flags")), strict=True):
         key = np.frombuffer(k.as_py(), np.uint32)
@@ -212,7 +212,7 @@ def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         classes.append(own[at])
         flags.append(np.unpackbits(np.frombuffer(f.as_py(), np.uint8), count=len(key)))
     key, cls, flag = map(np.concatenate, (keys, classes, flags))
-    order = np.lexsort((cls, key))
+    order = np.lexsort((flag, cls, key))
     return key[order], cls[order], flag[order]
 
 
@@ -269,7 +269,7 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
             at = np.concatenate((np.flatnonzero(~known), first[size > 1], first[size > 1] + 1))
             table = np.array(classes, _U)
             has = np.flatnonzero(counts)
-            local = np.stack([table[has], counts[has].astype(_U)]).tobytes() if len(has) else b""
+            local = np.stack([table[has], counts[has].astype(_U), np.ones(len(has), _U)]).tobytes() if len(has) else b""
             return packed(bits, key[at], owner[at], table, known[at], local, turn)
 
         held, classes, known_classes, size = [], [], set(), 0
@@ -293,35 +293,37 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
         if len(first):
             several = (np.minimum.reduceat(cls, first) != np.maximum.reduceat(cls, first)) | np.logical_or.reduceat(flag.astype(bool), first)
         lone = np.repeat(several, size) & (flag == 0)
-        if len(key):  # the same class from two chunks counts once
+        if len(key):  # the same class from two chunks counts once, and where one of them does not know the shingle as shared
             twin = np.zeros(len(key), bool)
-            twin[1:] = (key[1:] == key[:-1]) & (cls[1:] == cls[:-1])
+            twin[1:] = (key[1:] == key[:-1]) & (cls[1:] == cls[:-1]) & (flag[1:] == flag[:-1])
             lone &= ~twin
         who, n = np.unique(cls[lone], return_counts=True)
-        known = [np.frombuffer(c.as_py(), _U).reshape(2, -1) for c in table.column("counts") if c.as_py()]
-        return _by_class(bits, np.concatenate([who, *(k[0] for k in known)]), np.concatenate([n.astype(_U), *(k[1] for k in known)]))
+        known = [np.frombuffer(c.as_py(), _U).reshape(3, -1) for c in table.column("counts") if c.as_py()]
+        return _by_class(bits, np.concatenate([np.stack([who, n.astype(_U), np.zeros(len(who), _U)]), *known], axis=1))
 
     def total(table: pa.Table) -> pa.Table:
-        both = np.concatenate([np.frombuffer(c.as_py(), _U).reshape(2, -1) for c in table.column("counts")], axis=1)
+        both = np.concatenate([np.frombuffer(c.as_py(), _U).reshape(3, -1) for c in table.column("counts")], axis=1)
         who, inverse = np.unique(both[0], return_inverse=True)
-        n = np.zeros(len(who), np.int64)
-        np.add.at(n, inverse, both[1].astype(np.int64))
-        return pa.table({"class": pa.array(who.view(np.int64)), "n_shared": pa.array(n)})
+        n, least = np.zeros(len(who), np.int64), np.full(len(who), np.iinfo(np.int64).max)
+        chunk = both[2] == 1
+        np.add.at(n, inverse[~chunk], both[1][~chunk].astype(np.int64))
+        np.minimum.at(least, inverse[chunk], both[1][chunk].astype(np.int64))
+        return pa.table({"class": pa.array(who.view(np.int64)), "n_shared": pa.array(n + np.where(least == np.iinfo(np.int64).max, 0, least))})
 
     sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, BLOCKS)
     seen = sent.groupBy("bucket").applyInArrow(count, "part int, counts binary")
-    # A class met in several chunks has a count from each chunk and counts from the buckets: an upper bound, as a filter needs.
+    # A class met in several chunks: the buckets count what is not known in some chunk, and what is known in all of them is no
+    # more than the least count of a chunk. An upper bound, as a filter needs, and one that does not grow with the copies.
     return seen.groupBy("part").applyInArrow(total, "class bigint, n_shared bigint")
 
 
-def _by_class(bits: int, who: np.ndarray, n: np.ndarray) -> pa.Table:
-    """Counts of classes as one packed row for each range of class hashes."""
-    order = np.argsort(who, kind="stable")
-    who, n = who[order], n[order]
-    part = (who >> _U(64 - bits)).astype(np.int64)
+def _by_class(bits: int, counts: np.ndarray) -> pa.Table:
+    """Counts (class, count, whether it is a chunk's) as one packed row for each range of class hashes."""
+    counts = counts[:, np.argsort(counts[0], kind="stable")]
+    part = (counts[0] >> _U(64 - bits)).astype(np.int64)
     edge = np.searchsorted(part, np.arange((1 << bits) + 1))
     has = [b for b in range(1 << bits) if edge[b] < edge[b + 1]]
-    return pa.table({"part": pa.array(has, pa.int32()), "counts": pa.array([np.stack([who[edge[b] : edge[b + 1]], n[edge[b] : edge[b + 1]]]).tobytes() for b in has], pa.binary())})
+    return pa.table({"part": pa.array(has, pa.int32()), "counts": pa.array([counts[:, edge[b] : edge[b + 1]].tobytes() for b in has], pa.binary())})
 
 
 def candidate_sets(docs: DataFrame, of: DataFrame, repeats: bool) -> DataFrame:

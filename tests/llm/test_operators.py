@@ -821,3 +821,21 @@ def test_op5_contracted_edges_connect_what_the_edges_do():
         want = {v: find(v) for v in root if find(v) != v}
         low, node = p.contracted(a, b)
         assert dict(zip(node.tolist(), low.tolist(), strict=True)) == want and len(node) == len(want)
+
+
+@pytest.mark.parametrize("copies", [1, 8])
+def test_op5_shared_shingles_do_not_grow_with_copies(spark, copies):
+    from aerograin.llm import partenum as p
+
+    rng = np.random.default_rng(3)
+    common = " ".join(f"c{i}" for i in range(12))
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) + (f" {common}" if i % 2 else "") for i in range(20)]
+    texts += [texts[1] + " and a little more", texts[2] + " and something else", "few words", "few words too"]
+    rows = [(i + 100 * c, t) for c in range(copies) for i, t in enumerate(texts) if c == 0 or i % 5 or c % 2]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    of = {r["doc_id"]: r["class"] for r in p.members(docs).collect()}
+    got = {r["class"]: r["n_shared"] for r in p.shared_shingles(docs).where(F.col("n_shared") > 0).collect()}
+    sets = {of[i]: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in enumerate(texts))}
+    for cls, own in sets.items():
+        exact = len(own & set().union(*(s for c, s in sets.items() if c != cls)))
+        assert exact <= got.get(cls, 0) <= 2 * exact
