@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, settings, ship, shuffle_partitions
-from .arrays import U64, Words, blocks, mix, word_grams
+from .arrays import U64, Words, blocks, give_back, mix, word_grams
 
 K_WORDS = 5
 TINY = 48
@@ -44,6 +44,7 @@ PACK_SHINGLES = 1 << 17
 TILE = 8
 SPARE = 0.5
 CHUNK = 1 << 20
+SLICE = 1 << 17
 FREQUENT = 32
 OWN, UPPER, LOWER, SINGLE = 0, 1, 2, 3
 PARTNER = [OWN, LOWER, UPPER, SINGLE]
@@ -260,7 +261,8 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
             nonlocal turn
             turn += 1
             key = np.concatenate(held)
-            owner = np.repeat(np.arange(len(classes)), [len(h) for h in held])
+            owner = np.repeat(np.arange(len(classes), dtype=np.uint32), [len(h) for h in held])
+            held.clear()
             order = np.argsort(key, kind="stable")
             key, owner = key[order], owner[order]
             first, size = groups(key)
@@ -285,6 +287,7 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
                 held, classes, known_classes, size = [], [], set(), 0
         if held:
             yield flush()
+        give_back()
 
     def count(table: pa.Table) -> pa.Table:
         key, cls, flag = unpacked(table)
@@ -301,6 +304,11 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
         known = [np.frombuffer(c.as_py(), _U).reshape(3, -1) for c in table.column("counts") if c.as_py()]
         return _by_class(bits, np.concatenate([np.stack([who, n.astype(_U), np.zeros(len(who), _U)]), *known], axis=1))
 
+    def counted(table: pa.Table) -> pa.Table:
+        out = count(table)
+        give_back()
+        return out
+
     def total(table: pa.Table) -> pa.Table:
         both = np.concatenate([np.frombuffer(c.as_py(), _U).reshape(3, -1) for c in table.column("counts")], axis=1)
         who, inverse = np.unique(both[0], return_inverse=True)
@@ -311,7 +319,7 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
         return pa.table({"class": pa.array(who.view(np.int64)), "n_shared": pa.array(n + np.where(least == np.iinfo(np.int64).max, 0, least))})
 
     sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, BLOCKS)
-    seen = sent.groupBy("bucket").applyInArrow(count, "part int, counts binary")
+    seen = sent.groupBy("bucket").applyInArrow(counted, "part int, counts binary")
     # A class met in several chunks: the buckets count what is not known in some chunk, and what is known in all of them is no
     # more than the least count of a chunk. An upper bound, as a filter needs, and one that does not grow with the copies.
     return seen.groupBy("part").applyInArrow(total, "class bigint, n_shared bigint")
@@ -391,24 +399,55 @@ def emitted(sets: DataFrame, bits: int) -> DataFrame:
                     held, classes, wanted, labels, size = [], [], [], [], 0
         if held:
             yield flush()
+        give_back()
 
     return sets.select("class", "shingles", "slots", "label", "alike").mapInArrow(run, SIGNED)
 
 
-def entries(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """(key, class, size, slot, label, classes of that label) of the signatures of a bucket, sorted by key and class."""
-    keys, classes, about, labels = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
+def entries(table: pa.Table, most: int | None = None):
+    """(key, class, size, slot, label, classes of that label) of the signatures of a bucket, sorted by key and class.
+
+    They come in ranges of keys of about `most` entries, so that a bucket is never unpacked whole; a key is never cut.
+    """
+    rows = []
     for k, o, c, a, g in zip(*(table.column(n) for n in ("keys", "owner", "classes", "about", "labels")), strict=True):
-        own = np.frombuffer(c.as_py(), np.int64)
-        at = np.frombuffer(o.as_py(), np.uint32 if len(own) > 65535 else np.uint16)
-        keys.append(np.frombuffer(k.as_py(), np.uint32))
-        classes.append(own[at])
-        about.append(np.frombuffer(a.as_py(), np.int64)[at])
-        labels.append(np.frombuffer(g.as_py(), np.int64).reshape(-1, 2)[at])
-    key, cls, about, label = map(np.concatenate, (keys, classes, about, labels))
-    order = np.lexsort((cls, key))
-    key, cls, about, label = key[order], cls[order], about[order], label[order]
-    return key, cls, about // 4, (about % 4).astype(np.int8), label[:, 0], label[:, 1]
+        own = np.frombuffer(c.as_buffer(), np.int64)
+        at = np.frombuffer(o.as_buffer(), np.uint32 if len(own) > 65535 else np.uint16)
+        rows.append((np.frombuffer(k.as_buffer(), np.uint32), at, own, np.frombuffer(a.as_buffer(), np.int64), np.frombuffer(g.as_buffer(), np.int64).reshape(-1, 2)))
+    n = max(1, -(-sum(len(r[0]) for r in rows) // (most or SLICE)))
+    upto = (np.arange(n + 1, dtype=_U) << _U(32)) // _U(n)
+    edge = [np.searchsorted(r[0], upto) for r in rows]  # the keys of a row are sorted
+    for j in range(n):
+        keys, classes, about, labels = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
+        for (k, o, c, a, g), e in zip(rows, edge, strict=True):
+            at = o[e[j] : e[j + 1]]
+            keys.append(k[e[j] : e[j + 1]])
+            classes.append(c[at])
+            about.append(a[at])
+            labels.append(g[at])
+        key, cls, sizes, label = map(np.concatenate, (keys, classes, about, labels))
+        order = np.lexsort((cls, key))
+        key, cls, sizes, label = key[order], cls[order], sizes[order], label[order]
+        yield key, cls, sizes // 4, (sizes % 4).astype(np.int8), label[:, 0], label[:, 1]
+
+
+def summed(parts, keys: int) -> np.ndarray:
+    """Columns of all `parts` (rows of int64, the first `keys` of which tell columns apart), the other rows added up."""
+    held, least = [], 0
+    for part in parts:
+        held.append(part)
+        if sum(h.shape[1] for h in held) > 2 * least + SLICE:
+            held = [_summed(np.concatenate(held, axis=1), keys)]
+            least = held[0].shape[1]
+    return _summed(np.concatenate(held, axis=1), keys)
+
+
+def _summed(rows: np.ndarray, keys: int) -> np.ndarray:
+    rows = rows[:, np.lexsort(rows[:keys])]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[:keys, 1:] != rows[:keys, :-1]).any(axis=0)
+    at = np.flatnonzero(new)
+    return np.concatenate([rows[:keys, at], np.add.reduceat(rows[keys:], at, axis=1) if len(at) else rows[keys:]])
 
 
 def to_meet(na: np.ndarray, nb: np.ndarray, slot_a: np.ndarray, slot_b: np.ndarray, same_band: np.ndarray) -> np.ndarray:
@@ -457,7 +496,7 @@ def common_signatures(key: np.ndarray, cls: np.ndarray, n: np.ndarray, slot: np.
     for m in range(2, frequent + 1):
         of = first[size == m]
         i, j = np.triu_indices(m, 1)
-        step = max(1, (1 << 20) // len(i))
+        step = max(1, SLICE // len(i))
         for at in range(0, len(of), step):
             x = (of[at : at + step, None] + i).ravel()
             y = (of[at : at + step, None] + j).ravel()
@@ -492,7 +531,9 @@ def gathered(sets: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
     """
 
     def meet(table: pa.Table) -> pa.Table:
-        return pa.table({c: pa.array(x) for c, x in zip(("a", "b", "na", "nb", "n"), hub_counts(*entries(table)[:4]), strict=True)})
+        rows = summed((np.stack(hub_counts(*part[:4])) for part in entries(table)), 4)
+        give_back()
+        return pa.table({c: pa.array(x) for c, x in zip(("a", "b", "na", "nb", "n"), rows, strict=True)})
 
     def enough(batches):
         for batch in batches:
@@ -521,8 +562,10 @@ def candidate_links(sets: DataFrame, scratch: Scratch) -> DataFrame:
     labels = scratch.keep(labels.join(alike, "label").select("class", "label", "alike"), "labels")
 
     def match(table: pa.Table) -> pa.Table:
-        cls, label, many, n = common_signatures(*entries(table), FREQUENT)
-        return pa.table({"class": pa.array(cls), "to": pa.array(label), "many": pa.array(many.astype(bool)), **{f"n{k}": pa.array(n[:, k].astype(np.int64)) for k in range(4)}})
+        found = (common_signatures(*part, FREQUENT) for part in entries(table))
+        cls, label, many, *n = summed((np.stack([*keys, *counts.T]) for *keys, counts in found), 3)
+        give_back()
+        return pa.table({"class": pa.array(cls), "to": pa.array(label), "many": pa.array(many.astype(bool)), **{f"n{k}": pa.array(x) for k, x in enumerate(n)}})
 
     def bare(batches):
         for batch in batches:
@@ -559,17 +602,18 @@ def candidate_links(sets: DataFrame, scratch: Scratch) -> DataFrame:
     light = both.select("label", "to", F.col("n").alias("na"), "nb", "alike", *[f"{x}{k}" for x in "nlm" for k in range(4)]).mapInArrow(enough, "a bigint, b bigint").distinct()
 
     def star(table: pa.Table) -> pa.Table:
-        key, _, _, slot, label, _ = entries(table)
-        first, size = groups(key)
-        edges = []
-        for one, other in ((OWN, OWN), (SINGLE, SINGLE), (UPPER, LOWER), (LOWER, UPPER)):  # the first of a kind with all whom it may meet
-            least = np.minimum.reduceat(np.where(slot == one, np.arange(len(key)), len(key)), first) if len(key) else first
-            hub = np.repeat(least, size)
-            ok = (slot == other) & (hub < len(key))
-            edges.append(np.stack([label[hub[ok]], label[ok]], axis=1))
-        edges = np.unique(np.sort(np.concatenate(edges), axis=1), axis=0)
-        edges = edges[edges[:, 0] != edges[:, 1]]
-        return pa.table({"a": pa.array(edges[:, 0].copy()), "b": pa.array(edges[:, 1].copy())})
+        edges = np.zeros((2, 0), np.int64)
+        for key, _, _, slot, label, _ in entries(table):
+            first, size = groups(key)
+            found = [edges]
+            for one, other in ((OWN, OWN), (SINGLE, SINGLE), (UPPER, LOWER), (LOWER, UPPER)):  # the first of a kind with all whom it may meet
+                least = np.minimum.reduceat(np.where(slot == one, np.arange(len(key)), len(key)), first) if len(key) else first
+                hub = np.repeat(least, size)
+                ok = (slot == other) & (hub < len(key))
+                found.append(np.stack([label[hub[ok]], label[ok]]))
+            edges = np.stack(contracted(*np.concatenate(found, axis=1)))
+        give_back()
+        return pa.table({"a": pa.array(edges[0]), "b": pa.array(edges[1])})
 
     heavy = sets.join(lost.where("heavy > 0").select("class", F.col("heavy").alias("slots"), "label", "alike"), "class")
     own = labels.where(F.col("class") != F.col("label")).select(F.col("label").alias("a"), F.col("class").alias("b"))
@@ -724,6 +768,11 @@ class Groups:
     def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
         scratch = self.scratch = Scratch(spark, "partenum")
+        with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):  # a row holds a text or a set
+            self._find(docs, scratch)
+
+    def _find(self, docs: DataFrame, scratch: Scratch) -> None:
+        spark = docs.sparkSession
         self.rows = rows = scratch.keep(members(docs), "members")
         self.repeats = not rows.groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
         classes = scratch.keep(rows.where("class <> 0").groupBy("class").agg(F.min(standing()).alias("first"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n_copies")), "classes")

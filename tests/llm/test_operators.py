@@ -839,3 +839,34 @@ def test_op5_shared_shingles_do_not_grow_with_copies(spark, copies):
     for cls, own in sets.items():
         exact = len(own & set().union(*(s for c, s in sets.items() if c != cls)))
         assert exact <= got.get(cls, 0) <= 2 * exact
+
+
+def test_op5_a_bucket_is_unpacked_in_slices():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from aerograin.llm import partenum as p
+
+    rng = np.random.default_rng(4)
+    names, rows, all_entries = ("keys", "owner", "classes", "about", "labels"), [], []
+    for _ in range(8):  # 2.4 million entries of 3000 classes each, a key in a third of them
+        key = np.sort(np.where(rng.random(300_000) < 0.3, 7 << 20, rng.integers(0, 1 << 32, 300_000)).astype(np.uint32))
+        owner = rng.integers(0, 3000, len(key)).astype(np.uint16)
+        classes = rng.permutation(6000)[:3000].astype(np.int64)
+        rows.append([x.tobytes() for x in (key, owner, classes, 4 * (200 + classes % 9), np.stack([classes, classes * 0 + 1], axis=1))])
+        all_entries.append(np.stack([key.astype(np.int64), classes[owner]]))
+    table = pa.table({c: pa.array(x, pa.binary()) for c, x in zip(names, zip(*rows, strict=True), strict=True)})
+    whole = np.concatenate(all_entries, axis=1)
+    whole = whole[:, np.lexsort((whole[1], whole[0]))]
+    tracemalloc.start()
+    seen = [np.stack([key.astype(np.int64), cls]) for key, cls, *_ in p.entries(table)]
+    least = max(len(np.flatnonzero(whole[0] == 7 << 20)), p.SLICE)
+    peak = tracemalloc.get_traced_memory()[1] - sum(s.nbytes for s in seen)
+    tracemalloc.stop()
+    assert (np.concatenate(seen, axis=1) == whole).all() and peak < 150 * (least + p.SLICE)
+    apart = [set(s[0].tolist()) for s in seen]
+    assert len(seen) > 10 and sum(map(len, apart)) == len(set().union(*apart))
+    small = table.slice(0, 1)
+    counts = [p.summed((np.stack(p.hub_counts(*part[:4])) for part in p.entries(small, most)), 4) for most in (10**9, 20_000)]
+    assert counts[0].shape[1] and (counts[0] == counts[1]).all()
